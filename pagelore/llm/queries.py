@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm import simhash, token_counts
+from pagelore.llm import decontaminate, language, media, mixing, simhash, token_counts, toxicity
 from pagelore.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def over(plan: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: plan(*(table(spark, sf_dir, n) for n in names))
+
     return {
-        "op6_token_counts": lambda spark, sf_dir: token_counts.op6_token_counts(table(spark, sf_dir, "documents")),
-        "op10_simhash": lambda spark, sf_dir: simhash.op10_simhash(table(spark, sf_dir, "documents")),
+        "op1_decontaminate": over(decontaminate.op1_decontaminate, "documents", "benchmark"),
+        "op3_toxicity": over(toxicity.op3_toxicity, "documents", "labels"),
+        "op5_media": over(media.op5_media, "documents"),
+        "op6_token_counts": over(token_counts.op6_token_counts, "documents"),
+        "op7_mixing": over(mixing.op7_mixing, "documents"),
+        "op9_language": over(language.op9_language, "documents"),
+        "op10_simhash": over(simhash.op10_simhash, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.oracle_sql()}
