@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm import decontaminate, language, media, mixing, simhash, substrings, suffix_dedup, token_counts, toxicity
+from pagelore.llm import decontaminate, language, language_model, media, mixing, simhash, substrings, suffix_dedup, token_counts, toxicity
 from pagelore.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": over(decontaminate.op1_decontaminate, "documents", "benchmark"),
         "op2_substrings": over(substrings.op2_substrings, "documents"),
         "op3_toxicity": over(toxicity.op3_toxicity, "documents", "labels"),
+        "op4_language_model": over(language_model.op4_language_model, "documents"),
         "op5_media": over(media.op5_media, "documents"),
         "op6_token_counts": over(token_counts.op6_token_counts, "documents"),
         "op7_mixing": over(mixing.op7_mixing, "documents"),
