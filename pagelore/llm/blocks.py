@@ -10,14 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import BLOCK, block_bounds, block_of, grouped
+from pagelore.llm.common import BLOCK, block_bounds, block_of, give_back, grouped
 
 #: Anchor keys that one task compares, and bits by which their space exceeds their number.
-KEYS, SPARE_BITS = 1 << 21, 14
+KEYS, SPARE_BITS = 1 << 20, 14
 #: What a packed row is, beside rows of keys.
 SHARED, LOCAL, EARLIER, CROWDED = 0, 1, 2, 3
 #: Places of a key in one block, and blocks that have it, beyond which it is crowded.
-PLACES, BLOCKS = 256, 64
+PLACES, BLOCKS = 256, 4096
 ROWS = "part int, owner long, blk int, kind int, body binary"
 NAMES = ["part", "owner", "blk", "kind", "body"]
 
@@ -76,6 +76,24 @@ def shorter(keys: np.ndarray, width: int) -> np.ndarray:
     return keys >> np.uint64(64 - 8 * width)
 
 
+def trimmed(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        give_back()
+        return out
+
+    return run
+
+
+def trimmed2(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def shared_between_blocks(plan: Plan, keys_of: Callable[[pa.Table], np.ndarray], places: int = PLACES) -> DataFrame:
     """Rows (part, owner, blk, SHARED, body): for each block, its keys that another block has too; and the same of those
     among them that are CROWDED, as all blocks then know alike: over ``places`` times in a block, or in over BLOCKS blocks.
@@ -115,8 +133,8 @@ def shared_between_blocks(plan: Plan, keys_of: Callable[[pa.Table], np.ndarray],
                     rows.append((0, 0, blk, CROWDED, mine.astype("<u8").tobytes()))
         return packed_rows(rows)
 
-    given = plan.docs.groupBy(name).applyInArrow(give, ROWS)
-    return given.groupBy("part").applyInArrow(meet, ROWS)
+    given = plan.docs.groupBy(name).applyInArrow(trimmed(give), ROWS)
+    return given.groupBy("part").applyInArrow(trimmed(meet), ROWS)
 
 
 def held_keys(rows: pa.Table, kind: int = SHARED) -> np.ndarray:
@@ -126,14 +144,18 @@ def held_keys(rows: pa.Table, kind: int = SHARED) -> np.ndarray:
 
 def with_blocks(plan: Plan, rows: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` on each block's documents together with its packed rows."""
-    return plan.docs.groupBy(plan.name).cogroup(rows.groupBy("blk")).applyInArrow(work, schema)
+    return plan.docs.groupBy(plan.name).cogroup(rows.groupBy("blk")).applyInArrow(trimmed2(work), schema)
 
 
 def exchanged(rows: DataFrame, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """``meet`` on the rows of each part; LOCAL rows, which each have an owner of their own, pass as they are."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return meet(table) if key[1].as_py() == 0 else table.select(NAMES)
+        if key[1].as_py():
+            return table.select(NAMES)
+        out = meet(table)
+        give_back()
+        return out
 
     return rows.groupBy("part", "owner").applyInArrow(run, ROWS)
 

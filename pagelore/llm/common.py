@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Bytes of text that numpy works on at once; a longer document is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Bytes of text in a block of documents, the unit that a task holds whole.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 #: Lower-cases A-Z and nothing else, as a table over bytes.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,11 +126,17 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, the same for the same bytes anywhere."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", len(data) + 1)[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    """64-bit hashes of the byte spans, the same for the same bytes anywhere; starts must not fall."""
+    out, i = np.zeros(len(starts), dtype=np.uint64), 0
+    while i < len(starts):  # about PIECE bytes at once
+        lo = starts[i]
+        j = int(np.searchsorted(starts, lo + PIECE, "left"))
+        hi = int(ends[i:j].max())
+        total = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * _power("up", hi - lo), out=total[1:])
+        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _power("down", hi - lo + 1)[starts[i:j] - lo]
+        i = j
+    return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
@@ -183,7 +198,7 @@ def anchors(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
 def block_bounds(docs: DataFrame, block: int = BLOCK) -> list[int]:
     """Upper bounds of the doc_ids of blocks of about ``block`` bytes of text: ids of a block lie above those before it.
 
-    The list grows with the number of blocks (8 bytes for each 8 MB of text) and never with that of the documents.
+    The list grows with the number of blocks (8 bytes for each 4 MB of text) and never with that of the documents.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = int(total // block) + 1

@@ -22,7 +22,7 @@ from pagelore.llm.induced_sort import MEMORY, alike, common_prefixes, suffix_ord
 #: Bytes in a string, bytes in the grams that anchors are chosen from.
 LENGTH, GRAM = 50, 20
 #: Anchors for each byte of text, at most about; bytes of text at once.
-ANCHORS_PER_BYTE, SCAN = 1 / 14, 2 << 20
+ANCHORS_PER_BYTE, SCAN = 1 / 14, 1 << 20
 
 
 class Stretches:
@@ -138,7 +138,7 @@ def spans_removed(members: tuple[np.ndarray, ...], text: np.ndarray, length: int
 
 def removals(plan: Plan, length: int = LENGTH, memory: int = MEMORY, places: int = PLACES) -> DataFrame:
     """Rows that tell each block the bytes that go: starts and lengths in the block's text."""
-    name, width, parts = plan.name, plan.width, plan.parts * 4
+    name, width, parts = plan.name, plan.width, plan.parts * 24
 
     def ask(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
