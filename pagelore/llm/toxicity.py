@@ -17,6 +17,8 @@ CELLS, STEM, RANGES = 1 << 18, 5, 64
 STEM_PRIOR, WORD_PRIOR = 2.0, 2.0
 #: What a token costs, so that clean text drifts down; bounds of a token's score; least score of a reported segment.
 COST, LOWEST, HIGHEST, FLOOR = 1.0, -4.0, 6.0, 2.0
+#: Labelled rows that the classifier learns from, at most about, and the seed by which they are chosen beyond that.
+TAUGHT, SEED = 200_000, 7
 #: Width of the calibration bins of the log significance, and the e-value below which a passage is called significant.
 BIN, SIGNIFICANT = 0.5, 0.05
 
@@ -166,15 +168,27 @@ def line_through(x: Column, at: list[float], chance: list[float]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out * 0.999 + rise * 0.001))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+def taught(labels: DataFrame, folds: int, most: int) -> DataFrame:
+    """(id, toxic) of the labelled ids that teach: about ``most`` of them, those of the least hashes, or all if fewer.
+
+    The sample has that bound at every size, so it is broadcast and no text is shuffled to its label.
+    """
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    teach = checkpointed(marks.where(crc32_of_id("id") % folds != 0))
+    share = most / max(1, teach.count())
+    if share < 1:
+        teach = teach.where(F.abs(F.xxhash64("id", F.lit(SEED))) < F.lit(int(share * 2.0**63)))
+    return F.broadcast(teach)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = TAUGHT) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_tokens, passages) of each row of ``docs``.
 
-    Learns from labelled rows whose crc32 of the id modulo ``folds`` is not 0; of several labels of an id the highest
-    counts, rows with a null label or id teach nothing. Passages have start, end (tokens), score and e-value. Empty and
+    Learns from about ``most`` labelled rows whose crc32 of the id modulo ``folds`` is not 0; of several labels of an id
+    the highest counts, rows with a null label or id teach nothing. Passages have start, end (tokens), score and e-value. Empty and
     null texts get the score of a text without passages. Without any labels all scores are 0.
     """
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    teach = marks.where(crc32_of_id("id") % folds != 0)
+    teach = taught(labels, folds, most)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = log_odds(class_counts(held.join(teach, held["doc_id"] == teach["id"]).select("text", "toxic")))
     found = checkpointed(segments(held, model))

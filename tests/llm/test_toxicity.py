@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagelore.llm.toxicity import maximal_segments, op3_toxicity, toxicity
+from pagelore.llm.toxicity import maximal_segments, op3_toxicity, taught, toxicity
 from tests.llm.fixtures import frame, odd_rows, row
 
 
@@ -68,3 +68,10 @@ def test_passages_and_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in op3_toxicity(frame(spark), empty).collect()] == [0] * len(odd_rows())
     assert op3_toxicity(frame(spark, []), marks).count() == 0
+
+
+def test_bounded_sample(spark):
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(4000)] + [(7, 0, 0)], "doc_id long, quality int, toxic int")
+    some, all_ = ({(r.id, r.toxic) for r in taught(marks, 5, most).collect()} for most in (500, 10_000))
+    assert some < all_ == {(i, i % 2) for i in range(4000) if zlib.crc32(str(i).encode()) % 5}
+    assert 400 < len(some) < 600
