@@ -26,7 +26,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def pair_scores(items: DataFrame, others: DataFrame, key: str, doc: str, feature: str, scorer: Scorer) -> DataFrame:
     """(key, i, j, score) of every ordered pair within a key, its own included; a null score counts as 0. For any scorer,
-    so it is quadratic in a class; ``mean_scores`` is the linear way for dot products."""
+    so it is quadratic in a class if both sides are whole; ``mean_scores`` is the linear way for dot products."""
     a = items.select(key, F.col(doc).alias("i"), F.col(feature).alias("a"))
     b = others.select(key, F.col(doc).alias("j"), F.col(feature).alias("b"))
     return a.join(b, key).select(key, "i", "j", F.coalesce(scorer(F.col("a"), F.col("b")), F.lit(0.0)).alias("score"))
@@ -50,16 +50,21 @@ def medoid(means: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(best.alias("medoid"), F.max("mean").alias("medoid_mean"))
 
 
-def top_prototypes(pairs: DataFrame, medoids: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """(key, rank, prototype, score): the items most like the medoid, itself included; a top-k report."""
-    near = pairs.join(medoids.select(key, "medoid"), key).where(F.col("i") == F.col("medoid"))
+def top_prototypes(items: DataFrame, medoids: DataFrame, key: str, doc: str, feature: str, scorer: Scorer, most: int = 8) -> DataFrame:
+    """(key, rank, prototype, score): the items most like the medoid, itself included; a top-k report.
+
+    Scores each item once, against the medoid of its key; Spark cuts to ``most`` a task before the shuffle.
+    """
+    middle = items.join(medoids.select(key, F.col("medoid").alias(doc)), [key, doc])
+    near = pair_scores(middle, items, key, doc, feature, scorer)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("j").asc()))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", F.col("j").alias("prototype"), "score")
 
 
-def prototype_scores(pairs: DataFrame, prototypes: DataFrame, key: str) -> DataFrame:
-    """(key, i, score_pct): the blend of the best and the mean score against the prototypes of the key."""
-    held = pairs.join(prototypes.select(key, F.col("prototype").alias("j")), [key, "j"])
+def prototype_scores(items: DataFrame, prototypes: DataFrame, key: str, doc: str, feature: str, scorer: Scorer) -> DataFrame:
+    """(key, i, score_pct): the blend of the best and the mean score against the prototypes of the key, which are few."""
+    few = items.join(prototypes.select(key, F.col("prototype").alias(doc)), [key, doc])
+    held = pair_scores(items, few, key, doc, feature, scorer)
     return held.groupBy(key, "i").agg(F.max("score").alias("best"), F.avg("score").alias("mean")).select(key, "i", blended(F.col("best"), F.col("mean")).alias("score_pct"))
 
 
@@ -70,4 +75,3 @@ def token_report(scored: DataFrame, key: str, method: str = "p05", sigma: float
     out = held.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("score_pct") >= F.col("threshold_pct")).alias("valid"), F.first("threshold_pct").alias("t"), F.avg("score_pct").alias("m"))
     ratio = F.col("valid") / F.col("total")
     return out.select(key, "total", "valid", F.round(ratio, 6).alias("valid_ratio"), status_from_ratio(ratio).alias("status"), F.round("t", 3).alias("threshold_pct"), F.round("m", 4).alias("mean_pct"))
-

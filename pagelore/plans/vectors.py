@@ -97,8 +97,12 @@ tp as (select label, j, s, row_number() over (partition by label order by s desc
 bl as (select pr.label, pr.i, round((0.7 * max(pr.s) + 0.3 * avg(pr.s)) * 100, 4) score_pct from pr join tp on pr.label = tp.label and pr.j = tp.j group by all)"""
 
 
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("u"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("u"))
+    held = units(spark, sf_dir)
     return prototypes.pair_scores(held, held, "label", "vec_id", "u", prototypes.cosine)
 
 
@@ -114,13 +118,14 @@ def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("medoid_by_sums", f"with {_UNITS}, mm as (select a.label, a.vec_id i, avg(list_dot_product(a.u, b.u)) m from u a join u b on a.label = b.label and a.vec_id <> b.vec_id group by all) select label, arg_max(i, (m, -i)) medoid, round(max(m), 6) medoid_mean from mm group by label")
 def medoid_by_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("u"))
+    held = units(spark, sf_dir)
     return prototypes.medoid(prototypes.mean_scores(held, "label", "vec_id", "u"), "label").withColumn("medoid_mean", F.round("medoid_mean", 6))
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    held = pairs(spark, sf_dir)
-    return held, prototypes.top_prototypes(held, prototypes.medoid(prototypes.mean_from_pairs(held, "label"), "label"), "label")
+    held = units(spark, sf_dir)
+    medoids = prototypes.medoid(prototypes.mean_from_pairs(pairs(spark, sf_dir), "label"), "label")
+    return held, prototypes.top_prototypes(held, medoids, "label", "vec_id", "u", prototypes.cosine)
 
 
 @query("prototypes_topk", f"with {_PAIRS} select label, rank::int rank, j prototype, round(s, 6) score from tp")
@@ -134,7 +139,7 @@ def prototypes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_paradigm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, top = chosen(spark, sf_dir)
-    return prototypes.token_report(prototypes.prototype_scores(held, top, "label"), "label")
+    return prototypes.token_report(prototypes.prototype_scores(held, top, "label", "vec_id", "u", prototypes.cosine), "label")
 
 
 _LINEAR = f"""{_UNITS}, x as (select label, unnest(v) c, unnest(range(len(v))) pos from v), m as (select label, list(c order by pos) m from (select label, pos, avg(c) c from x group by all) group by label),
