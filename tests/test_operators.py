@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagelore.operators import families, paradigm, search, supervised
+from pagelore.operators import families, paradigm, prototypes, search, supervised
 from pagelore.operators.catalog import Catalog, CatalogError, contained
 from pagelore.sources import files
 from pagelore.streaming.live import live_search, write_hits
@@ -111,3 +111,22 @@ def test_search_override_and_stream(spark, tmp_path):
     live = live_search(spark, f"{tmp_path}/in", "doc int, v array<double>", catalog, "tag", "doc", "v")
     write_hits(live, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
     assert sorted(r.doc for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_prototype_scores_like_all_pairs(spark):
+    items = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["x", "y", "z"]), ("a", 3, ["q"]), ("a", 4, ["x"]), ("b", 5, ["m"]), ("b", 6, ["m"])], "tag string, id long, t array<string>")
+    pairs = prototypes.pair_scores(items, items, "tag", "id", "t", prototypes.jaccard)
+    all_ = {(r.tag, r.i, r.j): r.score for r in pairs.collect()}
+    medoids = prototypes.medoid(prototypes.mean_from_pairs(pairs, "tag"), "tag")
+    middle = {r.tag: r.medoid for r in medoids.collect()}
+    assert middle == {"a": 1, "b": 5}
+    top = prototypes.top_prototypes(items, medoids, "tag", "id", "t", prototypes.jaccard, 2)
+    got = {(r.tag, r.rank): r.prototype for r in top.collect()}
+    for tag, m in middle.items():
+        best = sorted((j for t, i, j in all_ if t == tag and i == m), key=lambda j: (-all_[tag, m, j], j))[:2]
+        assert [got[tag, 1], got[tag, 2]] == best
+    scored = prototypes.prototype_scores(items, top, "tag", "id", "t", prototypes.jaccard).collect()
+    assert len(scored) == 6
+    for r in scored:
+        s = [all_[r.tag, r.i, got[r.tag, k]] for k in (1, 2)]
+        assert r.score_pct == pytest.approx((0.7 * max(s) + 0.3 * sum(s) / 2) * 100, abs=1e-4)
