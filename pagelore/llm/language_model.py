@@ -1,164 +1,215 @@
 """LM scoring: smoothed n-grams as a weighted automaton with failure arcs, walked once over each text.
 
-The states are the empty history and every token that is common enough to be a history. An arc of a state carries the
-probability of a token seen after it; where a token has no arc, the failure arc leads to the empty history at a weight.
-Counts of all training texts are gathered by blocks of documents: a block gives its distinct n-grams with their counts to
-the parts of an exchange and is told the corpus-wide counts of just those, so no table of the corpus is sent everywhere.
+The states are the empty history and every history of one word or two that the training texts have, however rare. An arc
+of a state carries the probability of a token seen after it; where a token has no arc, the failure arc leads to the history
+without its first word at a weight. Counts of all training texts are gathered by chunks of documents: a chunk gives its
+distinct n-grams of each order with their counts to the parts of an exchange and is told the corpus-wide counts of just
+those, in the order it gave them, so no table of the corpus is sent everywhere and no key goes back.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.blocks import Plan, exchanged, in_order, isin_sorted, pack, packed_rows, unpack, with_blocks
-from pagelore.llm.common import LOWER, NOT_SPACE, checkpointed, grouped, mixed, span_hashes, utf8, word_bounds
-from pagelore.llm.induced_sort import alike
+from pagelore.llm.blocks import pack, unpack
+from pagelore.llm.common import LOWER, NOT_SPACE, checkpointed, give_back, grouped, mixed, pieces, span_hashes, utf8, word_bounds
 
-#: A token is a history if it is at least this share of the training tokens (so there are at most 2,000 such states).
-HISTORY = 1 / 2000
+#: A history is a state if it is at least this share of the training tokens, and seen at all; words in the longest n-gram.
+HISTORY, ORDER = 0.0, 3
 #: Weight in tokens of the distribution below a history; texts whose crc32 modulo this is 0 are held out.
 WEIGHT, FOLDS = 500.0, 10
 #: The end of a text, which is also the history of its first token.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Bytes in a block; distinct n-grams for each byte of text, at most about.
-BLOCK, NGRAMS_PER_BYTE = 8 << 20, 1 / 12
-UNIGRAM, BIGRAM, TOTALS = 10, 11, 12
+#: Bytes in a chunk; distinct n-grams of one order for each byte of text, at most about; n-grams that one task sums.
+BLOCK, NGRAMS_PER_BYTE, KEYS = 16 << 20, 1 / 7, 2 << 20
+#: What a row is: a chunk's documents, n-grams of an order (its number is their kind), or sums over a part's words.
+LOCAL, TOKENS, DISTINCT, ONCE = 0, -1, -2, -3
+ROWS = "part long, chunk long, kind int, body binary"
 
 
 class Tokens:
-    """A block's tokens in order, an end after each text, with flags of those that teach."""
+    """A chunk's tokens in order, an end after each text, with flags of those that teach."""
 
     def __init__(self, table: pa.Table, folds: int = FOLDS) -> None:
-        self.table, _ = in_order(table)
+        self.table = table
         data, offsets = utf8(self.table.column("text"))
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
         self.tokens = np.insert(span_hashes(data, starts, ends), first[1:], END)
         self.first = first + np.arange(len(first))
-        self.before = np.r_[END, self.tokens[:-1]].astype(np.uint64)
         names = self.table.column("doc_id").to_pylist()
         self.held_out = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % folds == 0 for d in names], dtype=bool)
-        self.teaches = np.repeat(~self.held_out, np.diff(self.first))
-
-    def pairs(self) -> np.ndarray:
-        return mixed(self.before * np.uint64(0x9E3779B97F4A7C15) + (self.tokens ^ (self.tokens >> np.uint64(32))))
-
-
-def counted(keys: np.ndarray, teaches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each is taught."""
-    known, which = np.unique(keys, return_inverse=True)
-    return known, np.bincount(which, weights=teaches, minlength=len(known)).astype(np.int64)
-
-
-def given(blk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    return packed_rows([(part, 0, blk, UNIGRAM, pack(keys[piece], counts[piece].astype(np.uint32))) for part, piece in grouped(keys, parts)])
-
-
-def summed(rows: pa.Table, kind: int, totals: bool) -> pa.Table:
-    """Corpus-wide counts of one part's keys, back to each block that asked; and of unigrams the totals of the part:
-    tokens, distinct tokens and those seen once, in the columns owner, blk and part."""
-    bodies = [unpack(b) for b in rows.column("body").to_pylist()]
-    blk = np.repeat(rows.column("blk").to_numpy(), [len(b[0]) for b in bodies])
-    keys, counts = np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies]).astype(np.float64)
-    known, which = np.unique(keys, return_inverse=True)
-    total = np.bincount(which, weights=counts).astype(np.int64)
-    seen = total[which] > 0
+        sizes = np.diff(self.first)
+        self.teaches = np.repeat(~self.held_out, sizes)
+        #: tokens of the same text before each one
+        self.before = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], sizes)
+
+    def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order: hashes of the n-grams that end at each token, and the places that have one. A text's first
+        word is after an end; longer n-grams begin with a word or that end and don't reach over it."""
+        keys = self.tokens
+        yield keys, np.ones(len(keys), dtype=bool)
+        for n in range(2, order + 1):
+            keys = mixed(np.roll(keys, 1) * np.uint64(0x9E3779B97F4A7C15) + (self.tokens ^ (self.tokens >> np.uint64(32))))
+            yield keys, self.before >= n - 2
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """Whole numbers byte by byte of all of them, so that their leading zeros take no room once packed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "chunk", "kind", "body"])
+
+
+def chunks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int, bytes, pa.Table]]:
+    """(number, packed documents, documents) of runs of rows of about ``block`` bytes. The number is a hash of the
+    documents, so it is the same whenever they are read; chunks of the same documents share it, and all their counts."""
+
+    def whole_chunk(held: list[pa.RecordBatch]) -> tuple[int, bytes, pa.Table]:
+        table, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        body = sink.getvalue().to_pybytes()
+        return xxhash.xxh64_intdigest(body) >> 1, body, table
+
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi, data, _ in pieces(batch.column("text"), block):
+            if held and size + len(data) > block:
+                yield whole_chunk(held)
+                held, size = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += len(data)
+    if held:
+        yield whole_chunk(held)
+
+
+def given(table: pa.Table, chunk: int, parts: int, folds: int, order: int) -> pa.Table:
+    """A chunk's distinct n-grams with how often each is taught, for the parts; hashes as differences."""
+    held, rows = Tokens(table, folds), []
+    for n, (keys, valid) in enumerate(held.ngrams(order), 1):
+        known, which = np.unique(keys[valid], return_inverse=True)
+        counts = np.bincount(which, weights=held.teaches[valid], minlength=len(known))
+        rows += [(part, chunk, n, pack(planes(np.diff(known[piece], prepend=np.uint64(0))), planes(counts[piece]))) for part, piece in grouped(known, parts)]
+    return rows_of(rows)
+
+
+def summed(rows: pa.Table, order: int) -> pa.Table:
+    """Corpus-wide counts of one part's n-grams, back to each chunk in the order it gave them; and of words the sums of
+    the part: tokens, distinct tokens and those seen once, in the column chunk."""
+    bodies = [[whole(x) for x in unpack(b)] for b in rows.column("body").to_pylist()]
+    bodies = [(np.cumsum(steps, dtype=np.uint64), counts) for steps, counts in bodies]
+    known, which = np.unique(np.concatenate([b[0] for b in bodies]), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate([b[1] for b in bodies])).astype(np.int64)
+    counts = total[which]
+    part, at, out = rows.column("part")[0].as_py(), np.cumsum([0, *(len(b[0]) for b in bodies)]), []
+    for i, chunk in enumerate(rows.column("chunk").to_pylist()):
+        out.append((part, chunk, order, pack(planes(counts[at[i] : at[i + 1]]))))
+    if order == 1:
+        out += [(part, int(x), kind, b"") for kind, x in ((TOKENS, total.sum()), (DISTINCT, (total > 0).sum()), (ONCE, (total == 1).sum()))]
+    return rows_of(out)
+
+
+def told(rows: pa.Table, held: Tokens, order: int) -> list[np.ndarray]:
+    """For each order the corpus-wide count of the n-gram that ends at each token, 0 where there is none."""
+    bodies = dict(zip(zip(rows.column("kind").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("body").to_pylist(), strict=True))
     out = []
-    order = np.lexsort((keys, blk))
-    order = order[seen[order]]
-    for a, b in alike(blk[order]):
-        mine = order[a:b]
-        out.append((0, 0, int(blk[mine[0]]), kind, pack(keys[mine], total[which[mine]].astype(np.uint32 if total.max() < 2**32 else np.int64))))
-    if totals:
-        out.append((int((total == 1).sum()), int(total.sum()), int((total > 0).sum()), TOTALS, b""))
-    return packed_rows(out)
-
-
-def told(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    bodies = [unpack(b) for b, k in zip(rows.column("body").to_pylist(), rows.column("kind").to_pylist(), strict=True) if k == kind]
-    if not bodies:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies]).astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, counts[at], 0)
+    for n, (keys, valid) in enumerate(held.ngrams(order), 1):
+        known, which = np.unique(keys[valid], return_inverse=True)
+        counts = np.concatenate([np.zeros(0, np.uint64), *(whole(unpack(bodies[at])[0]) for at in sorted(bodies) if at[0] == n)])
+        if len(counts) != len(known):
+            raise RuntimeError("the documents were not the same when they were read again")
+        out.append(np.zeros(len(keys), np.int64))
+        out[-1][valid] = counts.astype(np.int64)[which]
+    return out
 
 
 class Automaton:
-    """The part of the corpus's automaton that a block's texts walk through."""
+    """The automaton that texts walk through: ``total`` training tokens, ``once`` of them seen once."""
 
-    def __init__(self, total: int, once: int, words: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, np.ndarray], history: float = HISTORY, weight: float = WEIGHT) -> None:
-        self.total, self.once, self.words, self.arcs, self.weight = total, once, words, arcs, weight
-        self.states = words[0][words[1] >= max(1.0, history * total)]
+    def __init__(self, total: int, once: int, history: float = HISTORY, weight: float = WEIGHT) -> None:
+        self.total, self.once, self.least, self.weight = total, once, max(1.0, history * total), weight
 
-    def walk(self, block: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token in the state that the token before leads to, and the token's count.
+    def walk(self, held: Tokens, counts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each token in the longest state that the tokens before lead to.
 
         In the empty history a token has its share of the training tokens, all unseen ones together that of those seen
-        once. In a history h it has (count after h + weight times that) / (count of h + weight): an arc if the count is
-        not 0, else the failure arc of weight / (count of h + weight) and the arc of the empty history.
+        once. In a history h it has (count after h + weight times that of h without its first word) / (count of h +
+        weight): an arc if the count is not 0, else the failure arc of weight / (count of h + weight) and what follows.
         """
-        count = looked_up(block.tokens, *self.words)
-        below = np.where(count > 0, count, self.once) / max(1, self.total + self.once)
+        count = counts[0]
+        chance = np.where(count > 0, count, self.once) / max(1, self.total + self.once)
         if not self.total:
-            below = np.ones(len(count))
-        below = np.maximum(below, 0.5 / max(1, self.total))
-        inside = isin_sorted(block.before, self.states)
-        of_state = np.where(inside, looked_up(block.before, *self.words), 0)
-        after = np.where(inside, looked_up(block.pairs(), *self.arcs), 0)
-        return np.log10(np.where(inside, (after + self.weight * below) / (of_state + self.weight), below)), count
+            chance = np.ones(len(count))
+        chance = np.maximum(chance, 0.5 / max(1, self.total))
+        for n in range(2, len(counts) + 1):
+            of_state = np.where(held.before >= n - 2, np.roll(counts[n - 2], 1), 0)
+            inside = of_state >= self.least
+            chance = np.where(inside, (counts[n - 1] + self.weight * chance) / (of_state + self.weight), chance)
+        return np.log10(chance)
 
 
-def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: float = HISTORY) -> DataFrame:
+def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: float = HISTORY, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
     Tokens are words between white space, A-Z in lower case, and an end. Rows whose crc32 of the id modulo ``folds`` is 0
     don't teach. ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens. Null texts are empty.
+    N-grams have ``order`` words at most. A chunk is a run of input rows of about ``block`` bytes, whatever
+    their ids; ``docs`` is read twice and must give the same rows in the same order, as files do, or an error is raised.
     """
-    plan = Plan(docs.selectExpr("cast(doc_id as long) doc_id", "text"), NGRAMS_PER_BYTE, block)
-    name, parts = plan.name, plan.parts
-
-    def words_of(table: pa.Table) -> pa.Table:
-        held = Tokens(table, folds)
-        return given(table.column(name)[0].as_py(), *counted(held.tokens, held.teaches), parts)
-
-    rows = "part int, owner long, blk int, kind int, body binary"
-    words = checkpointed(exchanged(plan.docs.groupBy(name).applyInArrow(words_of, rows), lambda t: summed(t, UNIGRAM, True)))
-    once, total, distinct = (int(x or 0) for x in words.where(F.col("kind") == TOTALS).agg(F.sum("part"), F.sum("owner"), F.sum("blk")).first())
-    words = words.where(F.col("kind") == UNIGRAM)
-
-    def pairs_of(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return packed_rows([])
-        held = Tokens(table, folds)
-        walk = Automaton(total, once, told(known, UNIGRAM), told(known, BIGRAM), history)
-        inside = isin_sorted(held.before, walk.states)
-        return given(table.column(name)[0].as_py(), *counted(held.pairs()[inside], held.teaches[inside]), parts)
-
-    arcs = exchanged(with_blocks(plan, words, pairs_of, rows), lambda t: summed(t, BIGRAM, False))
-
-    def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        held = Tokens(table, folds)
-        chance, count = Automaton(total, once, told(known, UNIGRAM), told(known, BIGRAM), history).walk(held)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    parts = int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * NGRAMS_PER_BYTE) // KEYS + 1
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, table in chunks(batches, block):
+            yield from given(table, chunk, parts, folds, order).to_batches()
+            give_back()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, body, _ in chunks(batches, block):
+            yield from rows_of([(0, chunk, LOCAL, body)]).to_batches()
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        out = summed(table, key[1].as_py())
+        give_back()
+        return out
+
+    rows = checkpointed(docs.mapInArrow(give, ROWS).groupBy("part", "kind").applyInArrow(meet, ROWS))
+    sums = dict(rows.where("kind < 0").groupBy("kind").agg(F.sum("chunk")).collect())
+    total, distinct, once = (int(sums.get(kind, 0)) for kind in (TOKENS, DISTINCT, ONCE))
+
+    def score(table: pa.Table) -> pa.Table:
+        local = np.array(table.column("kind").to_pylist()) == LOCAL
+        bodies, known = table.filter(pa.array(local)).column("body").to_pylist(), table.filter(pa.array(~local))
+        if not bodies:
+            raise RuntimeError("the documents were not the same when they were read again")
+        held = Tokens(pa.ipc.open_stream(bodies[0]).read_all().combine_chunks(), folds)
+        counts = told(known, held, order)
+        chance, count = Automaton(total, once, history).walk(held, counts), counts[0]
         base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
         at = held.first[:-1]
-        add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0, x.dtype)
+        add = lambda x: np.add.reduceat(x, at)
         n = np.diff(held.first)
-        return pa.table({"doc_id": held.table.column("doc_id"), "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(add(chance))})
+        out = pa.table({"doc_id": held.table.column("doc_id"), "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(add(chance))})
+        give_back()
+        return pa.concat_tables([out] * len(bodies))
 
-    return with_blocks(plan, words.unionByName(arcs), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(local, ROWS).union(rows.where("kind > 0")).groupBy("chunk").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_language_model(docs: DataFrame) -> DataFrame:
-    return scored(docs)
+    return scored(docs, order=ORDER)

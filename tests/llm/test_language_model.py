@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from pagelore.llm.language_model import scored
+from pagelore.llm.language_model import op4_language_model, scored
 from tests.llm.fixtures import frame, odd_rows, row
 
 
@@ -63,3 +63,38 @@ def test_probabilities_sum_to_one():
 
 def test_empty_table(spark):
     assert scored(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [16 << 20, 3000])
+def test_every_history_of_two_words_is_a_state(spark, block):
+    docs = rows() + [row(2000 + i, f"rare{i} next{i} last{i} w1") for i in range(400)] + [row(5001, "rare7 next7 last7"), row(5000 + 2, "next7 last7 w2")]
+    tokens = {i: [*(r[1] or "").encode().lower().split(), None] for i, r in enumerate(docs)}
+    c, pair, three = Counter(), Counter(), Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(b"" if docs[i][0] is None else str(docs[i][0]).encode()) % 10:
+            c.update(t)
+            pair.update(zip([None, *t], t))  # noqa: B905
+            three.update(zip([None, *t], t, t[1:]))  # noqa: B905
+    n, once = sum(c.values()), sum(x == 1 for x in c.values())
+    assert n > 4000  # a word seen once is less than 1/2000 of the tokens
+    want = []
+    for i, t in tokens.items():
+        score = 0.0
+        for k, w in enumerate(t):
+            chance, h = max((c[w] or once) / (n + once), 0.5 / n), t[k - 1] if k else None
+            if c[h]:
+                chance = (pair[h, w] + 500 * chance) / (c[h] + 500)
+            if k and pair[g := (t[k - 2] if k > 1 else None, h)]:
+                chance = (three[*g, w] + 500 * chance) / (pair[g] + 500)
+            score += math.log10(chance)
+        want.append((str(docs[i][0]), len(t), score))
+    got = op4_language_model(frame(spark, docs)) if block > 3000 else scored(frame(spark, docs), block=block, order=3)
+    for a, b in zip(sorted((str(r[0]), r[2], r[6]) for r in got.collect()), sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
+
+
+def test_chunks_of_the_same_documents(spark):
+    docs = [row(i % 2, f"a b c{i % 2}") for i in range(8)]
+    alone = {(r[0], r[6]) for r in scored(frame(spark, docs).coalesce(1), order=3).collect()}
+    got = [(r[0], r[6]) for r in scored(frame(spark, docs).coalesce(1), block=14, order=3).collect()]
+    assert len(got) == 8 and {(d, round(s, 9)) for d, s in got} == {(d, round(s, 9)) for d, s in alone}
