@@ -121,10 +121,10 @@ def reference_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_families")
 def kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, _, _ = families.kmeans(page_rows(spark, sf_dir), FIELDS, 4, starts=3)
+    held, _, _ = families.kmeans(page_rows(spark, sf_dir), FIELDS, 4, starts=10)
     return held.select("doc_id", "family")
 
 
 @query("elbow")
 def elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.elbow(page_rows(spark, sf_dir), FIELDS, 2, 4, 1)
+    return families.elbow(page_rows(spark, sf_dir), FIELDS, 2, 8, starts=10)

@@ -130,3 +130,34 @@ def test_prototype_scores_like_all_pairs(spark):
     for r in scored:
         s = [all_[r.tag, r.i, got[r.tag, k]] for k in (1, 2)]
         assert r.score_pct == pytest.approx((0.7 * max(s) + 0.3 * sum(s) / 2) * 100, abs=1e-4)
+
+
+def test_registered_kmeans_and_elbow_find_planted_families(spark, tmp_path):
+    import numpy as np
+
+    from pagelore.functions.features import zscored
+    from pagelore.plans.families import FIELDS, page_rows
+    from pagelore.plans.registry import QUERIES
+
+    kinds = [(5, 3), (5, 40), (60, 3), (60, 12)]  # words in a text and letters in a word
+    texts = [" ".join(["x" * size] * (words + i % 3)) for words, size in kinds for i in range(12)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.family for r in QUERIES["kmeans_families"](spark, str(tmp_path)).collect()}
+    assert len(found) == 48 and all(len({found[g * 12 + i] for i in range(12)}) == 1 for g in range(4)) and len(set(found.values())) == 4
+
+    x = np.array([[r[f"{f}_z"] for f in FIELDS] for r in zscored(page_rows(spark, str(tmp_path)), FIELDS).collect()], dtype=float)
+    rng = np.random.default_rng(0)
+
+    def lloyd(k):
+        distinct = np.unique(x, axis=0)
+        centers = distinct[rng.choice(len(distinct), k, replace=False)]
+        for _ in range(50):
+            near = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+            centers = np.array([x[near == c].mean(0) if (near == c).any() else centers[c] for c in range(k)])
+        return ((x[:, None] - centers) ** 2).sum(2).min(1).sum()
+
+    got = sorted(tuple(r) for r in QUERIES["elbow"](spark, str(tmp_path)).collect())
+    assert [k for k, _ in got] == list(range(2, 9))
+    for k, inertia in got:
+        assert inertia <= 1.1 * min(lloyd(k) for _ in range(200)) + 1e-6
