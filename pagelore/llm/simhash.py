@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -112,17 +112,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     A null doc_id is never a component's name unless all its members have none. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, size))
+    return named(prints, links(prints))
+
+
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, print, component_id) of each row (doc_id, print), given the edges between prints."""
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = components(links(prints))
+    roots = components(edges)
     rooted = first.join(roots, first["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group of near-duplicates; rows without an id stay."""
-    kept = near_duplicates(docs, size).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def one_of_each_group(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group, as ``near`` finds them; rows without an id stay."""
+    kept = near(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     held = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
     return held.union(docs.where(F.col("doc_id").isNull()))
 
