@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing: small Hamming balls in each fingerprint segment find the links."""
+"""SimHash near-duplicates: a join of the one-bit neighbourhoods of whole fingerprints finds the links."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from pagelore.llm.common import checkpointed, pieces
 
-#: Words in a shingle, seed of the shingle hash, bits of a fingerprint, segments it is cut into.
-SHINGLE, SEED, BITS, SEGMENTS = 3, 42, 64, 2
+#: Words in a shingle, seed of the shingle hash, bits of a fingerprint.
+SHINGLE, SEED, BITS = 3, 42, 64
 
 
 def _shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -54,17 +54,15 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def balls(prints: Column) -> Column:
-    """The fingerprint itself and each one that differs by one bit inside one of the segments: its radius-1 balls."""
-    per = BITS // SEGMENTS
-    moved = [prints.bitwiseXOR(F.lit((1 << (s * per + i)) - (1 << 64 if s * per + i == 63 else 0))) for s in range(SEGMENTS) for i in range(per)]
+    """The fingerprint itself and each one that differs from it by one bit: its radius-1 ball."""
+    moved = [prints.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(BITS)]
     return F.array(prints, *moved)
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints at 2 or fewer differing bits that connect all that are so linked.
 
-    Two fingerprints differ by at most 2 bits exactly if some value lies within one bit of both: in one segment's ball of
-    the first with the other segment as it is, and likewise for the second. The table thus maps each ball member to its
+    Two fingerprints differ by at most 2 bits exactly if some value lies within one bit of both. The table thus maps each ball member to its
     fingerprints, of which there are 65 at most, however large a group of near copies is; neighbours in the table are
     verified by their complete distance and linked in a chain, so no group is spread into all its pairs.
     """
