@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -35,7 +36,10 @@ def with_checkpoints(spark: SparkSession) -> None:
     """Leaves the folder of ``spark.checkpoint.dir`` as it is; sets one only where there is none, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -101,20 +105,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 
 
 _ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, PIECE + 1), _ODD if kind == "up" else _INVERSE, dtype=np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps)
-    return _powers[kind][:n]
+#: Spans longer than this are hashed one by one, with another function.
+LONG = 256
+#: For 0 to 8 bytes: the bits of a lane that hold them.
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every input bit reaches every output bit."""
+    """A 64-bit finalizer: every input bit reaches every output bit, and different inputs have different outputs."""
     h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
@@ -125,18 +123,66 @@ def mixed(h: np.ndarray) -> np.ndarray:
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (and from the end) as one number, zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, the same for the same bytes anywhere; starts must not fall."""
-    out, i = np.zeros(len(starts), dtype=np.uint64), 0
-    while i < len(starts):  # about PIECE bytes at once
-        lo = starts[i]
-        j = int(np.searchsorted(starts, lo + PIECE, "left"))
-        hi = int(ends[i:j].max())
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * _power("up", hi - lo), out=total[1:])
-        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _power("down", hi - lo + 1)[starts[i:j] - lo]
-        i = j
-    return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    """64-bit hashes of the byte spans, the same for the same bytes anywhere.
+
+    Eight bytes at a time are mixed into the hash, not summed, so there are no families of spans of one hash; spans of one
+    length of 8 bytes or less never share a hash. Longer ones may by chance: see ``numbered`` for an exact answer.
+    """
+    size = ends - starts
+    out, held = mixed(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(_ODD)), lanes(data)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(size[i]) & 0xFFFF)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mixed((out[live] ^ (held[starts[live] + at] & _HELD[np.minimum(left, 8)])) * np.uint64(_ODD))
+        live, at = live[left > 8], at + 8
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, against: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the spans whose bytes are those from ``other`` on, in ``data`` or in ``against``."""
+    size, held = ends - starts, lanes(data)
+    there = held if against is None else lanes(against)
+    same, live, at = other + size <= len(there) - 1, np.arange(len(starts)), 0
+    live = live[same & (size > 0)]
+    while len(live) and at <= LONG:
+        mask = _HELD[np.minimum(size[live] - at, 8)]
+        equal = ((held[starts[live] + at] ^ there[other[live] + at]) & mask) == 0
+        same[live[~equal]] = False
+        live = live[equal]
+        live, at = live[size[live] > at + 8], at + 8
+    whole = data if against is None else against
+    for i in live.tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], whole[other[i] : other[i] + size[i]])
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span, one span of each number): equal numbers if and only if the bytes are equal."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = first[which]
+    if ((ends - starts == ends[like] - starts[like]) & same_spans(data, starts, ends, starts[like])).all():
+        return which, first
+    known: dict[bytes, int] = {}
+    spans = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    which = np.array([known.setdefault(s, len(known)) for s in spans], dtype=np.int64)
+    return which, np.unique(which, return_index=True)[1]
+
+
+def spans_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans end to end, and where each begins."""
+    begin = np.cumsum(size) - size
+    return data[np.arange(size.sum()) + np.repeat(at - begin, size)], begin
 
 
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
@@ -195,30 +241,64 @@ def anchors(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def block_bounds(docs: DataFrame, block: int = BLOCK) -> list[int]:
-    """Upper bounds of the doc_ids of blocks of about ``block`` bytes of text: ids of a block lie above those before it.
+class Blocks:
+    """Blocks of documents in order of doc_id, of about ``block`` bytes of text each or of one longer document.
 
-    The list grows with the number of blocks (8 bytes for each 4 MB of text) and never with that of the documents.
+    Ids are put in order by ranges, with the bytes that each has, and cut where a block is full; the cuts, 16 bytes for
+    each block, are what the driver holds. An id that has more than two blocks of text, as null may, is dealt over
+    several blocks by its texts: rows of equal ids don't remove each other's text, so they needn't lie together.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = int(total // block) + 1
-    if count == 1:
-        return []
-    shares = [i / count for i in range(1, count)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 20 * count))).first()[0]
-    return sorted(set(found or []))
-
-
-def block_of(bounds: list[int], column: str = "doc_id") -> Column:
-    """The number of the block of a doc_id; null ids come first."""
-    if not bounds:
-        return F.lit(0)
-    held = np.array(bounds, dtype=np.int64)
-
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held, ids.to_numpy(), "left").astype(np.int32))
 
-    return pandas_udf(place, "int")(F.coalesce(F.col(column).cast("long"), F.lit(-(2**63))))
+    def __init__(self, docs: DataFrame, block: int = BLOCK) -> None:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts, room, last, total = [], 0, None, 0
+            for batch in batches:
+                for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if last is not None and room + size > block:
+                        cuts.append((last, 1, room))
+                        room = 0
+                    room, last = room + size, name
+                    if size > 2 * block:
+                        cuts.append((name, size // block, size))
+                        room, last = 0, None
+            if last is not None:
+                cuts.append((last, 1, room))
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cuts], pa.int64()) for i in range(3)], ["last", "pieces", "bytes"])
+
+        sizes = docs.select(_id().alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+        sizes = sizes.groupBy("id").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        # a document alone is never split
+        sizes = sizes.select("id", F.when(F.col("n") > 1, F.col("size")).otherwise(F.least("size", F.lit(2 * block))).alias("size"))
+        found = sorted(tuple(r) for r in sizes.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(cut, "last long, pieces long, bytes long").collect())
+        self.last, pieces, size = (np.array([r[i] for r in found], dtype=np.int64) for i in range(3))
+        self.first = np.r_[0, np.cumsum(pieces)]
+        self.bytes = int(size.sum())
+
+    def of(self, docs: DataFrame) -> Column:
+        """The number of the block of each row."""
+        if self.first[-1] < 2:
+            return F.lit(0)
+        sent = docs.sparkSession.sparkContext.broadcast((self.last, self.first))
+
+        def place(ids: pd.Series, salt: pd.Series) -> pd.Series:
+            last, first = sent.value
+            at = np.searchsorted(last, ids.to_numpy(), "left")
+            return pd.Series((first[at] + salt.to_numpy() % (first[at + 1] - first[at])).astype(np.int32))
+
+        return pandas_udf(place, "int")(_id(), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
+
+
+def _id() -> Column:
+    """doc_id as a number, null first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores where ``docs`` has such a column in any case."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def grouped(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -7,18 +7,12 @@ import tempfile
 
 import numpy as np
 
+from pagelore.llm.blocks import alike
+
 #: Queued positions that stay in memory.
 MEMORY = 4 << 20
 
 
-def alike(values: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs of equal values."""
-    if not len(values):
-        return []
-    cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
-    return list(zip(cut, [*cut[1:], len(values)], strict=True))
-
-
 class SpillingQueue:
     """A priority queue of suffix positions: by first letter, then in the order of arrival.
 

@@ -1,10 +1,10 @@
 """Substring dedup over words: prefix-partitioned suffix trees whose deep internal nodes are the repeats.
 
 Documents lie in blocks in order of doc_id. Blocks first tell each other, in packed keys, which word anchors they share
-(every window holds an anchor, and equal windows hold equal ones), so that only suffixes that may repeat are sorted. Each
-block splits those by prefixes of as many words as make the groups fit into memory, builds the subtree of each group to
-the depth of a window, and gives the deep nodes to the parts of the corpus-wide exchange, where the blocks that come later
-learn which of theirs an earlier block has.
+(every window holds an anchor, and equal windows hold equal ones). Suffixes that may repeat then go, with their words, to
+the part that owns the anchor. A part splits its suffixes by prefixes of as many words as make the groups fit into memory
+and builds the subtree of each group to the depth of a window: sorted suffixes, common prefixes of neighbours, and from
+them the inner nodes. The leaves below a deep inner node are the places of a repeat.
 """
 
 from __future__ import annotations
@@ -16,35 +16,53 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagelore.llm.blocks import EARLIER, LOCAL, Plan, covered, exchanged, held_keys, in_order, isin_sorted, pack, packed_rows, runs, shared_between_blocks, shorter, unpack, with_blocks
-from pagelore.llm.common import NOT_SPACE, anchors, grouped, span_hashes, starts_within, utf8, window_hashes, word_bounds
-from pagelore.llm.induced_sort import alike
+from pagelore.llm.blocks import PLACES, Held, Members, Plan, in_order, runs, units_gone, windows_gone, with_blocks
+from pagelore.llm.common import NOT_SPACE, anchors, mixed, numbered, span_hashes, spans_of, starts_within, utf8, window_hashes, word_bounds
 
 #: Words in a window, words in the grams that anchors are chosen from, suffixes in a group.
 WINDOW, GRAM, GROUP = 20, 8, 40_000
-#: Anchors for each byte of text, at most about: two in fourteen words of five bytes or more.
-ANCHORS_PER_BYTE = 1 / 35
+#: Anchors for each byte of text, at most about: two in fourteen words of five bytes or more; shards that a part works on
+#: one after the other.
+ANCHORS_PER_BYTE, SHARDS = 1 / 35, 6
 
 
 class Words:
-    """A block's words in order, their hashes, windows and anchors."""
+    """A block's words in order."""
 
-    def __init__(self, table: pa.Table, window: int = WINDOW, gram: int = GRAM) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.table, self.ids = in_order(table)
         self.data, self.offsets = utf8(self.table.column("text"))
         self.starts, self.ends, self.first = word_bounds(self.data, self.offsets, NOT_SPACE)
+
+
+class Windows(Held):
+    """A block's windows of words by their anchors; ``data`` is its words, each with a space after it."""
+
+    def __init__(self, table: pa.Table, window: int = WINDOW, gram: int = GRAM) -> None:
+        held = Words(table)
+        self.ids, self.window = held.ids, window
+        size = held.ends - held.starts + 1
+        self.starts = np.cumsum(size) - size
+        self.ends = self.starts + size - 1
+        text = np.append(held.data, np.uint8(32))
+        self.data, _ = spans_of(text, held.starts, size)
+        self.data[self.ends] = 32
         self.units = span_hashes(self.data, self.starts, self.ends)
-        self.windows = np.zeros(0, np.uint64)
-        self.valid = np.zeros(0, bool)
-        self.grams = self.anchor = np.zeros(0, np.int64)
+        self.key, self.at, self.count, self.row = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
         if len(self.units) >= window:
-            self.windows = window_hashes(self.units, window)
-            self.valid = starts_within(self.first, window)[: len(self.windows)]
-            self.grams = window_hashes(self.units, gram)
-            self.anchor = anchors(self.grams, self.valid, window - gram + 1)
+            valid = starts_within(held.first, window)[: len(self.units) - window + 1]
+            grams = window_hashes(self.units, gram)
+            place = anchors(grams, valid, window - gram + 1)
+            self.at = np.flatnonzero((place >= 0) & np.r_[True, place[1:] != place[:-1]])
+            self.count = np.flatnonzero((place >= 0) & np.r_[place[1:] != place[:-1], True]) - self.at + 1
+            self.key = grams[place[self.at]]
+            self.row = np.searchsorted(held.first, self.at, "right") - 1
+
+    def span(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.starts[at], self.ends[at + count + self.window - 2]
 
-    def anchor_places(self) -> np.ndarray:
-        return np.unique(self.anchor[self.anchor >= 0])
+    def window_keys(self, at: np.ndarray) -> np.ndarray:
+        return mixed(window_hashes(self.units, self.window)[at] ^ np.uint64(self.window))
 
 
 def suffix_groups(words: np.ndarray, suffixes: np.ndarray, depth: int, most: int = GROUP) -> Iterator[tuple[np.ndarray, int]]:
@@ -75,118 +93,87 @@ def suffix_groups(words: np.ndarray, suffixes: np.ndarray, depth: int, most: int
             yield np.concatenate(small), agreed
 
 
+def in_suffix_order(words: np.ndarray, suffixes: np.ndarray, depth: int, agreed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in the order of their next ``depth`` words, words that each shares with the one before, ``depth`` at
+    most). All agree in the first ``agreed`` words."""
+    bits = max(1, int(words.max(initial=0)).bit_length())
+    many = max(1, 63 // bits)  # words in one sort key
+    keys = []
+    for k in range(agreed, depth, many):
+        key = np.zeros(len(suffixes), dtype=np.int64)
+        for j in range(k, min(depth, k + many)):
+            key = (key << bits) | words[suffixes + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1]) if keys else np.arange(len(suffixes))
+    suffixes = suffixes[order]
+    common = np.zeros(len(suffixes), dtype=np.int64)
+    live, k = np.arange(1, len(suffixes)), agreed
+    while len(live) and k < depth:
+        live = live[words[suffixes[live] + k] == words[suffixes[live - 1] + k]]
+        k += 1
+        common[live] = k
+    common[1:] = np.maximum(common[1:], agreed)
+    return suffixes, common
+
+
 def deep_nodes(words: np.ndarray, suffixes: np.ndarray, depth: int, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, node of each): suffixes under one node agree in ``depth`` words; nodes are numbered from 0.
+    """(suffixes, node of each): those under one inner node of ``depth`` words or more; a leaf of its own has a node too.
 
-    The suffixes of a group are sorted by their words; where neighbours agree to the full depth the subtree has an inner
-    node that deep, and its leaves are the places of a repeat.
+    Groups are worked on one after the other. In the subtree of a group an inner node of that depth is a run of sorted
+    suffixes of which each shares ``depth`` words or more with the one before.
     """
     order, node, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for held, agreed in suffix_groups(words, suffixes, depth, most):
-        if agreed == depth:
-            order.append(held)
-            node.append(np.full(len(held), nodes))
-            nodes += 1
-            continue
-        for k in range(depth - 1, agreed - 1, -1):
-            held = held[np.argsort(words[held + k], kind="stable")]
-        new = np.ones(len(held), dtype=bool)
-        same = np.ones(max(0, len(held) - 1), dtype=bool)
-        for k in range(depth):
-            same &= words[held[1:] + k] == words[held[:-1] + k]
-        new[1:] = ~same
+        held, common = in_suffix_order(words, held, depth, agreed)
+        new = common < depth
+        new[:1] = True
+        order.append(held)
         node.append(np.cumsum(new) - 1 + nodes)
         nodes += int(new.sum())
-        order.append(held)
     return np.concatenate(order), np.concatenate(node)
 
 
-def repeated_windows(block: Words, shared: np.ndarray, width: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(windows that an earlier one of this block equals, one window of each node that another block may have)."""
-    none = np.zeros(0, np.int64)
-    places = block.anchor_places()
-    if not len(places):
-        return none, none
-    keys = block.grams[places]
-    known, count = np.unique(keys, return_counts=True)
-    outside = isin_sorted(shorter(keys, width), shared)
-    inside = count[np.searchsorted(known, keys)] > 1
-    at = np.searchsorted(places, block.anchor)  # of -1: 0, ruled out by valid
-    may = np.flatnonzero(block.valid & (outside | inside)[np.minimum(at, len(places) - 1)])
-    _, numbers = np.unique(block.units, return_inverse=True)
-    suffix, node = deep_nodes(numbers, may, window)
-    if not len(suffix):
-        return none, none
-    row = np.searchsorted(block.first, suffix, "right") - 1
-    order = np.lexsort((suffix, node))  # rows are in order of doc_id
-    suffix, node, row = suffix[order], node[order], row[order]
+def repeats_among(members: Members, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, first window, how many) of runs of windows whose words start earlier too: in a row of smaller doc_id, or
+    earlier in the same row."""
+    count, size = members.count, members.size
+    # a space after each span parts its last word from the next one
+    begin = np.cumsum(size + 1) - size - 1
+    text = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    text[np.arange(len(members.text)) + np.repeat(np.arange(len(size)), size)] = members.text
+    starts, ends, first = word_bounds(text, np.append(begin, len(text)), NOT_SPACE)
+    words, _ = numbered(text, starts, ends)
+    who = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+    suffix = first[who] + nth
+    suffixes, node = deep_nodes(words, suffix, window)
+    of = np.empty(len(words), np.int64)  # the node of each window, by member and window
+    of[suffixes] = node
+    node = of[suffix]
+    ids, blk, row, place = members.ids[who], members.blk[who], members.row[who], members.at[who] + nth
+    order = np.lexsort((place, row, blk, ids, node))
+    node, ids, blk, row = node[order], ids[order], blk[order], row[order]
     new = np.r_[True, node[1:] != node[:-1]]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (block.ids[row] > block.ids[row[first]]) | np.r_[False, (node[1:] == node[:-1]) & (row[1:] == row[:-1])]
-    ask = suffix[new & outside[np.searchsorted(places, block.anchor[suffix])]]
-    return np.sort(suffix[later]), ask
-
-
-def removals(plan: Plan, window: int = WINDOW) -> DataFrame:
-    """Rows that tell each block what goes: its own repeats (LOCAL) and keys of windows that earlier blocks have."""
-    parts, name, width = plan.parts * 2, plan.name, plan.width
-
-    def anchor_keys(table: pa.Table) -> np.ndarray:
-        block = Words(table, window)
-        return block.grams[block.anchor_places()].astype(np.uint64)
-
-    def ask(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return packed_rows([])
-        blk, block = table.column(name)[0].as_py(), Words(table, window)
-        later, asked = repeated_windows(block, held_keys(known), width, window)
-        rows = [(-1, blk + 1, blk, LOCAL, pack(np.diff(later, prepend=0).astype(np.int32)))] if len(later) else []
-        prefix, keys = block.grams[asked].astype(np.uint64), block.windows[asked]
-        order = np.argsort(prefix, kind="stable")
-        prefix, keys = prefix[order], keys[order]
-        for part, piece in grouped(prefix, parts):  # by the window's first words: a part holds whole subtrees
-            rows.append((part, 0, blk, EARLIER, pack((prefix[piece] >> np.uint64(32)).astype(np.uint32), keys[piece])))
-        return packed_rows(rows)
-
-    def meet(table: pa.Table) -> pa.Table:
-        blks = table.column("blk").to_numpy()
-        bodies = [unpack(b) for b in table.column("body").to_pylist()]
-        blk = np.repeat(blks, [len(b[1]) for b in bodies])
-        prefix, keys = (np.concatenate([b[i] for b in bodies]) for i in (0, 1))
-        order = np.lexsort((blk, keys, prefix))
-        blk, prefix, keys = blk[order], prefix[order], keys[order]
-        again = np.r_[False, (keys[1:] == keys[:-1]) & (prefix[1:] == prefix[:-1])]
-        blk, keys = blk[again], keys[again]
-        order = np.lexsort((keys, blk))
-        blk, keys = blk[order], keys[order]
-        return packed_rows([(0, 0, int(blk[a]), EARLIER, keys[a:b].astype("<u8").tobytes()) for a, b in alike(blk)])
-
-    shared = shared_between_blocks(plan, anchor_keys)
-    return exchanged(with_blocks(plan, shared, ask, "part int, owner long, blk int, kind int, body binary"), meet)
-
-
-def words_removed(block: Words, told: pa.Table, window: int = WINDOW) -> np.ndarray:
-    """Flags of the block's words that go."""
-    earlier = block.valid & isin_sorted(block.windows, held_keys(told, EARLIER))
-    gone = [np.flatnonzero(earlier)]
-    for body, kind in zip(told.column("body").to_pylist(), told.column("kind").to_pylist(), strict=True):
-        if kind == LOCAL:
-            gone.append(np.cumsum(unpack(body)[0].astype(np.int64)))
-    start = np.concatenate(gone)
-    return covered(start, start + window, len(block.starts))
-
-
-def _finished(docs: DataFrame, finish: Callable[[Words, np.ndarray], pa.Table], schema: str, window: int, block: int | None) -> DataFrame:
+    least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = (ids > least) | np.r_[False, ~new[1:] & (row[1:] == row[:-1]) & (blk[1:] == blk[:-1]) & (ids[1:] == ids[:-1])]
+    gone = np.empty(len(who), bool)
+    gone[order] = later
+    return members.runs_of(gone)
+
+
+def _finished(docs: DataFrame, finish: Callable[[Words, np.ndarray], pa.Table], schema: str, window: int, block: int | None, places: int) -> DataFrame:
     plan = Plan(docs, ANCHORS_PER_BYTE, **({"block": block} if block else {}))
 
     def work(table: pa.Table, told: pa.Table) -> pa.Table:
-        held = Words(table, window)
-        return finish(held, words_removed(held, told, window))
+        held = Words(table)
+        return finish(held, units_gone(told, len(held.starts), window))
 
-    return with_blocks(plan, removals(plan, window), work, schema)
+    gram = min(GRAM, window)
+    told = windows_gone(plan, lambda table: Windows(table, window, gram), lambda members: repeats_among(members, window), SHARDS, places, within_rows=True)
+    return with_blocks(plan, told, work, schema)
 
 
-def repeats_removed(docs: DataFrame, window: int = WINDOW, block: int | None = None) -> DataFrame:
+def repeats_removed(docs: DataFrame, window: int = WINDOW, block: int | None = None, places: int = PLACES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of ``docs``: the digest of what is left of its words.
 
     A word goes if a window of ``window`` consecutive words of its document that covers it also starts earlier: in a row
@@ -205,10 +192,10 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, block: int | None = N
         return pa.table({"doc_id": held.table.column("doc_id"), "n_words": pa.array(np.diff(held.first)), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string())})
 
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return _finished(slim, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, block)
+    return _finished(slim, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, block, places)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None, places: int = PLACES) -> DataFrame:
     """``docs`` with the repeated words cut out of the texts, in n_chars too where there is such a column; rows of which
     no word is left go. Texts that lose nothing stay as they are; around a cut the white space before it stays."""
     names, types = docs.columns, dict(docs.dtypes)
@@ -234,7 +221,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = N
         return pa.table(out).filter(pa.array(keep))
 
     schema = ", ".join(f"`{n}` {types[n]}" for n in names)
-    return _finished(docs, finish, schema, window, block)
+    return _finished(docs, finish, schema, window, block, places)
 
 
 def op2_substrings(docs: DataFrame) -> DataFrame:

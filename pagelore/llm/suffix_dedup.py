@@ -15,17 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagelore.llm.blocks import CROWDED, EARLIER, LOCAL, PLACES, Plan, covered, exchanged, held_keys, in_order, isin_sorted, pack, packed_rows, runs, shared_between_blocks, shorter, unpack, with_blocks
-from pagelore.llm.common import anchors, byte_units, grouped, mixed, span_hashes, starts_within, utf8, window_hashes
-from pagelore.llm.induced_sort import MEMORY, alike, common_prefixes, suffix_order
+from pagelore.llm.blocks import PLACES, Held, Members, Plan, in_order, runs, units_gone, windows_gone, with_blocks
+from pagelore.llm.common import anchors, byte_units, mixed, numbered, span_hashes, spans_of, starts_within, utf8, window_hashes
+from pagelore.llm.induced_sort import MEMORY, common_prefixes, suffix_order
 
 #: Bytes in a string, bytes in the grams that anchors are chosen from.
 LENGTH, GRAM = 50, 20
-#: Anchors for each byte of text, at most about; bytes of text at once.
-ANCHORS_PER_BYTE, SCAN = 1 / 14, 1 << 20
+#: Anchors for each byte of text, at most about; bytes of text at once; shards that a part sorts one after the other.
+ANCHORS_PER_BYTE, SCAN, SHARDS = 1 / 7, 1 << 20, 12
 
 
-class Stretches:
+class Stretches(Held):
     """Of a block: the anchors of its strings, and for each run of strings with one anchor its first start and count."""
 
     def __init__(self, table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> None:
@@ -52,23 +52,11 @@ class Stretches:
             lo = hi
         self.key, self.at, self.count, self.row = (np.concatenate(x) for x in (key, at, count, row))
 
-    def shared(self, outside: np.ndarray, width: int) -> np.ndarray:
-        """Flags of the stretches whose anchor another block, or another row of this block, has too."""
-        order = np.lexsort((self.row, self.key))
-        key, row = self.key[order], self.row[order]
-        inside = np.zeros(len(key), dtype=bool)
-        if len(key):
-            new = np.r_[True, key[1:] != key[:-1]]
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(key)] - 1
-            inside[order] = np.repeat(row[first] != row[last], last - first + 1)
-        return inside | isin_sorted(shorter(self.key, width), outside)
-
-
-def _text_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of spans end to end, and where each begins."""
-    begin = np.cumsum(size) - size
-    return data[np.arange(size.sum()) + np.repeat(at - begin, size)], begin
+    def span(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return at, at + count + self.length - 1
+
+    def window_keys(self, at: np.ndarray) -> np.ndarray:
+        return mixed(span_hashes(self.data, at, at + self.length) ^ np.uint64(self.length))
 
 
 def classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -95,31 +83,17 @@ def classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int,
     return back[order], kind
 
 
-def spans_removed(members: tuple[np.ndarray, ...], text: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, first, last string) of runs of a member's strings that a document of a smaller id has.
+def strings_gone(members: Members, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, first string, how many) of runs of a member's strings that a document of a smaller id has.
 
-    members: (doc ids, numbers of strings) of stretches whose bytes lie end to end in ``text``. Equal stretches are sorted
-    once, with the least of their ids.
+    Equal stretches are sorted once, with the least of their ids.
     """
-    ids, count = members
-    size = count + length - 1
+    ids, count, size, text = members.ids, members.count, members.size, members.text
     begin = np.cumsum(size) - size
-    key = span_hashes(text, begin, begin + size)
-    _, first, same = np.unique(key, return_index=True, return_inverse=True)
-    equal = size == size[first[same]]
-    if equal.all():  # verified byte for byte, piece by piece, with the stretch that stands for it
-        for a in range(0, len(size), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            mine, _ = _text_of(text, begin[part], size[part])
-            other, _ = _text_of(text, begin[first[same[part]]], size[part])
-            if not np.array_equal(mine, other):
-                equal[:] = False
-                break
-    if not equal.all():
-        first = same = np.arange(len(size))
+    same, first = numbered(text, begin, begin + size)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, same, ids)
-    once, at = _text_of(text, begin[first], size[first])
+    once, at = spans_of(text, begin[first], size[first])
     string, kind = classes(once, at, size[first], length, memory)
     owner = np.searchsorted(at, string, "right") - 1
     earliest = np.full(int(kind.max(initial=-1)) + 1, np.iinfo(np.int64).max)
@@ -129,63 +103,7 @@ def spans_removed(members: tuple[np.ndarray, ...], text: np.ndarray, length: int
     # every member's strings against the earliest id that has them
     who = np.repeat(np.arange(len(ids)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    gone = by_place[at[same[who]] + nth] < ids[who]
-    edge = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
-    begins = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
-    ends = np.flatnonzero(gone & (np.r_[edge[1:], True] | ~np.r_[gone[1:], False])) if len(who) else begins
-    return who[begins], nth[begins], nth[ends]
-
-
-def removals(plan: Plan, length: int = LENGTH, memory: int = MEMORY, places: int = PLACES) -> DataFrame:
-    """Rows that tell each block the bytes that go: starts and lengths in the block's text."""
-    name, width, parts = plan.name, plan.width, plan.parts * 24
-
-    def ask(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return packed_rows([])
-        blk, held = table.column(name)[0].as_py(), Stretches(table, length)
-        may = np.flatnonzero(held.shared(held_keys(known), width))
-        key, at, count = held.key[may], held.at[may], held.count[may]
-        # of a crowded anchor each string goes by a key of its own bytes, so that no anchor's text fills a shard
-        short = shorter(key, width)
-        _, which, often = np.unique(key, return_inverse=True, return_counts=True)
-        crowded = np.where(isin_sorted(short, held_keys(known)), isin_sorted(short, held_keys(known, CROWDED)), often[which] > places)
-        if crowded.any():
-            who = np.repeat(np.flatnonzero(crowded), count[crowded])
-            nth = np.arange(len(who)) - np.repeat(np.cumsum(count[crowded]) - count[crowded], count[crowded])
-            single = at[who] + nth
-            lone = mixed(span_hashes(held.data, single, single + length) ^ np.uint64(length))
-            single, lone = single[(order := np.argsort(lone, kind="stable"))], lone[order]
-            key, at, count = (np.concatenate((x[~crowded], y)) for x, y in ((key, lone), (at, single), (count, np.ones(len(single), np.int64))))
-        order = np.argsort(key, kind="stable")
-        key, at, count = key[order], at[order], count[order]
-        rows = []
-        for part, piece in grouped(key, parts):
-            place = np.sort(at[piece])
-            size = count[piece][np.argsort(at[piece], kind="stable")]
-            ids = held.ids[np.searchsorted(held.offsets, place, "right") - 1]
-            text, _ = _text_of(held.data, place, size + length - 1)
-            rows.append((part, 0, blk, EARLIER, pack(np.diff(place, prepend=0).astype(np.int32), size.astype(np.uint8), np.diff(ids, prepend=0), text)))
-        return packed_rows(rows)
-
-    def meet(table: pa.Table) -> pa.Table:
-        blks = table.column("blk").to_numpy()
-        bodies = [unpack(b) for b in table.column("body").to_pylist()]
-        n = [len(b[0]) for b in bodies]
-        blk = np.repeat(blks, n)
-        place = np.concatenate([np.cumsum(b[0].astype(np.int64)) for b in bodies])
-        count = np.concatenate([b[1] for b in bodies]).astype(np.int64)
-        ids = np.concatenate([np.cumsum(b[2]) for b in bodies])
-        text = np.concatenate([b[3] for b in bodies])
-        del bodies
-        who, lo, hi = spans_removed((ids, count), text, length, memory)
-        start, size, owner = place[who] + lo, hi - lo + length, blk[who]
-        order = np.lexsort((start, owner))
-        start, size, owner = start[order], size[order], owner[order]
-        return packed_rows([(0, 0, int(owner[a]), LOCAL, pack(np.diff(start[a:b], prepend=0).astype(np.int32), size[a:b].astype(np.uint16))) for a, b in alike(owner)])
-
-    shared = shared_between_blocks(plan, lambda table: Stretches(table, length).key, places)
-    return exchanged(with_blocks(plan, shared, ask, "part int, owner long, blk int, kind int, body binary"), meet)
+    return members.runs_of(by_place[at[same[who]] + nth] < ids[who])
 
 
 def _finished(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, length: int, block: int | None, memory: int, places: int) -> DataFrame:
@@ -194,15 +112,10 @@ def _finished(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarra
     def work(table: pa.Table, told: pa.Table) -> pa.Table:
         held, _ = in_order(table)
         data, offsets = utf8(held.column("text"))
-        starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for body in told.column("body").to_pylist():
-            start, size = unpack(body)
-            starts.append(np.cumsum(start.astype(np.int64)))
-            sizes.append(size.astype(np.int64))
-        start, size = np.concatenate(starts), np.concatenate(sizes)
-        return finish(held, data, offsets, covered(start, start + size, len(data)))
-
-    return with_blocks(plan, removals(plan, length, memory, places), work, schema)
+        return finish(held, data, offsets, units_gone(told, len(data), length))
+
+    told = windows_gone(plan, lambda table: Stretches(table, length), lambda members: strings_gone(members, length, memory), SHARDS, places)
+    return with_blocks(plan, told, work, schema)
 
 
 def bytes_removed(docs: DataFrame, length: int = LENGTH, block: int | None = None, memory: int = MEMORY, places: int = PLACES) -> DataFrame:

@@ -46,8 +46,8 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize(("window", "block"), [(20, None), (20, 4000), (10, 2500)])
-def test_like_brute_force(spark, window, block):
+@pytest.mark.parametrize(("window", "block", "places"), [(20, None, 256), (20, 4000, 1), (10, 2500, 256)])
+def test_like_brute_force(spark, window, block, places):
     rows = planted()
     gone = brute_gone(rows, window)
     want = []
@@ -55,13 +55,13 @@ def test_like_brute_force(spark, window, block):
         w = words(r[1])
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone[i])
         want.append((r[0], len(w), len(gone[i]), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in repeats_removed(frame(spark, rows, ("blk", "part", "body")), window, block).collect()]
+    got = [tuple(r) for r in repeats_removed(frame(spark, rows, ("BLK", "part", "body")), window, block, places).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_texts_without_repeats(spark):
     rows = planted()
-    docs = frame(spark, rows, ("blk", "kind"))
+    docs = frame(spark, rows, ("BLK", "kind"))
     out = without_repeats(docs, block=4000)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     gone = brute_gone(rows, 20)
@@ -83,3 +83,20 @@ def test_groups_of_any_size_find_the_same_nodes():
         for s, n in zip(suffix.tolist(), node.tolist(), strict=True):
             groups.setdefault(n, []).append(s)
         assert sorted(tuple(sorted(groups[n])) for n, s in zip(node.tolist(), suffix.tolist(), strict=True)) == want
+
+
+def test_long_words_that_differ_are_not_one(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [row(i, " ".join([f"w{k}" for k in range(12)] + [w] + [f"v{k}" for k in range(12)])) for i, w in enumerate((one, two))]
+    assert [r.n_removed for r in repeats_removed(frame(spark, rows)).collect()] == [0, 0]
+    assert sorted(r.n_removed for r in repeats_removed(frame(spark, rows + [row(7, rows[0][1].replace(" ", "\t"))])).collect()) == [0, 0, 25]
+
+
+def test_a_text_far_longer_than_a_block_and_null_ids(spark):
+    rng = random.Random(2)
+    long = " ".join(f"q{rng.randrange(4000)}" for _ in range(300_000))
+    rows = [row(1, long), row(2, "start " + long[1_000_003:1_001_003] + " end")] + [row(None, long[i * 1000 : i * 1000 + 900]) for i in range(9)]
+    gone = brute_gone(rows, 20)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in repeats_removed(frame(spark, rows), block=2000).collect()), key=str)
+    assert got == sorted(((r[0], len(words(r[1])), len(gone[i])) for i, r in enumerate(rows)), key=str)
