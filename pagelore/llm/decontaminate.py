@@ -2,44 +2,76 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.llm.common import ALNUM, LOWER, pieces, span_hashes, word_bounds
+from pagelore.llm.common import ALNUM, LOWER, checkpointed, free_name, numbered, same_spans, span_hashes, utf8, word_bounds, pieces
 
-#: Words in a window; bytes of benchmark text that one pass over the training text searches for; share of words hit.
-WINDOW, ITEM_BYTES, SHARE = 13, 8 << 20, 20
+#: Words in a window; bytes of benchmark text that one pass over the training text searches for; share of words hit;
+#: passes between which what was found is written, so that no more of them are in memory at once.
+WINDOW, ITEM_BYTES, SHARE, PASSES = 13, 8 << 20, 20, 4
 
 
 class Items:
-    """Benchmark items as numbers of their own words, with their suffixes and windows. Words are numbered from 1."""
+    """Benchmark items as numbers of their own words, with their suffixes and windows. Words are numbered from 1.
+
+    Windows of the same words are searched for once; those with the same items share a set of items.
+    """
 
     def __init__(self, rows: list[tuple[str, str]], window: int) -> None:
         self.ids = [i for i, _ in rows]
-        text = pa.array([t for _, t in rows], pa.large_string())
-        hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-        for _, _, data, offsets in pieces(text):
-            data = LOWER[data]
-            starts, ends, at = word_bounds(data, offsets, ALNUM)
-            hashes.append(span_hashes(data, starts, ends))
-            first.append(at[1:] + first[-1][-1])
-        hashes, first = np.concatenate(hashes), np.concatenate(first)
-        self.vocabulary = np.unique(hashes)
-        self.words = np.searchsorted(self.vocabulary, hashes) + 1
+        data, offsets = utf8(pa.array([t for _, t in rows], pa.large_string()))
+        data = LOWER[data]
+        starts, ends, first = word_bounds(data, offsets, ALNUM)
+        number, one = numbered(data, starts, ends)
+        self.text, self.starts, self.ends = data, starts[one], ends[one]  # of each number
+        self.hashes = span_hashes(data, self.starts, self.ends)
+        self.by_hash = np.argsort(self.hashes, kind="stable")
+        self.hashes = self.hashes[self.by_hash]
+        self.words = number + 1
         size = np.diff(first)
         self.item = np.repeat(np.arange(len(rows)), size)
-        self.start = np.arange(len(hashes)) - first[self.item]
-        self.rest = first[self.item + 1] - np.arange(len(hashes))
-        self.window_at = np.flatnonzero((self.rest >= window) | (self.start == 0))
-        self.window_len = np.minimum(self.rest[self.window_at], window)
-        self.shortest = int(self.window_len.min()) if len(self.window_len) else 0
+        self.start = np.arange(len(number)) - first[self.item]
+        self.rest = first[self.item + 1] - np.arange(len(number))
+        windows = np.flatnonzero((self.rest >= window) | (self.start == 0))
+        lengths = np.minimum(self.rest[windows], window)
+        self.shortest = int(lengths.min()) if len(windows) else 0
         self.longest = int(size.max()) if len(size) else 0
+        # equal windows, by their words, zeros after the shorter ones
+        padded = np.append(self.words, np.zeros(window, np.int64))
+        table = np.where(np.arange(window) < lengths[:, None], padded[windows[:, None] + np.arange(window)], 0)
+        _, one, kind = np.unique(table, axis=0, return_index=True, return_inverse=True) if len(windows) else (None, windows, windows)
+        self.window_at, self.window_len = windows[one], lengths[one]
+        held: dict[int, set[int]] = {}
+        for k, item in zip(kind.ravel().tolist(), self.item[windows].tolist(), strict=True):
+            held.setdefault(k, set()).add(item)
+        sets: dict[frozenset[int], int] = {}
+        self.set_of = np.array([sets.setdefault(frozenset(held[k]), len(sets)) for k in range(len(one))], dtype=np.int64)
+        self.sets = [{self.ids[i] for i in s} for s in sets]
+
+    def numbers_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word of a text, 0 for those that no item has; words are compared by their bytes."""
+        hashes, out = span_hashes(data, starts, ends), np.zeros(len(starts), np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.searchsorted(self.hashes, hashes)
+        while True:  # once, but for words of one hash
+            at = np.minimum(at, len(self.hashes) - 1)
+            alike = np.flatnonzero((self.hashes[at] == hashes) & (out == 0))
+            word = self.by_hash[at[alike]]
+            equal = self.ends[word] - self.starts[word] == ends[alike] - starts[alike]
+            equal &= same_spans(data, starts[alike], ends[alike], self.starts[word], self.text)
+            out[alike[equal]] = word[equal] + 1
+            more = alike[~equal]
+            more = more[at[more] + 1 < len(self.hashes)]
+            if not len(more) or not (self.hashes[at[more] + 1] == hashes[more]).any():
+                return out
+            at[more] += 1
 
 
 class SuffixArray:
@@ -83,8 +115,8 @@ class SuffixArray:
             hi[open_[~right]] = mid[~right]
         return lo
 
-    def longest(self, query: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length of each query's longest prefix in the shard and one place of it."""
+    def longest(self, query: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length of each query's longest prefix in the shard, one place of it, and the first rank not below the query."""
         rank = self.bound(query, at, size, upper=False)
         best, place = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for near in (rank, rank - 1):
@@ -92,7 +124,7 @@ class SuffixArray:
             _, common = self.compare(near[ok], query, at[ok], size[ok])
             more = common > best[ok]
             best[ok[more]], place[ok[more]] = common[more], self.order[near[ok[more]]]
-        return best, place
+        return best, place, rank
 
 
 class Shard:
@@ -101,17 +133,13 @@ class Shard:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, items: Items) -> None:
         data = LOWER[data]
         starts, ends, self.first = word_bounds(data, offsets, ALNUM)
-        hashes = span_hashes(data, starts, ends)
-        at = np.searchsorted(items.vocabulary, hashes)
-        known = np.zeros(len(hashes), dtype=bool)
-        if len(items.vocabulary):
-            at = np.minimum(at, len(items.vocabulary) - 1)
-            known = items.vocabulary[at] == hashes
+        number = items.numbers_of(data, starts, ends)
+        known = number > 0
         # runs of known words within a document, at least as long as the shortest window
-        cut = np.zeros(len(hashes) + 1, dtype=bool)
+        cut = np.zeros(len(number) + 1, dtype=bool)
         cut[self.first] = True
-        begin = np.flatnonzero(known & (~np.r_[False, known[:-1]] | cut[:-1])) if len(hashes) else np.zeros(0, np.int64)
-        end = np.flatnonzero(known & (~np.r_[known[1:], False] | cut[1:])) + 1 if len(hashes) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(known & (~np.r_[False, known[:-1]] | cut[:-1])) if len(number) else np.zeros(0, np.int64)
+        end = np.flatnonzero(known & (~np.r_[known[1:], False] | cut[1:])) + 1 if len(number) else np.zeros(0, np.int64)
         long = end - begin >= max(1, items.shortest)
         begin, end = begin[long], end[long]
         size = end - begin + 1  # each run ends in a 0
@@ -119,23 +147,24 @@ class Shard:
         words = np.zeros(len(self.place), dtype=np.int64)
         keep = np.ones(len(words), dtype=bool)
         keep[np.cumsum(size) - 1] = False
-        words[keep] = at[self.place[keep]] + 1
+        words[keep] = number[self.place[keep]]
         self.suffixes = SuffixArray(words, max(1, items.longest)) if len(words) else None
 
     def document(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, words, "right") - 1
 
     def windows(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, words, item) of each place where a window of an item occurs."""
+        """(first word, words, set of items) of each place where a window occurs: of the suffixes that begin with windows
+        the longest matches are searched for, and where they are whole windows, the range of all their places."""
         none = np.zeros(0, np.int64)
         if self.suffixes is None or not len(items.window_at):
             return none, none, none
-        lo = self.suffixes.bound(items.words, items.window_at, items.window_len, upper=False)
-        hi = self.suffixes.bound(items.words, items.window_at, items.window_len, upper=True)
-        count = hi - lo
-        which = np.repeat(np.arange(len(count)), count)
+        best, _, lo = self.suffixes.longest(items.words, items.window_at, items.window_len)
+        found = np.flatnonzero(best == items.window_len)
+        count = self.suffixes.bound(items.words, items.window_at[found], items.window_len[found], upper=True) - lo[found]
+        which = found[np.repeat(np.arange(len(count)), count)]
         rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        return self.place[self.suffixes.order[rank]], items.window_len[which], items.item[items.window_at[which]]
+        return self.place[self.suffixes.order[rank]], items.window_len[which], items.set_of[which]
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Items]:
@@ -148,90 +177,70 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Items]:
         yield Items(sorted(tuple(r) for r in part.collect()), window)
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> tuple[DataFrame, str, str]:
-    """``docs`` with two more columns, whose names are returned: a flag for each word, packed eight to a byte, set where a
-    window of an item covers it; and the sorted ids of the items that have such windows.
+def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, whose name is returned: a struct of ``words`` and those ``hit``, their numbers; the
+    sorted ids of the ``items`` that have windows there; and ``flags`` of the words hit, packed eight to a byte.
 
     Each block of the benchmark is one map over the documents, so nothing is shuffled, whatever the size of either table.
-    A null item id counts as the empty id; equal ids are one item. Null and empty texts have no words.
+    A null item id counts as the empty id; equal ids are one item. Null and empty texts have no words. Rows are judged
+    one by one: repeated ones alike, and ids and other columns, whatever their names, play no part. An empty table of
+    documents gives no rows, an empty benchmark no hits. A text longer than a piece is a shard of its own.
     """
-    hits, found = "hits", "items"
-    while {hits, found} & set(docs.columns):
-        hits, found = hits + "_", found + "_"
-    columns = docs.columns
-    at_text = columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(hits, T.BinaryType()), T.StructField(found, T.ArrayType(T.StringType()))])
+    name, at_text, columns = free_name("match", docs), docs.columns.index("text"), docs.columns
+    shape = pa.struct([("words", pa.int64()), ("hit", pa.int64()), ("items", pa.list_(pa.string())), ("flags", pa.binary())])
+    kind = T.StructType([T.StructField("words", T.LongType()), T.StructField("hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("flags", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
     spark, out = docs.sparkSession, docs
-    for block in _blocks(benchmark, window, item_bytes):
+    for number, block in enumerate(_blocks(benchmark, window, item_bytes)):
+        if number and number % PASSES == 0:
+            out = checkpointed(out)
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
-                flags: list[bytes] = []
-                ids: list[list[str]] = []
+                rows: list[dict] = []
                 for lo, hi, data, offsets in pieces(batch.column(at_text)):
                     shard = Shard(data, offsets, items)
-                    at, size, item = shard.windows(items)
+                    at, size, which = shard.windows(items)
                     cover = np.zeros(int(shard.first[-1]) + 1, dtype=np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + size, -1)
                     hit = np.cumsum(cover)[:-1] > 0
-                    pairs = np.unique(shard.document(at) * max(1, len(items.ids)) + item)
                     named: dict[int, set[str]] = {}
-                    for pair in pairs.tolist():
-                        named.setdefault(pair // len(items.ids), set()).add(items.ids[pair % len(items.ids)])
+                    many = max(1, len(items.sets))
+                    for pair in np.unique(shard.document(at) * many + which).tolist():
+                        named.setdefault(pair // many, set()).update(items.sets[pair % many])
                     for i in range(hi - lo):
-                        flags.append(np.packbits(hit[shard.first[i] : shard.first[i + 1]]).tobytes() if i in named else b"")
-                        ids.append(sorted(named.get(i, ())))
+                        mine = hit[shard.first[i] : shard.first[i + 1]]
+                        rows.append({"words": len(mine), "hit": int(mine.sum()) if i in named else 0, "items": sorted(named.get(i, ())), "flags": np.packbits(mine).tobytes() if i in named else b""})
                 if batch.num_columns > len(columns):  # an earlier block's matches
-                    for i, (b, more) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
-                        if b:
-                            flags[i] = (np.frombuffer(b, np.uint8) | np.frombuffer(flags[i], np.uint8)).tobytes() if flags[i] else b
-                            ids[i] = sorted({*ids[i], *more})
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(flags, pa.binary()), pa.array(ids, pa.list_(pa.string()))], [*columns, hits, found])
+                    for row, before in zip(rows, batch.column(len(columns)).to_pylist(), strict=True):
+                        if before["flags"]:
+                            both = np.frombuffer(before["flags"], np.uint8)
+                            both = both | np.frombuffer(row["flags"], np.uint8) if row["flags"] else both
+                            row |= {"flags": both.tobytes(), "hit": int(np.bitwise_count(both).sum()), "items": sorted({*row["items"], *before["items"]})}
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(rows, shape)], [*columns, name])
 
         out = out.mapInArrow(run, schema)
-    return out, hits, found
+    return out, name
 
 
-def _counts(batch: pa.RecordBatch, at_text: int, at_hits: int) -> tuple[np.ndarray, np.ndarray]:
-    words = np.concatenate([np.zeros(0, np.int64), *(np.diff(word_bounds(LOWER[data], offsets, ALNUM)[2]) for _, _, data, offsets in pieces(batch.column(at_text)))])
-    hit = np.array([int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) if b else 0 for b in batch.column(at_hits).to_pylist()], dtype=np.int64)
-    return words, hit
+def _bad(match: str) -> Column:
+    return (F.col(f"{match}.hit") > 0) & (F.col(f"{match}.hit") * SHARE >= F.col(f"{match}.words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``."""
-    marked, hits, found = with_matches(docs.select("doc_id", "text"), benchmark, window, item_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, hit = _counts(batch, 1, 2)
-            ids = batch.column(3).to_pylist()
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words), pa.array(hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array((hit > 0) & (SHARE * hit >= words))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hits, found).mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``; see ``with_matches``."""
+    marked, match = with_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, item_bytes)
+    digest = F.sha2(F.array_join(f"{match}.items", ",").cast("binary"), 256)
+    return marked.select("doc_id", F.col(f"{match}.words").alias("n_words"), F.col(f"{match}.hit").alias("n_hit"), F.size(f"{match}.items").cast("long").alias("n_items"), digest.alias("items_sha256"), _bad(match).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of ``docs`` of whose words fewer than a twentieth lie in windows of benchmark items."""
-    marked, _, _ = with_matches(docs, benchmark, window, item_bytes)
-    at_text, width, names = docs.columns.index("text"), len(docs.columns), docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, hit = _counts(batch, at_text, width)
-            kept = batch.filter(pa.array(~((hit > 0) & (SHARE * hit >= words))))
-            yield pa.RecordBatch.from_arrays(kept.columns[:width], names)
-
-    return marked.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` of whose words fewer than a twentieth lie in windows of benchmark items; see ``with_matches``."""
+    marked, match = with_matches(docs, benchmark, window, item_bytes)
+    return marked.where(~_bad(match)).drop(match)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -249,7 +258,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     shard = Shard(data, offsets, items)
                     if shard.suffixes is None or not len(items.words):
                         continue
-                    best, place = shard.suffixes.longest(items.words, np.arange(len(items.words)), items.rest)
+                    best, place, _ = shard.suffixes.longest(items.words, np.arange(len(items.words)), items.rest)
                     ok = np.flatnonzero((best >= window) | ((best == items.rest) & (items.start == 0)))
                     word = shard.place[place[ok]]
                     doc = shard.document(word)
@@ -264,4 +273,5 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def op1_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What of each document is benchmark text, in windows of 13 words; see ``contamination``."""
     return contamination(docs, benchmark)

@@ -40,14 +40,14 @@ def planted():
     return rows, items
 
 
-@pytest.mark.parametrize("item_bytes", [8 << 20, 150])
+@pytest.mark.parametrize("item_bytes", [8 << 20, 150, 40])
 def test_like_brute_force(spark, item_bytes):
     rows, items = planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(frame(spark, rows, ("hits", "items")), bench, item_bytes=item_bytes)
+    got = contamination(frame(spark, rows, ("HITS", "match", "Items")), bench, item_bytes=item_bytes)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, items)
-    kept = without_contaminated(frame(spark, rows, ("hits", "items")), bench, item_bytes=item_bytes)
-    assert kept.columns == frame(spark, rows, ("hits", "items")).columns
+    kept = without_contaminated(frame(spark, rows, ("HITS", "match", "Items")), bench, item_bytes=item_bytes)
+    assert kept.columns == frame(spark, rows, ("HITS", "match", "Items")).columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in brute(rows, items) if not r[5]), key=str)
 
 
@@ -65,3 +65,18 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(frame(spark, []), bench).count() == 0
     assert contamination(frame(spark), bench).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_long_words_that_differ_are_not_one(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    text = [" ".join([f"w{k}" for k in range(6)] + [w] + [f"v{k}" for k in range(6)]) for w in (one, two)]
+    bench = spark.createDataFrame([(1, text[0])], "item_id long, text string")
+    assert [r.n_hit for r in contamination(frame(spark, [row(1, text[1]), row(2, text[0])]), bench).orderBy("doc_id").collect()] == [0, 13]
+
+
+def test_equal_windows_and_texts_above_a_piece(spark):
+    items = [(1, "a " * 1500), (2, "a " * 20), (3, "b c d")]
+    rows = [row(1, "a " * 100_000), row(2, "x " * 700_000 + "a " * 14), row(3, "e " * 30)]
+    got = contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items) for r in got] == [(100_000, 100_000, 2), (700_014, 14, 2), (30, 0, 0)]
