@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, crc32_of_id, pieces
+from pagelore.llm.common import LOWER, crc32_of_id, mixed, pieces, utf8
 
 #: Units in each direction, bytes in a stretch that the network reads at once.
 UNITS, STRETCH = 8, 64
-#: Bounds of the training sample: documents of each language, stretches of each document; passes, batch, step size, seed.
-PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 500, 6, 12, 128, 0.02, 11
+#: Bounds of the training sample: stretches of each language, at most about, and languages; passes, batch, step size, seed.
+PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE, SEED = 3000, 1000, 12, 256, 0.03, 11
 #: Stretches that run in lockstep.
 LOCKSTEP = 4096
 #: Predictions below this pooled probability are rejected by the filter.
@@ -148,24 +148,39 @@ class Model:
 def trained(docs: DataFrame, folds: int = 3, out: int = 1, per_language: int = PER_LANGUAGE) -> Model:
     """A model of rows with text and lang whose crc32 of the id modulo ``folds`` isn't ``out``.
 
-    The sample is bounded: of each language about ``per_language`` documents, those of the least hashes of id and text, and
-    of each PER_DOCUMENT stretches spread over it. Counting, choosing and cutting are Spark jobs; only the stretches of
-    the sample come to the driver. A table without labelled rows gives a model without languages.
+    The sample is bounded: about ``per_language`` stretches of each language, drawn by a hash of id, text and place from all
+    stretches of all those rows, so every part of a text is as likely as any other. No text moves to be drawn from; only the
+    drawn stretches come to the driver. Repeated rows of one id draw alike. A table without labelled rows gives a model
+    without languages; one with more than ``LANGUAGES`` values of lang is an error.
     """
-    fits = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (crc32_of_id() % folds != out)).select("text", F.col("lang").cast("string").alias("lang"), F.abs(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(SEED))).alias("place"))
-    share = fits.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count") * F.lit(float(2**63))).alias("below"))
-    chosen = fits.join(share, "lang").where(F.col("place") < F.col("below"))
-    raw = F.col("text").cast("binary")
-    spot = [F.substring(raw, (F.octet_length(raw) * i / PER_DOCUMENT + 1).cast("int"), F.lit(STRETCH)) for i in range(PER_DOCUMENT)]
-    sample = sorted((r.lang, bytes(s)) for r in chosen.select("lang", F.array_distinct(F.array(*spot)).alias("spots")).collect() for s in r.spots if s)
+    stretch = F.ceil(F.octet_length("text") / STRETCH)
+    fits = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (crc32_of_id() % folds != out)).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(SEED)).alias("place"))
+    sizes = dict(fits.groupBy("lang").agg(F.sum(stretch).cast("double")).limit(LANGUAGES + 1).collect())
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    below = {lang: np.uint64(min(1.0, per_language / n) * (2.0**64 - 2048)) for lang, n in sizes.items()}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            names, place = batch.column("lang").to_pylist(), batch.column("place").to_numpy().view(np.uint64)
+            count = -(-np.diff(offsets) // STRETCH)
+            who = np.repeat(np.arange(len(names)), count)
+            nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            drawn = np.flatnonzero(mixed(place[who] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) < np.array([below[n] for n in names], np.uint64)[who])
+            start = offsets[who[drawn]] + nth[drawn] * STRETCH
+            end = np.minimum(start + STRETCH, offsets[who[drawn] + 1])
+            spans = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in who[drawn].tolist()], pa.string()), pa.array(spans, pa.binary())], ["lang", "span"])
+
+    sample = sorted((r.lang, bytes(r.span)) for r in fits.mapInArrow(draw, "lang string, span binary").collect())
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return Model([], None)
-    text = pa.array([s for _, s in sample], pa.binary())
     data, offsets = np.frombuffer(b"".join(s for _, s in sample), np.uint8), np.concatenate(([0], np.cumsum([len(s) for _, s in sample])))
     x, who, held = stretches(data, offsets)
-    y = np.array([languages.index(sample[i][0]) for i in who])
-    assert len(text) == len(y)
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[sample[i][0]] for i in who])
     weight = (np.arange(STRETCH) < held[:, None]).astype(np.float32)
     share_of = np.bincount(y, minlength=len(languages))
     weight *= (len(y) / len(languages) / share_of[y])[:, None].astype(np.float32)
@@ -189,7 +204,13 @@ def _each(batch: pa.RecordBatch, column: str, model: Model) -> tuple[list[str],
 
 
 def languages(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row; "und" and 0 for texts that are null or have no letter."""
+    """(doc_id, lang_pred, score) of each row; "und" and 0 for texts that are null or have no letter, and for all rows if
+    the model has no languages.
+
+    The score is the mean over all positions of the text, however long, of the probability of the predicted language; of
+    equal ones the first in order of name wins. Every row is judged alone, so repeated rows have equal results; ids may be
+    null or repeated, other columns of any name play no part, and an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +222,10 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with a language: a letter, and a pooled probability of ``least`` or more."""
+    """The rows of ``docs`` with a language: a letter, and a pooled probability of ``least`` or more.
+
+    Rows stay as they are, with all columns, repeated or not; null and empty texts go; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,5 +237,6 @@ def in_a_language(docs: DataFrame, model: Model, least: float = LEAST) -> DataFr
 
 
 def op9_language(docs: DataFrame, fit: Callable[[DataFrame], Model] = trained) -> DataFrame:
+    """The language of each document by a network trained on the others; see ``trained`` and ``languages``."""
     held_out = crc32_of_id() % 3 == 1
     return languages(docs, fit(docs)).withColumn("held_out", held_out)
