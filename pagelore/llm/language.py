@@ -14,7 +14,7 @@ from pagelore.llm.common import LOWER, crc32_of_id, mixed, pieces, utf8
 #: Units in each direction, bytes in a stretch that the network reads at once.
 UNITS, STRETCH = 8, 64
 #: Bounds of the training sample: stretches of each language, at most about, and languages; passes, batch, step size, seed.
-PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE, SEED = 3000, 1000, 12, 256, 0.03, 11
+PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE, SEED = 3000, 1000, 8, 256, 0.03, 11
 #: Stretches that run in lockstep.
 LOCKSTEP = 4096
 #: Predictions below this pooled probability are rejected by the filter.
@@ -78,6 +78,7 @@ class Network:
             into = g @ self.p["out"][part].T
             back = np.zeros((x.shape[1], n), dtype=np.float32)
             gates, new = self.p[f"gates_{d}"], self.p[f"new_{d}"]
+            given = np.empty((*x.shape, 3 * n), dtype=np.float32)
             for t, h, zt, r, reset, c in reversed(kept[d]):
                 back = back + into[t]
                 dc = back * zt * (1 - c * c)
@@ -87,8 +88,12 @@ class Network:
                 dzr = np.concatenate((dz, dr), axis=1)
                 grad[f"new_{d}"] += reset.T @ dc
                 grad[f"gates_{d}"] += h.T @ dzr
-                np.add.at(grad[f"table_{d}"], x[t], np.concatenate((dzr, dc), axis=1))
+                given[t, :, : 2 * n], given[t, :, 2 * n :] = dzr, dc
                 back = back * (1 - zt) + dzr @ gates.T + dreset * r
+            order = np.argsort(x, axis=None, kind="stable")
+            byte = x.ravel()[order]
+            first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+            grad[f"table_{d}"][byte[first]] = np.add.reduceat(given.reshape(-1, 3 * n)[order], first, axis=0)
         return grad
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network:
