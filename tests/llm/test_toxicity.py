@@ -1,11 +1,12 @@
 import random
+import time
 import zlib
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagelore.llm.toxicity import maximal_segments, op3_toxicity, taught, toxicity
+from pagelore.llm.toxicity import COST, LOWEST, STEP, STEPS, maximal_segments, op3_toxicity, scale, taught, toxicity
 from tests.llm.fixtures import frame, odd_rows, row
 
 
@@ -75,3 +76,27 @@ def test_bounded_sample(spark):
     some, all_ = ({(r.id, r.toxic) for r in taught(marks, 5, most).collect()} for most in (500, 10_000))
     assert some < all_ == {(i, i % 2) for i in range(4000) if zlib.crc32(str(i).encode()) % 5}
     assert 400 < len(some) < 600
+
+
+def test_scan_is_linear():
+    scores = np.tile([1.0, -3.0], 1_000_000)
+    start = time.time()
+    assert len(maximal_segments(scores)) == 1_000_000
+    rng = np.random.default_rng(1)
+    maximal_segments(rng.normal(-0.1, 1, 4_000_000))
+    assert time.time() - start < 60
+
+
+def test_scale_of_the_extreme_value_law():
+    rng = np.random.default_rng(3)
+    steps = np.zeros(STEPS)
+    steps[round((1 + COST - LOWEST) / STEP)], steps[round((-2 + COST - LOWEST) / STEP)] = 0.2, 0.8
+    root = scale(steps)
+    assert abs(0.2 * np.exp(root) + 0.8 * np.exp(-2 * root) - 1) < 1e-9
+    best = []
+    for _ in range(400):
+        s = np.where(rng.random(2000) < 0.2, 1.0, -2.0)
+        best.append(max(x[2] for x in maximal_segments(s)))
+    expected = [-np.log(1 - np.mean(np.array(best) >= k)) for k in (5, 7)]  # number of segments so good
+    assert abs(np.log(expected[0] / expected[1]) / 2 - root) < 0.25
+    assert scale(np.zeros(STEPS)) == 1.0
