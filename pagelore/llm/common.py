@@ -47,6 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_or_shuffled(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df``, checkpointed, to be joined with: broadcast if it is known to have ``most`` rows or fewer, else shuffled. For
+    rows of a few numbers only."""
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def give_back() -> None:
     """Hands freed memory back to the system, so that idle Python workers stay small."""
     pa.default_memory_pool().release_unused()

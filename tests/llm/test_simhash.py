@@ -3,7 +3,7 @@ import pytest
 import xxhash
 
 from pagelore.llm.simhash import components, near_duplicates, one_of_each_group, op10_simhash
-from tests.llm.fixtures import frame, odd_rows
+from tests.llm.fixtures import frame, odd_rows, row
 
 
 def brute_print(text):
@@ -39,9 +39,12 @@ def test_like_brute_force(spark, extra):
     assert got == brute(odd_rows())
 
 
-def test_links_at_two_bits_through_chains(spark):
+@pytest.mark.parametrize(("segments", "crowded"), [(2, 64), (2, 3), (4, 2), (4, 64)])
+def test_links_at_two_bits_through_chains(spark, monkeypatch, segments, crowded):
     from pagelore.llm import simhash
 
+    monkeypatch.setattr(simhash, "SEGMENTS", segments)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = np.random.default_rng(1)
     values = {0, 3, 15, 63 << 56}
     for base in rng.integers(-(2**62), 2**62, 40).tolist():
@@ -67,6 +70,14 @@ def test_empty_table_and_kept_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     kept = one_of_each_group(frame(spark))
     assert kept.columns == frame(spark).columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    want = sorted(r[0] for r in brute(odd_rows()) if r[0] is not None and r[0] == r[2])
-    assert ids == want
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted({r[0] for r in brute(odd_rows()) if r[0] is not None and r[0] == r[2]})
+
+
+def test_repeated_ids_and_other_columns(spark):
+    p, q = "one two three four five six", "seven eight nine ten eleven"
+    rows = [row(10, p), row(31, p), row(31, q), row(31, q), row(None, q), row(None, "twelve"), row(None, "twelve"), row(8, None), row(9, "")]
+    docs = frame(spark, rows, ("PRINT", "copies", "Root"))
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(10, p), (31, q), (None, "twelve"), (8, None)], key=str)
