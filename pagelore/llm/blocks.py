@@ -287,9 +287,12 @@ class Members(NamedTuple):
         return who[begins], nth[begins], nth[ends] - nth[begins] + 1
 
 
-def windows_gone(plan: Plan, read: Callable[[pa.Table], Held], judge: Callable[[Members], tuple], shards: int, places: int = PLACES, within_rows: bool = False) -> DataFrame:
-    """Rows that tell each block the windows that go: ``judge`` on the stretches that blocks and rows share."""
-    name, width, parts = plan.name, plan.width, plan.parts
+def windows_gone(plan: Plan, read: Callable[[pa.Table], Held], judge: Callable[[Members], tuple], spread: int, shards: int, places: int = PLACES, within_rows: bool = False) -> DataFrame:
+    """Rows that tell each block the windows that go: ``judge`` on the stretches that blocks and rows share.
+
+    Their text is dealt to ``spread`` times as many parts as anchor keys are, and judged by ``shards`` of a part in turn.
+    """
+    name, width, parts = plan.name, plan.width, plan.parts * spread
 
     def ask(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:

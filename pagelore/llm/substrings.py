@@ -21,9 +21,9 @@ from pagelore.llm.common import NOT_SPACE, anchors, mixed, numbered, span_hashes
 
 #: Words in a window, words in the grams that anchors are chosen from, suffixes in a group.
 WINDOW, GRAM, GROUP = 20, 8, 40_000
-#: Anchors for each byte of text, at most about: two in fourteen words of five bytes or more; shards that a part works on
-#: one after the other.
-ANCHORS_PER_BYTE, SHARDS = 1 / 35, 6
+#: Anchors for each byte of text, at most about: two in fourteen words of five bytes or more; parts that the words of as
+#: many anchors go to as one task compares keys of, and shards that a part works on one after the other.
+ANCHORS_PER_BYTE, SPREAD, SHARDS = 1 / 35, 6, 3
 
 
 class Words:
@@ -169,7 +169,7 @@ def _finished(docs: DataFrame, finish: Callable[[Words, np.ndarray], pa.Table],
         return finish(held, units_gone(told, len(held.starts), window))
 
     gram = min(GRAM, window)
-    told = windows_gone(plan, lambda table: Windows(table, window, gram), lambda members: repeats_among(members, window), SHARDS, places, within_rows=True)
+    told = windows_gone(plan, lambda table: Windows(table, window, gram), lambda members: repeats_among(members, window), SPREAD, SHARDS, places, within_rows=True)
     return with_blocks(plan, told, work, schema)
 
 

@@ -21,8 +21,9 @@ from pagelore.llm.induced_sort import MEMORY, common_prefixes, suffix_order
 
 #: Bytes in a string, bytes in the grams that anchors are chosen from.
 LENGTH, GRAM = 50, 20
-#: Anchors for each byte of text, at most about; bytes of text at once; shards that a part sorts one after the other.
-ANCHORS_PER_BYTE, SCAN, SHARDS = 1 / 7, 1 << 20, 12
+#: Anchors for each byte of text, at most about; bytes of text at once; parts that the text of as many anchors goes to as
+#: one task compares keys of, and shards that a part sorts one after the other.
+ANCHORS_PER_BYTE, SCAN, SPREAD, SHARDS = 1 / 14, 1 << 20, 4, 6
 
 
 class Stretches(Held):
@@ -114,7 +115,7 @@ def _finished(docs: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarra
         data, offsets = utf8(held.column("text"))
         return finish(held, data, offsets, units_gone(told, len(data), length))
 
-    told = windows_gone(plan, lambda table: Stretches(table, length), lambda members: strings_gone(members, length, memory), SHARDS, places)
+    told = windows_gone(plan, lambda table: Stretches(table, length), lambda members: strings_gone(members, length, memory), SPREAD, SHARDS, places)
     return with_blocks(plan, told, work, schema)
 
 
