@@ -41,10 +41,10 @@ class Catalog:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/entries/v={held[-1]}") if held else self.spark.createDataFrame([], SCHEMA)
 
     def events(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(EVENTS).parquet(f"{self.root}/events")
-        except Exception:  # noqa: BLE001  no event yet
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/events")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], EVENTS)
+        return self.spark.read.schema(EVENTS).parquet(f"{self.root}/events")
 
     def history(self) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.col("at").desc(), "action"))

@@ -16,15 +16,40 @@ from pagelore.functions.text import BEST_EXCERPT, MIN_COMPARED, normalized
 from pagelore.functions.vectors import distance
 
 
-def centroids(pages: DataFrame, family: str, fields: tuple[str, ...]) -> DataFrame:
-    """(family, centroid) of a fixed assignment, over z-scored fields named ``field_z``."""
-    return pages.groupBy(family).agg(F.array(*[F.avg(f"{f}_z") for f in fields]).alias("centroid"))
+def fitted(pages: DataFrame, family: str, fields: tuple[str, ...]) -> DataFrame:
+    """One row (mean, std, families): each field's mean and population deviation over all rows, the latter taken as 1 where
+    it is below 1e-9, and each family's name, size and centroid in z-scores.
+
+    One aggregation by family gives all of it; what is put together in one row is a row a family.
+    """
+    per = pages.groupBy(family).agg(F.count("*").cast("double").alias("n"), F.array(*(F.avg(f) for f in fields)).alias("mean"), F.array(*(F.var_pop(f) for f in fields)).alias("var"))
+    rows = per.agg(F.array_sort(F.collect_list(F.struct(F.col(family).alias("family"), "n", "mean", "var"))).alias("all"))
+
+    def total(of) -> Column:
+        return F.aggregate("all", F.lit(0.0), lambda t, x: t + x["n"] * of(x))
+
+    size = total(lambda x: F.lit(1.0))
+    rows = rows.select("all", F.array(*(total(lambda x, i=i: x["mean"][i]) / size for i in range(len(fields)))).alias("mean"))
+    spread = [F.sqrt(total(lambda x, i=i: x["var"][i] + F.pow(x["mean"][i] - F.col("mean")[i], F.lit(2))) / size) for i in range(len(fields))]
+    rows = rows.select("all", "mean", F.array(*(F.when(s < 1e-9, 1.0).otherwise(s) for s in spread)).alias("std"))
+    centroid = lambda x: F.array(*((x["mean"][i] - F.col("mean")[i]) / F.col("std")[i] for i in range(len(fields))))
+    return rows.select("mean", "std", F.transform("all", lambda x: F.struct(x["family"].alias("family"), x["n"].cast("long").alias("members"), centroid(x).alias("centroid"))).alias("families"))
+
+
+def measured(pages: DataFrame, model: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``pages`` with ``z``, their z-scores, and ``near``: (distance, family, centroid) of every family, the nearest first.
+
+    The model is one row, so each page is measured where it lies. Extra columns stay but for those of these names.
+    """
+    held = pages.drop("z", "near", "model").crossJoin(F.broadcast(model.select(F.struct("mean", "std", "families").alias("model"))))
+    held = held.withColumn("z", F.array(*((F.col(f) - F.col("model.mean")[i]) / F.col("model.std")[i] for i, f in enumerate(fields))))
+    each = F.transform("model.families", lambda c: F.struct(distance(F.col("z"), c["centroid"]).alias("distance"), c["family"].alias("family"), c["centroid"].alias("centroid")))
+    return held.withColumn("near", F.array_sort(each)).drop("model")
 
 
-def distances(pages: DataFrame, cents: DataFrame, doc: str, family: str, fields: tuple[str, ...]) -> DataFrame:
-    """(doc, family, distance) to every centroid: a stated, small set against all rows."""
-    held = pages.select(doc, F.array(*[F.col(f"{f}_z") for f in fields]).alias("z")).join(cents.select(family, "centroid"), F.lit(True))
-    return held.select(doc, family, distance(F.col("z"), F.col("centroid")).alias("distance"))
+def scores_by_family(near: Column) -> Column:
+    """Distances in order of the family instead."""
+    return F.array_sort(F.transform(near, lambda c: F.struct(c["family"].alias("family"), c["distance"].alias("distance"))))
 
 
 def ranked(dist: DataFrame, doc: str, family: str, ai: str | None = None) -> DataFrame:
@@ -33,11 +58,6 @@ def ranked(dist: DataFrame, doc: str, family: str, ai: str | None = None) -> Dat
     return dist.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(*keys, F.col("distance").asc(), F.col(family).asc())))
 
 
-def nearest(dist: DataFrame, doc: str, family: str) -> DataFrame:
-    best = F.min(F.struct("distance", family))
-    return dist.groupBy(doc).agg(best.alias("b")).select(doc, F.col(f"b.{family}").alias(family), F.col("b.distance").alias("distance"))
-
-
 def family_stats(members: DataFrame, family: str) -> DataFrame:
     """(family, members, dist_min, dist_mean, dist_max) of assigned pages."""
     return members.groupBy(family).agg(F.count("*").alias("members"), F.min("distance").alias("dist_min"), F.avg("distance").alias("dist_mean"), F.max("distance").alias("dist_max"))
@@ -49,14 +69,46 @@ def with_confidence(assigned: DataFrame, stats: DataFrame, family: str) -> DataF
     return held.withColumn("confidence", family_confidence(F.col("distance"), F.col("dist_mean"), F.col("dist_max"))).drop("dist_mean", "dist_max")
 
 
-def similarities(pages: DataFrame, assigned: DataFrame, cents: DataFrame, doc: str, family: str, fields: tuple[str, ...]) -> DataFrame:
-    """(doc, family, feature -> similarity in percent, their mean) to the assigned family's centroid."""
-    held = pages.join(assigned.select(doc, F.col(family).alias("of")), doc).join(cents.select(F.col(family).alias("of"), "centroid"), "of")
-    each = [feature_similarity(F.col(f"{f}_z") - F.col("centroid")[i]) for i, f in enumerate(fields)]
+def similarities(fields: tuple[str, ...]) -> list[Column]:
+    """Of measured pages: each feature's similarity in percent to the nearest family's centroid, and their mean."""
+    each = [feature_similarity(F.col("z")[i] - F.col("near")[0]["centroid"][i]) for i in range(len(fields))]
     total = each[0]
     for e in each[1:]:
         total = total + e
-    return held.select(doc, F.col("of").alias(family), *[e.alias(f"{f}_pct") for f, e in zip(fields, each, strict=True)], F.round(total / len(fields), 2).alias("mean_pct"))
+    return [*(e.alias(f"{f}_pct") for f, e in zip(fields, each, strict=True)), (F.floor((F.round(total * 100) * 2 + len(fields)) / (2 * len(fields))) / 100).alias("mean_pct")]  # halves go up
+
+
+def merged_examples(*lists: Column, most: int = 5) -> Column:
+    """The first ``most`` distinct examples of several lists, in order; a null list is empty."""
+    return F.slice(F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists))), 1, most)
+
+
+def page_scores(pages: DataFrame, catalog: DataFrame, page: str, fields: tuple[str, ...]) -> DataFrame:
+    """``pages`` with status, family, distance, confidence and scores by the model of their page number.
+
+    ``catalog`` has a row a page number (page, mean, std, families with centroid, dist_mean and dist_max); of pages that it
+    doesn't have the status is "uncatalogued" and the rest null; a page without its features is "no_features".
+    """
+    held = pages.join(catalog.select(page, F.struct("mean", "std", "families").alias("model")), page, "left")
+    z = F.array(*((F.col(f) - F.col("model.mean")[i]) / F.col("model.std")[i] for i, f in enumerate(fields)))
+    each = F.transform("model.families", lambda c: F.struct(distance(F.col("z"), c["centroid"]).alias("distance"), c["family"].alias("family"), c["dist_mean"].alias("dist_mean"), c["dist_max"].alias("dist_max")))
+    missing = F.exists(F.array(*fields), lambda x: x.isNull())
+    status = F.when(F.col("model").isNull(), "uncatalogued").when(missing, "no_features").otherwise("ok")
+    held = held.withColumn("status", status).withColumn("z", z).withColumn("near", F.when(F.col("status") == "ok", F.array_sort(each)))
+    best = F.col("near")[0]
+    sure = F.when(F.col("status") == "ok", family_confidence(best["distance"], best["dist_mean"], best["dist_max"]))
+    return held.withColumns({"family": best["family"], "distance": best["distance"], "confidence": sure, "scores": scores_by_family(F.col("near"))}).drop("model", "z", "near")
+
+
+def page_catalog(pages: DataFrame, page: str, family: str, fields: tuple[str, ...]) -> DataFrame:
+    """The catalog that ``page_scores`` reads: for each page number the statistics of its fields, and each family's
+    centroid with the least, mean and greatest distance of its members."""
+    stats = pages.groupBy(page).agg(F.array(*(F.avg(f) for f in fields)).alias("mean"), F.array(*(F.when(F.stddev_pop(f) < 1e-9, 1.0).otherwise(F.stddev_pop(f)) for f in fields)).alias("std"))
+    z = pages.join(stats, page).withColumn("z", F.array(*((F.col(f) - F.col("mean")[i]) / F.col("std")[i] for i, f in enumerate(fields))))
+    cents = z.groupBy(page, family).agg(F.array(*(F.avg(F.col("z")[i]) for i in range(len(fields)))).alias("centroid"))
+    apart = z.join(cents, [page, family]).groupBy(page, family).agg(F.first("centroid").alias("centroid"), F.count("*").alias("members"), *(f(distance(F.col("z"), F.col("centroid"))).alias(n) for f, n in ((F.min, "dist_min"), (F.avg, "dist_mean"), (F.max, "dist_max"))))
+    families = apart.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col(family).alias("family"), "centroid", "members", "dist_min", "dist_mean", "dist_max"))).alias("families"))
+    return stats.join(families, page)
 
 
 def examples(members: DataFrame, doc: str, family: str, most: int = 5) -> DataFrame:
@@ -106,15 +158,19 @@ def verdicts(pages: DataFrame, doc: str, page: str, ai: str | None = None) -> Da
 
 def kmeans(pages: DataFrame, fields: tuple[str, ...], k: int, starts: int = 10, seed: int = 0) -> tuple[DataFrame, list[list[float]], float]:
     """(pages with "family", centers, cost) of the best of ``starts`` runs over z-scored fields. Needs k rows or more."""
-    held = zscored(pages, fields).withColumn("features", array_to_vector(F.array(*[F.col(f"{f}_z") for f in fields]))).cache()
-    if held.count() < k:
-        raise ValueError(f"fewer than {k} pages")
-    best = min((KMeans(k=k, seed=seed + i, initMode="k-means||").fit(held) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    held = zscored(pages, fields).withColumn("features", array_to_vector(F.array(*[F.col(f"{f}_z") for f in fields])))
+    kept = held.select("features").persist()
+    try:
+        if kept.count() < k:
+            raise ValueError(f"fewer than {k} pages")
+        best = min((KMeans(k=k, seed=seed + i, initMode="k-means||").fit(kept) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    finally:
+        kept.unpersist()
     out = best.transform(held).withColumnRenamed("prediction", "family").drop("features")
     return out, [c.tolist() for c in best.clusterCenters()], best.summary.trainingCost
 
 
-def elbow(pages: DataFrame, fields: tuple[str, ...], k_min: int = 2, k_max: int = 6, starts: int = 2) -> DataFrame:
+def elbow(pages: DataFrame, fields: tuple[str, ...], k_min: int = 2, k_max: int = 8, starts: int = 10) -> DataFrame:
     """(k, inertia) of the best fit for each number of families."""
     rows = [(k, kmeans(pages, fields, k, starts)[2]) for k in range(k_min, k_max + 1)]
     return pages.sparkSession.createDataFrame(rows, "k int, inertia double")

@@ -65,14 +65,21 @@ def centroid_weights(vectors: DataFrame, label: str, means: DataFrame) -> DataFr
 
 
 def predicted(vectors: DataFrame, weights: DataFrame, doc: str, vec: str, label: str) -> DataFrame:
-    """(doc, label, label_id, logits, probabilities): the first class of the highest logit. Weights are a row a class."""
-    held = vectors.select(doc, doubles(F.col(vec)).alias("x")).join(weights.select("label_id", F.col(label).alias("name"), "weights", "bias"), F.lit(True))
-    scored = held.select(doc, F.struct("label_id", "name", (dot(F.col("weights"), F.col("x")) + F.col("bias")).alias("logit")).alias("c"))
-    classes = scored.groupBy(doc).agg(F.array_sort(F.collect_list("c")).alias("c"))  # as many as classes
-    logits = F.transform("c", lambda c: c["logit"])
-    out = classes.withColumn("logits", logits).withColumn("probabilities", softmax(F.col("logits")))
+    """(doc, label, label_id, logits, probabilities, labels): the first class of the highest logit.
+
+    Weights are a row a class; put together in one row, so each vector is scored where it lies, repeated ids and all.
+    """
+    classes = weights.agg(F.array_sort(F.collect_list(F.struct("label_id", F.col(label).alias("name"), "weights", "bias"))).alias("c"))
+    held = vectors.select(doc, doubles(F.col(vec)).alias("x")).crossJoin(F.broadcast(classes))  # one row
+    held = held.withColumn("logits", F.transform("c", lambda c: dot(c["weights"], F.col("x")) + c["bias"])).withColumn("probabilities", softmax(F.col("logits")))
     best = F.element_at("c", F.array_position("logits", F.array_max("logits")).cast("int"))
-    return out.select(doc, best["name"].alias(label), best["label_id"].alias("label_id"), "logits", "probabilities", F.transform("c", lambda c: c["name"]).alias("labels"))
+    return held.select(doc, best["name"].alias(label), best["label_id"].alias("label_id"), "logits", "probabilities", F.transform("c", lambda c: c["name"]).alias("labels"))
+
+
+def checked_labels(rows: DataFrame, label: str, known: DataFrame) -> DataFrame:
+    """``rows`` with the label_id of their label; a label that isn't among the known ones fails the job."""
+    held = rows.join(known.select(label, "label_id"), label, "left")
+    return held.withColumn("label_id", F.when(F.col("label_id").isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int")).otherwise(F.col("label_id")))
 
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -104,7 +111,7 @@ def evaluation_loss(rows: DataFrame, order: str, loss: str, batch: int) -> DataF
     return means.agg(F.avg("m").alias("batch_loss"), (F.sum("s") / F.sum("n")).alias("mean_loss"))
 
 
-def fit(vectors: DataFrame, vec: str, label: str, seed: int = 42, epochs: int = 25, decay: float = 0.01) -> tuple[LogisticRegressionModel, DataFrame]:
+def fit(vectors: DataFrame, vec: str, label: str, epochs: int = 25, decay: float = 0.01) -> tuple[LogisticRegressionModel, DataFrame]:
     """(model, label ids) of a softmax head over embeddings; needs two labels."""
     ids = label_ids(vectors, label)
     if ids.count() < 2:

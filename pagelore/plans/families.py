@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelore.functions import features, scores
 from pagelore.functions.text import tokens
@@ -12,7 +13,7 @@ from pagelore.operators.prototypes import jaccard
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
 
-FIELDS = ("chars", "token_count", "fill_percent")
+FIELDS = features.TEXT_FIELDS
 _Z = ", ".join(f"(x.{f} - avg(x.{f}) over ()) / (case when abs(stddev_pop(x.{f}) over ()) < 1e-9 then 1 else stddev_pop(x.{f}) over () end) {f}_z" for f in FIELDS)
 _DIST = " + ".join(f"({f}_z - c_{f}) ** 2" for f in FIELDS)
 _NEAR = f"""{PAGES_SQL}, z as (select doc_id, lang, {_Z} from f x), c as (select lang, {", ".join(f"avg({f}_z) c_{f}" for f in FIELDS)} from z group by lang),
@@ -20,28 +21,38 @@ d as (select doc_id, c.lang family, sqrt({_DIST}) distance from z, c), n as (sel
 st as (select family, count(*) members, min(distance) dist_min, avg(distance) dist_mean, max(distance) dist_max from n group by family)"""
 
 
-def zpages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.zscored(page_rows(spark, sf_dir), FIELDS).withColumnRenamed("lang", "family")
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_rows(spark, sf_dir)
+    return families.measured(pages, families.fitted(pages, "lang", FIELDS), FIELDS)
 
 
-def all_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = zpages(spark, sf_dir)
-    return families.distances(pages, families.centroids(pages, "family", FIELDS), "doc_id", "family", FIELDS)
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.col("near")[0]
+    return measured(spark, sf_dir).select("doc_id", best["family"].alias("family"), best["distance"].alias("distance"))
 
 
 @query("zscore_distance", f"with {_NEAR} select doc_id, family, round(distance, 6) distance, row_number() over (partition by doc_id order by distance, family)::int rank from d")
 def zscore_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.ranked(all_distances(spark, sf_dir), "doc_id", "family").withColumn("distance", F.round("distance", 6))
+    held = measured(spark, sf_dir).select("doc_id", F.posexplode("near").alias("rank", "d"))
+    return held.select("doc_id", F.col("d.family").alias("family"), F.round("d.distance", 6).alias("distance"), (F.col("rank") + 1).alias("rank"))
+
+
+@query("family_scores", f"with {_NEAR} select doc_id, string_agg(family || '=' || printf('%.4f', distance), ';' order by family) scores from d group by doc_id")
+def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distances of a page in order of the family."""
+    held = families.scores_by_family(F.col("near"))
+    said = F.transform(held, lambda c: F.concat(c["family"], F.lit("="), F.format_string("%.4f", c["distance"])))
+    return measured(spark, sf_dir).select("doc_id", F.array_join(said, ";").alias("scores"))
 
 
 @query("nearest_family", f"with {_NEAR} select doc_id, family, round(distance, 6) distance from n")
 def nearest_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.nearest(all_distances(spark, sf_dir), "doc_id", "family").withColumn("distance", F.round("distance", 6))
+    return nearest(spark, sf_dir).withColumn("distance", F.round("distance", 6))
 
 
 @query("family_stats", f"with {_NEAR} select family, members, round(dist_min, 6) dist_min, round(dist_mean, 6) dist_mean, round(dist_max, 6) dist_max from st")
 def family_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = families.family_stats(families.nearest(all_distances(spark, sf_dir), "doc_id", "family"), "family")
+    held = families.family_stats(nearest(spark, sf_dir), "family")
     return held.select("family", "members", *[F.round(c, 6).alias(c) for c in ("dist_min", "dist_mean", "dist_max")])
 
 
@@ -50,7 +61,7 @@ _CONF = "case when dist_mean > dist_max then 'unknown' when distance <= dist_mea
 
 @query("family_confidence", f"with {_NEAR} select doc_id, family, {_CONF} confidence, case {_CONF} when 'high' then 3 when 'medium' then 2 when 'unknown' then 1 else 0 end rank from n join st using (family)")
 def family_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = families.nearest(all_distances(spark, sf_dir), "doc_id", "family")
+    held = nearest(spark, sf_dir)
     out = families.with_confidence(held, families.family_stats(held, "family"), "family")
     return out.select("doc_id", "family", "confidence", scores.confidence_rank(F.col("confidence")).alias("rank"))
 
@@ -58,17 +69,14 @@ def family_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIM = ", ".join(f"round(least(100, greatest(0, 100 * exp(-0.5 * ({f}_z - c_{f}) ** 2))), 2) {f}_pct" for f in FIELDS)
 
 
-@query("feature_similarity", f"with {_NEAR}, s as (select n.doc_id, n.family, {_SIM} from n join z using (doc_id) join c on c.lang = n.family) select *, round(({' + '.join(f'{f}_pct' for f in FIELDS)}) / {len(FIELDS)}, 2) mean_pct from s")
+@query("feature_similarity", f"with {_NEAR}, s as (select n.doc_id, n.family, {_SIM} from n join z using (doc_id) join c on c.lang = n.family) select *, floor((round(({' + '.join(f'{f}_pct' for f in FIELDS)}) * 100) * 2 + {len(FIELDS)}) / {2 * len(FIELDS)}) / 100 mean_pct from s")
 def feature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = zpages(spark, sf_dir)
-    cents = families.centroids(pages, "family", FIELDS)
-    held = families.nearest(families.distances(pages, cents, "doc_id", "family", FIELDS), "doc_id", "family")
-    return families.similarities(pages.drop("family"), held, cents, "doc_id", "family", FIELDS)
+    return measured(spark, sf_dir).select("doc_id", F.col("near")[0]["family"].alias("family"), *families.similarities(FIELDS))
 
 
 @query("family_examples", f"with {_NEAR} select family, row_number() over (partition by family order by distance, doc_id)::int rank, doc_id, round(distance, 6) distance from n qualify rank <= 5")
 def family_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = families.nearest(all_distances(spark, sf_dir), "doc_id", "family")
+    held = nearest(spark, sf_dir)
     return families.examples(held, "doc_id", "family").withColumn("distance", F.round("distance", 6))
 
 
@@ -110,13 +118,12 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[0-9A-Za-zÀ-ÿ]+'))"
     f"""with q as (select doc_id, doc_id % 10 g, text, length(trim(text)) n from documents), r as (select item_id, item_id % 10 g, text from benchmark where length(trim(text)) >= 20),
 s as (select q.doc_id, r.item_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) s from (select *, {_TOK.format("text")} a from q where n >= 20) q join (select *, {_TOK.format("text")} b from r) r using (g)),
 a as (select doc_id, max(s) best, avg(s) mean, arg_max(item_id, (s, -item_id)) best_ref, count(*) candidates from s group by doc_id)
-select q.doc_id, case when n < 20 then 'unavailable_short_text' when candidates is null then 'unavailable_no_reference' else 'ok' end status, round(best, 6) best, round(mean, 6) mean, best_ref, coalesce(candidates, 0) candidates from q left join a using (doc_id)""",
+select q.doc_id, case when n < 20 then 'unavailable_short_text' when candidates is null then 'unavailable_no_reference' else 'ok' end status, round(best, 6) best, round(mean, 6) mean, best_ref, substr(trim(regexp_replace(b.text, '[[:space:]]+', ' ', 'g')), 1, 220) best_excerpt, coalesce(candidates, 0) candidates from q left join a using (doc_id) left join benchmark b on b.item_id = best_ref""",
 )
 def reference_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("g"))
     refs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("g"), F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
-    held = families.reranked(docs, refs, "doc_id", "text", "g", jaccard, lambda c: F.array_distinct(tokens(c)))
-    return held.drop("best_excerpt")
+    return families.reranked(docs, refs, "doc_id", "text", "g", jaccard, lambda c: F.array_distinct(tokens(c)))
 
 
 @query("kmeans_families")
@@ -128,3 +135,53 @@ def kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("elbow")
 def elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.elbow(page_rows(spark, sf_dir), FIELDS, 2, 8, starts=10)
+
+
+_FEW = ("chars", "words")
+_CHATS = "c as (select conv_id, turn, role, length(text)::double chars, len(regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-zÀ-ÿ]+'))::double words from conversations)"
+_ZOF = ", ".join(f"(c.{f} - m_{f}) / s_{f} z_{f}" for f in _FEW)
+_CATALOG = f"""{_CHATS}, st as (select turn, {", ".join(f"avg({f}) m_{f}, case when stddev_pop({f}) < 1e-9 then 1 else stddev_pop({f}) end s_{f}" for f in _FEW)} from c where turn < 3 group by turn),
+z as (select c.*, {_ZOF} from c join st using (turn)), ce as (select turn, role family, {", ".join(f"avg(z_{f}) c_{f}" for f in _FEW)} from z group by all),
+ap as (select z.turn, family, count(*) members, avg(sqrt({" + ".join(f"(z_{f} - c_{f}) ** 2" for f in _FEW)})) dist_mean, max(sqrt({" + ".join(f"(z_{f} - c_{f}) ** 2" for f in _FEW)})) dist_max from z join ce on ce.turn = z.turn and family = role group by all)"""
+_PAGE_SCORES = f"""{_CATALOG}, d as (select conv_id, z.turn, family, sqrt({" + ".join(f"(z_{f} - c_{f}) ** 2" for f in _FEW)}) distance from z join ce on ce.turn = z.turn),
+n as (select conv_id, turn, arg_min(family, (distance, family)) family, min(distance) distance, string_agg(family || '=' || printf('%.4f', distance), ';' order by family) scores from d group by all)"""
+
+
+def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "conversations")
+    return held.select("conv_id", "turn", "role", F.length("text").cast("double").alias("chars"), F.size(tokens(F.col("text"))).cast("double").alias("words"))
+
+
+@query("page_catalog", f"with {_CATALOG} select turn, family, members, round(c_chars, 6) c_chars, round(c_words, 6) c_words, round(dist_mean, 6) dist_mean, round(dist_max, 6) dist_max from ap join ce using (turn, family)")
+def page_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family catalog of the first three pages of all documents."""
+    held = families.page_catalog(chat_pages(spark, sf_dir).where("turn < 3"), "turn", "role", _FEW).select("turn", F.explode("families").alias("f"))
+    return held.select("turn", "f.family", "f.members", *(F.round(F.col("f.centroid")[i], 6).alias(f"c_{n}") for i, n in enumerate(_FEW)), F.round("f.dist_mean", 6).alias("dist_mean"), F.round("f.dist_max", 6).alias("dist_max"))
+
+
+@query(
+    "page_scores",
+    f"""with {_PAGE_SCORES} select c.conv_id, c.turn, case when st.turn is null then 'uncatalogued' when c.chars is null then 'no_features' else 'ok' end status, n.family, round(distance, 6) distance,
+ case when distance is null then null when dist_mean > dist_max then 'unknown' when distance <= dist_mean then 'high' when distance <= dist_max then 'medium' else 'low_out_of_family' end confidence, scores
+ from c left join st on st.turn = c.turn left join n on n.conv_id = c.conv_id and n.turn = c.turn left join ap on ap.turn = n.turn and ap.family = n.family""",
+)
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the catalog of its page number; pages beyond the catalog are there, uncatalogued."""
+    pages = chat_pages(spark, sf_dir)
+    held = families.page_scores(pages, families.page_catalog(pages.where("turn < 3"), "turn", "role", _FEW), "turn", _FEW)
+    said = F.transform("scores", lambda c: F.concat(c["family"], F.lit("="), F.format_string("%.4f", c["distance"])))
+    return held.select("conv_id", "turn", "status", "family", F.round("distance", 6).alias("distance"), "confidence", F.array_join(said, ";").alias("scores"))
+
+
+@query(
+    "example_lists",
+    """with l as (select lang, list(doc_id::varchar order by n_chars desc, doc_id)[1:4] a, list(doc_id::varchar order by n_chars desc, doc_id)[3:8] b from documents group by lang),
+c as (select lang, list_concat(b, a) x from l) select lang, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:5], ',') examples from c""",
+)
+def example_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference examples of a family from two lists, in order, each once, five at most."""
+    docs = table(spark, sf_dir, "documents")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))
+    few = docs.select("lang", F.col("doc_id").cast("string").alias("d"), rank.alias("r")).where("r <= 8").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "d"))).alias("l"))
+    names = F.transform("l", lambda x: x["d"])
+    return few.select("lang", F.array_join(families.merged_examples(F.slice(names, 3, 6), F.slice(names, 1, 4)), ",").alias("examples"))

@@ -147,5 +147,5 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("catalog_guard", "select d.doc_id, case when l.doc_id is null then 'create' else 'update' end action from documents d left join (select distinct doc_id from labels) l using (doc_id)")
 def catalog_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, known = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(known, "doc_id", "left_anti").withColumn("action", F.lit("create")).union(docs.join(known, "doc_id", "left_semi").withColumn("action", F.lit("update")))
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("action", F.lit("update"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left").withColumn("action", F.coalesce("action", F.lit("create")))
