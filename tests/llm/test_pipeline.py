@@ -2,7 +2,7 @@ import corpus_pipeline
 from pagelore.llm import language
 from tests.llm.fixtures import frame, odd_rows
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_simhash import brute as grouped
+from tests.llm.test_near_copies import groups
 from tests.llm.test_substrings import brute_gone, planted, words
 
 
@@ -20,13 +20,11 @@ def test_stages_against_brute_force(spark, tmp_path, monkeypatch):
     key = lambda rs: sorted(((r[0], tuple(words(r[1]))) for r in rs), key=str)
     got = language.in_a_language(out, language.trained(out), 0.0)
     assert key(got.collect()) == key(kept)
-    names = {(r[0], i): c for i, (r, c) in enumerate(zip(kept, [None] * len(kept), strict=True))}
-    assert len(names) == len(kept)
-    roots = {}
-    for d, p, c in grouped(kept):
-        roots.setdefault(d, set()).add((p, c))
     got = stage["near_duplicates"](spark, frame(spark, kept), str(tmp_path))
-    want = [r for r in kept if r[0] is None or any(c == r[0] for _, c in roots[r[0]])]
+    first = {}  # one row of each group: that of the least id, null last
+    for r, g in zip(kept, groups(kept)[0], strict=True):
+        first[g] = min(first.get(g, r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    want = list(first.values())
     assert key(got.collect()) == key(want)
     got = stage["substrings"](spark, frame(spark, want), str(tmp_path))
     gone = brute_gone(want, 20)
