@@ -29,6 +29,11 @@ def strict_tag(name: Column) -> Column:
     return F.when(held.rlike("^[A-Za-z0-9._-]+$"), F.lower(held))
 
 
+def required(value: Column, what: str) -> Column:
+    """The value; a null one fails the job, as a tag must that nothing is left of."""
+    return F.coalesce(value, F.raise_error(F.lit(f"no valid {what}")).cast("string"))
+
+
 def label(name: Column) -> Column:
     """Like a tag, but letters and digits of any script stay."""
     low = F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{N}_-]", "_")
@@ -75,5 +80,5 @@ def compact_time(at: Column) -> Column:
 
 
 def canonical_digest(value: Column) -> Column:
-    """SHA-256 of the value's JSON; give struct fields in key order."""
-    return F.sha2(F.to_json(value), 256)
+    """SHA-256 of the value's JSON, null fields included; give struct fields in key order."""
+    return F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)

@@ -30,7 +30,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str, name: str = "mean") -> DataFrame:
-    """(key, mean vector): averages by key and place, so partial sums and not vectors are shuffled."""
-    places = df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("m"))
+    """(key, mean vector): averages by key and place, so partial sums and not vectors are shuffled. The outer form keeps
+    Spark from working vectors out once more to filter empty ones, which go right after."""
+    places = df.select(key, F.posexplode_outer(vector).alias("pos", "x")).where("pos is not null").groupBy(key, "pos").agg(F.avg("x").alias("m"))
     held = F.array_sort(F.collect_list(F.struct("pos", "m")))  # as long as a vector
     return places.groupBy(key).agg(F.transform(held, lambda s: s["m"]).alias(name))

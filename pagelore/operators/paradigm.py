@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from pagelore.functions.scores import percent, status_from_ratio
 from pagelore.functions.text import MIN_CHARS, normalized, tokens
 from pagelore.functions.vectors import dot, doubles, mean_vectors, norm, unit
+from pagelore.operators.quantiles import exact_quantiles
 
 MIN_DIM = 8
 
 
 def hash_encoder(df: DataFrame, doc: str, text: str, dim: int = 64) -> DataFrame:
-    """(doc, vec): the stand-in encoder, counts of hashed tokens at length 1. Replace it by any job of that shape."""
+    """(doc, any other columns, vec): the stand-in encoder, counts of hashed tokens at length 1. Replace it by any job of
+    that shape. Texts without a token are left out."""
+    ids = [c for c in df.columns if c != text]
     place = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
-    counts = df.select(doc, F.explode(tokens(F.col(text))).alias("t")).select(doc, place.alias("p")).groupBy(doc, "p").count()
-    held = counts.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("p", F.col("count").cast("double")))).alias("m"))
+    counts = df.select(*ids, F.explode(tokens(F.col(text))).alias("t")).select(*ids, place.alias("p")).groupBy(*ids, "p").count()
+    held = counts.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("p", F.col("count").cast("double")))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0)))
-    return held.select(doc, unit(vec).alias("vec"))
+    return held.select(*ids, unit(vec).alias("vec"))
 
 
-def embed_covers(docs: DataFrame, doc: str, text: str, encoder: Callable[[DataFrame, str, str], DataFrame] = hash_encoder, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, vec) of covers of enough text; short ones are left out before the encoder runs."""
-    held = docs.select(doc, normalized(F.col(text)).alias(text)).where(F.length(text) >= min_chars)
+def embed_covers(docs: DataFrame, doc: str, text: str, encoder: Callable[[DataFrame, str, str], DataFrame] = hash_encoder, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, *carry, vec) of covers of enough text; short ones are left out before the encoder runs."""
+    held = docs.select(doc, *carry, normalized(F.col(text)).alias(text)).where(F.length(text) >= min_chars)
     return encoder(held, doc, text)
 
 
@@ -44,21 +47,25 @@ def self_scores(vectors: DataFrame, tag: str, vec: str, carry: tuple[str, ...] =
     return held.select(tag, *carry, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.col("paradigm")))).alias("score"))
 
 
-def cutoff(score: str = "score", method: str = "p05", sigma: float = 2.0) -> Column:
-    """The exact 5th percentile, or the mean less ``sigma`` population deviations for any other method name."""
-    return F.percentile(score, 0.05) if method == "p05" else F.avg(score) - sigma * F.stddev_pop(score)
+def cutoffs(scores: DataFrame, tag: str, score: str = "score", method: str = "p05", sigma: float = 2.0, least: int = 2, more: tuple[float, ...] = ()) -> DataFrame:
+    """(tag, n, threshold, q) of the tags with at least ``least`` members: the exact 5th percentile, or the mean less
+    ``sigma`` population deviations for any other method name; q has the quantiles that ``more`` names."""
+    sizes = scores.groupBy(tag).agg(F.count("*").alias("n"), (F.avg(score) - sigma * F.stddev_pop(score)).alias("deviating")).where(F.col("n") >= least)
+    if method != "p05" and not more:
+        return sizes.select(tag, "n", F.col("deviating").alias("threshold"), F.array().cast("array<double>").alias("q"))
+    held = sizes.join(exact_quantiles(scores, tag, score, (0.05, *more)), tag)
+    return held.select(tag, "n", (F.col("q")[0] if method == "p05" else F.col("deviating")).alias("threshold"), F.slice("q", 2, len(more)).alias("q"))
 
 
 def thresholds(scores: DataFrame, tag: str, method: str = "p05", sigma: float = 2.0, least: int = 2) -> DataFrame:
     """(tag, n, threshold) of the tags with at least ``least`` members."""
-    return scores.groupBy(tag).agg(F.count("*").alias("n"), cutoff("score", method, sigma).alias("threshold")).where(F.col("n") >= least)
+    return cutoffs(scores, tag, "score", method, sigma, least).drop("q")
 
 
 def report(scores: DataFrame, tag: str, method: str = "p05", sigma: float = 2.0) -> DataFrame:
     """Per tag: members, valid and invalid ones, ratio and its status, and the spread of scores in percent."""
-    held = scores.join(thresholds(scores, tag, method, sigma), tag)
-    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = held.groupBy(tag).agg(F.count("*").alias("total"), F.count_if(F.col("score") >= F.col("threshold")).alias("valid"), F.first("threshold").alias("threshold"), F.min("score").alias("lo"), q.alias("q"), F.avg("score").alias("mean"), F.max("score").alias("hi"))
+    held = scores.join(cutoffs(scores, tag, "score", method, sigma, more=(0.1, 0.5, 0.9)), tag)
+    out = held.groupBy(tag).agg(F.count("*").alias("total"), F.count_if(F.col("score") >= F.col("threshold")).alias("valid"), F.first("threshold").alias("threshold"), F.min("score").alias("lo"), F.first("q").alias("q"), F.avg("score").alias("mean"), F.max("score").alias("hi"))
     ratio = F.col("valid") / F.col("total")
     return out.select(
         tag, "total", "valid", (F.col("total") - F.col("valid")).alias("invalid"), F.round(ratio, 6).alias("valid_ratio"), status_from_ratio(ratio).alias("status"), F.round("threshold", 6).alias("threshold"),

@@ -18,10 +18,23 @@ def check_shares(train: float, val: float, test: float) -> None:
         raise ValueError("shares must be positive for training, not negative for the others, and sum to 1")
 
 
-def shuffled_rank(key: str, label: str, seed: int) -> Column:
-    """Number of a row in its label's seeded order."""
+#: Leading hex digits of a digest that cut a label's seeded order into pieces.
+PIECE_DIGITS = 3
+
+
+def shuffled_ranks(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Adds "rank", the number of a row in its label's seeded order, and "n_label", how many rows the label has.
+
+    Digests are spread evenly, so their first digits cut every label into pieces of like size: a row's number is that
+    within its piece and the sizes of the pieces before, and no task sorts a whole label.
+    """
     digest = F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    return F.row_number().over(Window.partitionBy(label).orderBy(digest, key))
+    held = rows.withColumn("digest", digest).withColumn("piece", F.substring("digest", 1, PIECE_DIGITS))
+    whole = Window.partitionBy(label)  # a row a piece
+    sizes = held.groupBy(label, "piece").agg(F.count("*").alias("n_piece"))
+    pieces = sizes.select(label, "piece", (F.sum("n_piece").over(whole.orderBy("piece")) - F.col("n_piece")).alias("before"), F.sum("n_piece").over(whole).alias("n_label"))
+    number = F.row_number().over(Window.partitionBy(label, "piece").orderBy("digest", key))
+    return held.join(pieces, [label, "piece"]).withColumn("rank", F.col("before") + number).drop("digest", "piece", "before")
 
 
 def split(rows: DataFrame, key: str, label: str, seed: int = 42, balance: bool = True, train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
@@ -31,9 +44,8 @@ def split(rows: DataFrame, key: str, label: str, seed: int = 42, balance: bool =
     with ``balance`` every label has as many rows as the smallest.
     """
     check_shares(train, val, test)
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n_label"))
-    least = sizes.agg(F.min("n_label").alias("n_least"))
-    held = rows.withColumn("rank", shuffled_rank(key, label, seed)).join(sizes, label).join(F.broadcast(least), F.lit(True))  # one row
+    least = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n_label")).agg(F.min("n_label").alias("n_least"))
+    held = shuffled_ranks(rows, key, label, seed).join(F.broadcast(least), F.lit(True))  # one row
     n = F.col("n_least") if balance else F.col("n_label")
     a, b = F.floor(n * train), F.floor(n * train) + F.floor(n * val)
     part = F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test")

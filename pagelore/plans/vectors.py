@@ -62,7 +62,7 @@ s as (select doc_id, lang as label, greatest(-1, least(1, sum(x * p))) s from w
 @query("text_paradigm_report", f"with {_HASHED}, {_REPORT.replace('select label, total, valid', 'select label lang, total, valid')}")
 def text_paradigm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = paradigm.embed_covers(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    held = paradigm.embed_covers(docs, "doc_id", "text", carry=("lang",))
     return paradigm.report(paradigm.self_scores(held, "lang", "vec", ("doc_id",)), "lang")
 
 
