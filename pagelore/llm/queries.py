@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm import decontaminate, language, language_model, media, mixing, simhash, substrings, suffix_dedup, token_counts, toxicity
+from pagelore.llm import decontaminate, fill_in_middle, language, language_model, media, mixing, simhash, substrings, suffix_dedup, token_counts, toxicity, warc, whitening
 from pagelore.llm.common import table
 
 
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": over(suffix_dedup.op8_suffix_dedup, "documents"),
         "op9_language": over(language.op9_language, "documents"),
         "op10_simhash": over(simhash.op10_simhash, "documents"),
+        "op11_whitening": over(whitening.op11_whitening, "embeddings"),
+        "op12_warc": over(warc.op12_warc, "pages"),
+        "op13_fill_in_middle": over(fill_in_middle.op13_fill_in_middle, "documents"),
     }
 
 
