@@ -23,6 +23,8 @@ LEAST = 1000
 #: Bytes of records after which a file is full; bytes read at once; effort of the first files, which are read once, and of
 #: those that stay; the date that records have where none is given.
 FILE, CHUNK, FAST, EFFORT, DATE = 64 << 20, 1 << 20, 1, 4, "2000-01-01T00:00:00Z"
+#: Files are read in a task each, up to so many tasks.
+TASKS = 20_000
 #: Tasks that the rows of one payload are dealt over where the copies' list is too long to be sent to all tasks; that list.
 SALTS, SENT = 16, 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -170,6 +172,11 @@ def member(source: BinaryIO, offset: int, length: int) -> Record:
     return next(records(iter([zlib.decompress(source.read(length), 31)])))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """``files``, a row a file, dealt over a task each: rows are tiny, so Spark by itself would put them in one task."""
+    return files.repartition(max(1, min(files.count(), TASKS)))
+
+
 def monoliths(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html", most: int = FILE) -> DataFrame:
     """Writes a response record of every row to files of one gzip stream each, of about ``most`` bytes of records, and
     returns (file, number, page, size, sha256), a row a record. Files are named anew by each attempt of a task; only those
@@ -237,7 +244,7 @@ def archived(pages: DataFrame, folder: str, page: str = "page_id", url: str = "u
     monoliths(pages, f"{folder}/monoliths", page, url, html, most).write.parquet(f"{folder}/listed")
     listed = spark.read.parquet(f"{folder}/listed")
     known = revisits(listed, order, least).groupBy("file").agg(F.collect_list(F.struct("number", "to_file", "to_number", "to_page")).alias("to"))  # of one file of bounded size
-    files = listed.select("file").distinct().join(known, "file", "left").repartition("file")
+    files = spread(checkpointed(listed.select("file").distinct().join(known, "file", "left")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +297,7 @@ def read_back(files: DataFrame, file: str = "file", batch: int = 1 << 24) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
-    return files.select(file).repartition(file).mapInArrow(run, "file string, number int, page string, url string, type string, payload_bytes long, payload_digest string, refers_to string, refers_to_page string, payload binary")
+    return spread(files.select(file)).mapInArrow(run, "file string, number int, page string, url string, type string, payload_bytes long, payload_digest string, refers_to string, refers_to_page string, payload binary")
 
 
 def op12_warc(pages: DataFrame) -> DataFrame:
