@@ -52,9 +52,3 @@ def zscored(df: DataFrame, fields: tuple[str, ...], suffix: str = "_z") -> DataF
     held = df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
     out = held.withColumns({f + suffix: (F.col(f) - F.col(f"{f}_mean")) / F.when(F.abs(f"{f}_std") < 1e-9, 1.0).otherwise(F.col(f"{f}_std")) for f in fields})
     return out.drop(*[f"{f}_{s}" for f in fields for s in ("mean", "std")])
-
-
-def profile(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(field, min, median, mean, max) of each feature in one aggregation."""
-    aggs = [F.struct(F.lit(f).alias("field"), F.min(f).alias("min"), F.percentile(f, 0.5).alias("median"), F.avg(f).alias("mean"), F.max(f).alias("max")) for f in fields]
-    return df.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")

@@ -14,6 +14,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
 
+#: Places that scores of unit vectors keep, so that vectors of one direction score alike whatever they were summed from.
+SCORE_PLACES = 12
+
+
+def unit_score(a: Column, b: Column) -> Column:
+    """The dot product of unit vectors to SCORE_PLACES places."""
+    return F.round(dot(a, b), SCORE_PLACES)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

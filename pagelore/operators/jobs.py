@@ -13,6 +13,7 @@ from pagelore.operators import paradigm
 from pagelore.operators.catalog import Catalog
 from pagelore.operators.supervised import split, usable
 from pagelore.sources.files import SKIPS_SHOWN, write_manifest, write_split_tree
+from pagelore.sources.store import stored
 
 DEFAULT_MODEL = "hash64"
 
@@ -40,8 +41,9 @@ def model_name(given: Column, source: Column, default: str = DEFAULT_MODEL) -> C
 
 def build_catalog(catalog: Catalog, vectors: DataFrame, tag: str, vec: str, model: str = DEFAULT_MODEL, page_index: int = 0, method: str = "p05", update: bool = False, authorize: bool = True) -> DataFrame:
     """Puts each tag's paradigm and cutoff into the catalog and returns the validation report of its members."""
-    scores = paradigm.self_scores(vectors, tag, vec)
-    entries = paradigm.paradigms(vectors, tag, vec).join(paradigm.thresholds(scores, tag, method), tag)
+    known = stored(paradigm.paradigms(vectors, tag, vec))
+    scores = stored(paradigm.self_scores(vectors, tag, vec, known=known))
+    entries = known.join(paradigm.thresholds(scores, tag, method), tag)
     rows = entries.select(F.col(tag).cast("string").alias("tag"), F.lit(model).alias("model"), F.lit(page_index).alias("page_index"), "threshold", F.lit(method).alias("method"), "paradigm")
     catalog.put(rows, update, authorize)
     return paradigm.report(scores, tag, method)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pagelore.functions.scores import percent, status_from_ratio
 from pagelore.functions.text import MIN_CHARS, normalized, tokens
-from pagelore.functions.vectors import dot, doubles, mean_vectors, norm, unit
+from pagelore.functions.vectors import doubles, mean_vectors, norm, unit, unit_score
 from pagelore.operators.quantiles import exact_quantiles
+from pagelore.sources.store import stored
 
 MIN_DIM = 8
 
@@ -40,21 +41,23 @@ def paradigms(vectors: DataFrame, tag: str, vec: str) -> DataFrame:
     return means.select(tag, checked.alias("paradigm"))
 
 
-def self_scores(vectors: DataFrame, tag: str, vec: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every member's cosine with its own paradigm, within [-1, 1]. Paradigms are one row a tag: Spark picks the join by
-    their measured size."""
-    held = vectors.select(tag, *carry, unit(doubles(F.col(vec))).alias("u")).join(paradigms(vectors, tag, vec), tag)
-    return held.select(tag, *carry, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.col("paradigm")))).alias("score"))
+def self_scores(vectors: DataFrame, tag: str, vec: str, carry: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """Every member's cosine with its own paradigm (of ``known``, if they are there already), within [-1, 1]. Paradigms are
+    one row a tag: Spark picks the join by their measured size."""
+    held = vectors.select(tag, *carry, unit(doubles(F.col(vec))).alias("u")).join(paradigms(vectors, tag, vec) if known is None else known.select(tag, "paradigm"), tag)
+    return held.select(tag, *carry, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), unit_score(F.col("u"), F.col("paradigm")))).alias("score"))
 
 
 def cutoffs(scores: DataFrame, tag: str, score: str = "score", method: str = "p05", sigma: float = 2.0, least: int = 2, more: tuple[float, ...] = ()) -> DataFrame:
     """(tag, n, threshold, q) of the tags with at least ``least`` members: the exact 5th percentile, or the mean less
     ``sigma`` population deviations for any other method name; q has the quantiles that ``more`` names."""
-    sizes = scores.groupBy(tag).agg(F.count("*").alias("n"), (F.avg(score) - sigma * F.stddev_pop(score)).alias("deviating")).where(F.col("n") >= least)
-    if method != "p05" and not more:
-        return sizes.select(tag, "n", F.col("deviating").alias("threshold"), F.array().cast("array<double>").alias("q"))
-    held = sizes.join(exact_quantiles(scores, tag, score, (0.05, *more)), tag)
-    return held.select(tag, "n", (F.col("q")[0] if method == "p05" else F.col("deviating")).alias("threshold"), F.slice("q", 2, len(more)).alias("q"))
+    exact = exact_quantiles(scores, tag, score, (0.05, *more)) if method == "p05" or more else None
+    if method == "p05":
+        return exact.where(F.col("n") >= least).select(tag, "n", F.col("q")[0].alias("threshold"), F.slice("q", 2, len(more)).alias("q"))
+    sizes = scores.groupBy(tag).agg(F.count("*").alias("n"), (F.avg(score) - sigma * F.stddev_pop(score)).alias("threshold")).where(F.col("n") >= least)
+    if not more:
+        return sizes.select(tag, "n", "threshold", F.array().cast("array<double>").alias("q"))
+    return sizes.join(exact.select(tag, F.slice("q", 2, len(more)).alias("q")), tag)
 
 
 def thresholds(scores: DataFrame, tag: str, method: str = "p05", sigma: float = 2.0, least: int = 2) -> DataFrame:
@@ -63,7 +66,9 @@ def thresholds(scores: DataFrame, tag: str, method: str = "p05", sigma: float =
 
 
 def report(scores: DataFrame, tag: str, method: str = "p05", sigma: float = 2.0) -> DataFrame:
-    """Per tag: members, valid and invalid ones, ratio and its status, and the spread of scores in percent."""
+    """Per tag: members, valid and invalid ones, ratio and its status, and the spread of scores in percent. Scores are worked
+    out once and stored, so those that are judged are those that made the cutoff."""
+    scores = stored(scores.select(tag, "score"))
     held = scores.join(cutoffs(scores, tag, "score", method, sigma, more=(0.1, 0.5, 0.9)), tag)
     out = held.groupBy(tag).agg(F.count("*").alias("total"), F.count_if(F.col("score") >= F.col("threshold")).alias("valid"), F.first("threshold").alias("threshold"), F.min("score").alias("lo"), F.first("q").alias("q"), F.avg("score").alias("mean"), F.max("score").alias("hi"))
     ratio = F.col("valid") / F.col("total")

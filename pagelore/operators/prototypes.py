@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pagelore.functions.scores import blended, normalized_score, status_from_ratio
 from pagelore.functions.vectors import dot, mean_vectors
 from pagelore.operators.paradigm import cutoffs
+from pagelore.sources.store import stored
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -70,6 +71,7 @@ def prototype_scores(items: DataFrame, prototypes: DataFrame, key: str, doc: str
 
 def token_report(scored: DataFrame, key: str, method: str = "p05", sigma: float = 2.0) -> DataFrame:
     """Per key: how many blended scores pass the cutoff, which is taken on the rounded percentages."""
+    scored = stored(scored.select(key, "score_pct"))
     cut = cutoffs(scored, key, "score_pct", method, sigma, 3).select(key, F.col("threshold").alias("threshold_pct"))
     held = scored.join(cut, key)
     out = held.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("score_pct") >= F.col("threshold_pct")).alias("valid"), F.first("threshold_pct").alias("t"), F.avg("score_pct").alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions.scores import passes, percent
 from pagelore.functions.text import MIN_CHARS, normalized
-from pagelore.functions.vectors import dot, doubles, unit
+from pagelore.functions.vectors import doubles, unit, unit_score
 
 
 def find_docs(vectors: DataFrame, paradigms: DataFrame, tag: str, doc: str, vec: str, override_pct: float | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def find_docs(vectors: DataFrame, paradigms: DataFrame, tag: str, doc: str, vec:
     The catalog is a stated, small set against all rows; Spark broadcasts it if its measured size allows.
     """
     held = vectors.select(doc, unit(doubles(F.col(vec))).alias("u")).join(paradigms.select(tag, "paradigm", "threshold"), F.lit(True))
-    score = dot(F.col("u"), F.col("paradigm"))
+    score = unit_score(F.col("u"), F.col("paradigm"))
     return held.select(tag, doc, percent(score).alias("similarity_pct"), passes(score, F.col("threshold"), override_pct).alias("pass_threshold"))
 
 
@@ -30,7 +30,7 @@ def compare_page(pages: DataFrame, vectors: DataFrame, paradigm: DataFrame, doc:
     size = F.length(normalized(F.col(text)))
     held = pages.select(doc, size.alias("chars")).join(vectors.select(doc, unit(doubles(F.col(vec))).alias("u")), doc, "left").join(paradigm.select("paradigm", "threshold"), F.lit(True))
     ok = (F.col("chars") >= min_chars) & F.col("u").isNotNull()
-    score = F.when(ok, dot(F.col("u"), F.col("paradigm")))
+    score = F.when(ok, unit_score(F.col("u"), F.col("paradigm")))
     return held.select(doc, "chars", F.when(ok, "ok").otherwise("insufficient_text").alias("status"), percent(score).alias("similarity_pct"), passes(score, F.col("threshold")).alias("pass_threshold"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +11,9 @@ from pagelore.operators import jobs, supervised
 from pagelore.operators.catalog import Catalog
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
-from pagelore.plans.vectors import _LINEAR, _PARADIGM, _REPORT
+from pagelore.plans.vectors import _CUTOFF, _LINEAR, _PARADIGM, _REPORT
 from pagelore.sources import files
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir, or a temporary one in local mode."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='jobs')}/{name}-{uuid.uuid4().hex}"
+from pagelore.sources.store import scratch
 
 
 @query(
@@ -46,7 +36,7 @@ def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "catalog_entries",
-    f"with {_PARADIGM}, t as (select label, quantile_cont(s, 0.05) t from s group by label) select label::varchar tag, case when label % 2 = 0 then 'other' else 'hash64' end model, 0 page_index, round(t, 6) threshold, 'p05' \"method\", len(p)::int dim, case when label % 2 = 0 then 1 else 0 end update_count, case when label % 2 = 0 then 2 else 1 end events from p join t using (label)",
+    f"with {_PARADIGM}, {_CUTOFF} select label::varchar tag, case when label % 2 = 0 then 'other' else 'hash64' end model, 0 page_index, round(t, 6) threshold, 'p05' \"method\", len(p)::int dim, case when label % 2 = 0 then 1 else 0 end update_count, case when label % 2 = 0 then 2 else 1 end events from p join t using (label)",
 )
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tags built, the even ones once more as an authorized update; read back from the catalog with their histories."""

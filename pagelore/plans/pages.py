@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagelore.functions import features, scores, text
 from pagelore.operators import supervised
 from pagelore.operators.catalog import manifest
-from pagelore.plans.registry import query, table
+from pagelore.operators.profiles import profile
+from pagelore.plans.registry import quantile_sql, query, table
 from pagelore.sources import files
 
 _NORM = "trim(regexp_replace(coalesce(text, ''), '[[:space:]]+', ' ', 'g'))"
@@ -57,14 +58,12 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rows(spark, sf_dir).drop("lang", "source").withColumn("fill_percent", F.round("fill_percent", 6))
 
 
-_PROFILE = " union all ".join(f"select '{f}' field, round(min({f}), 4) \"min\", round(quantile_cont({f}, 0.5), 4) median, round(avg({f}), 4) mean, round(max({f}), 4) \"max\", round(case when stddev_pop({f}) < 1e-9 then 1 else stddev_pop({f}) end, 4) std from f" for f in features.TEXT_FIELDS)
+_PROFILE = " union all ".join(f"select '{f}' field, round(min({f}), 4) \"min\", round({quantile_sql(f'list_sort(list({f}))', 0.5)}, 4) median, round(avg({f}), 4) mean, round(max({f}), 4) \"max\", round(case when stddev_pop({f}) < 1e-9 then 1 else stddev_pop({f}) end, 4) std from f" for f in features.TEXT_FIELDS)
 
 
 @query("feature_profile", f"with {PAGES_SQL} {_PROFILE}")
 def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = page_rows(spark, sf_dir)
-    stats = features.column_stats(held, features.TEXT_FIELDS).select("field", "std")
-    return features.profile(held, features.TEXT_FIELDS).join(stats, "field").select("field", *[F.round(c, 4).alias(c) for c in ("min", "median", "mean", "max", "std")])
+    return profile(page_rows(spark, sf_dir), features.TEXT_FIELDS).select("field", *[F.round(c, 4).alias(c) for c in ("min", "median", "mean", "max", "std")])
 
 
 @query(

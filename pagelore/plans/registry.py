@@ -24,3 +24,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quantile_sql(values: str, share: float) -> str:
+    """SQL for the interpolated quantile of a sorted list, the rule of ``operators.quantiles.between``."""
+    place = f"({share}::double * (len({values}) - 1))"
+    lo, hi = f"{values}[floor({place})::int + 1]", f"{values}[ceil({place})::int + 1]"
+    return f"case when {lo} = {hi} then {lo} else least({hi}, {lo} + ({place} - floor({place})) * ({hi} - {lo})) end"

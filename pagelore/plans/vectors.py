@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import doubles, mean_vectors, unit
 from pagelore.operators import paradigm, prototypes, search, supervised
-from pagelore.plans.registry import query, table
+from pagelore.plans.registry import quantile_sql, query, table
 
 _UNITS = """v as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings),
 u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u from v)"""
 _PARADIGM = f"""{_UNITS}, x as (select label, unnest(u) c, unnest(range(len(u))) pos from u),
 m as (select label, list(c order by pos) m from (select label, pos, avg(c) c from x group by all) group by label),
 p as (select label, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) p from m),
-s as (select vec_id, label, greatest(-1, least(1, list_dot_product(u, p))) s from u join p using (label))"""
-_REPORT = """t as (select label, count(*) total, quantile_cont(s, 0.05) t from s group by label),
-r as (select label, any_value(total) total, count(*) filter (s >= t) valid, any_value(t) t, min(s) lo, quantile_cont(s, 0.1) q1, quantile_cont(s, 0.5) q5, avg(s) m, quantile_cont(s, 0.9) q9, max(s) hi from s join t using (label) group by label)
+s as (select vec_id, label, greatest(-1, least(1, round(list_dot_product(u, p), 12))) s from u join p using (label))"""
+_CUTOFF = f"t as (select label, len(l) total, {quantile_sql('l', 0.05)} t, {quantile_sql('l', 0.1)} q1, {quantile_sql('l', 0.5)} q5, {quantile_sql('l', 0.9)} q9 from (select label, list_sort(list(s)) l from s group by label))"
+_REPORT = f"""{_CUTOFF},
+r as (select label, any_value(total) total, count(*) filter (s >= t) valid, any_value(t) t, min(s) lo, any_value(q1) q1, any_value(q5) q5, avg(s) m, any_value(q9) q9, max(s) hi from s join t using (label) group by label)
 select label, total, valid, total - valid invalid, round(valid / total, 6) valid_ratio, case when valid / total >= 0.95 then 'ok' when valid / total >= 0.85 then 'warning' else 'poor' end status, round(t, 6) threshold,
  round(lo * 100, 4) min_pct, round(q1 * 100, 4) p10_pct, round(q5 * 100, 4) median_pct, round(m * 100, 4) mean_pct, round(q9 * 100, 4) p90_pct, round(hi * 100, 4) max_pct from r"""
 
@@ -30,7 +31,7 @@ def paradigm_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paradigm.paradigms(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.posexplode("paradigm").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("paradigm_threshold_p05", f"with {_PARADIGM} select label, count(*) n, round(quantile_cont(s, 0.05), 6) threshold from s group by label")
+@query("paradigm_threshold_p05", f"with {_PARADIGM}, {_CUTOFF} select label, total n, round(t, 6) threshold from t")
 def threshold_p05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paradigm.thresholds(scores(spark, sf_dir), "label").withColumn("threshold", F.round("threshold", 6))
 
@@ -55,8 +56,10 @@ tok as (select doc_id, lang, unnest(regexp_extract_all(lower(t), '[0-9A-Za-zÀ-
 c as (select doc_id, lang, ('0x' || md5(t)[1:8])::bigint % 64 pos, count(*)::double n from tok group by all),
 w as (select doc_id, lang, pos, n / sqrt(sum(n * n) over (partition by doc_id)) x from c),
 k as (select lang, count(distinct doc_id) k from w group by lang), m as (select lang, pos, sum(x) / any_value(k) x from w join k using (lang) group by all),
-p as (select lang, pos, x / sqrt(sum(x * x) over (partition by lang)) p from m),
-s as (select doc_id, lang as label, greatest(-1, least(1, sum(x * p))) s from w join p using (lang, pos) group by all)"""
+g as (select lang, list(coalesce(x, 0) order by pos) g from (select lang, pos, x from (select distinct lang from m) cross join (select unnest(range(64)) pos) left join m using (lang, pos)) group by lang),
+p as (select lang, list_transform(g, lambda x: x / sqrt(list_dot_product(g, g))) p from g),
+dv as (select doc_id, lang, list(coalesce(x, 0) order by pos) v from (select doc_id, lang, pos, x from (select distinct doc_id, lang from w) cross join (select unnest(range(64)) pos) left join w using (doc_id, lang, pos)) group by all),
+s as (select doc_id, lang as label, greatest(-1, least(1, round(list_dot_product(v, p), 12))) s from dv join p using (lang))"""
 
 
 @query("text_paradigm_report", f"with {_HASHED}, {_REPORT.replace('select label, total, valid', 'select label lang, total, valid')}")
@@ -66,7 +69,7 @@ def text_paradigm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paradigm.report(paradigm.self_scores(held, "lang", "vec", ("doc_id",)), "lang")
 
 
-_FOUND = f"""with {_PARADIGM}, t as (select label, quantile_cont(s, 0.05) t from s group by label), a as (select p.label, u.vec_id, list_dot_product(u, p) s, t from u, p join t using (label))"""
+_FOUND = f"""with {_PARADIGM}, {_CUTOFF}, a as (select p.label, u.vec_id, round(list_dot_product(u, p), 12) s, t from u, p join t using (label))"""
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,7 @@ def find_docs_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_docs(table(spark, sf_dir, "embeddings"), catalog(spark, sf_dir), "label", "vec_id", "embedding", 50.0)
 
 
-@query("compare_page", f"with {_PARADIGM}, t as (select quantile_cont(s, 0.05) t from s where label = 3) select d.doc_id, length(trim(d.text))::int chars, case when length(trim(d.text)) >= 40 and u is not null then 'ok' else 'insufficient_text' end status, case when length(trim(d.text)) >= 40 then round(list_dot_product(u, p) * 100, 4) end similarity_pct, case when length(trim(d.text)) >= 40 then list_dot_product(u, p) >= t end pass_threshold from documents d left join u on vec_id = doc_id, t, p where p.label = 3")
+@query("compare_page", f"with {_PARADIGM}, {_CUTOFF} select d.doc_id, length(trim(d.text))::int chars, case when length(trim(d.text)) >= 40 and u is not null then 'ok' else 'insufficient_text' end status, case when length(trim(d.text)) >= 40 then round(round(list_dot_product(u, p), 12) * 100, 4) end similarity_pct, case when length(trim(d.text)) >= 40 then round(list_dot_product(u, p), 12) >= t end pass_threshold from documents d left join u on vec_id = doc_id, t, p where p.label = 3 and t.label = 3")
 def compare_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return search.compare_page(table(spark, sf_dir, "documents"), vectors, catalog(spark, sf_dir).where("label = 3"), "doc_id", "text", "embedding")
@@ -135,7 +138,7 @@ def prototypes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_paradigm_report",
-    f"with {_PAIRS}, t as (select label, quantile_cont(score_pct, 0.05) t from bl group by label having count(*) >= 3), r as (select label, count(*) total, count(*) filter (score_pct >= t - 1e-9) valid, any_value(t) t, avg(score_pct) m from bl join t using (label) group by label) select label, total, valid, round(valid / total, 6) valid_ratio, case when valid / total >= 0.95 then 'ok' when valid / total >= 0.85 then 'warning' else 'poor' end status, round(t, 3) threshold_pct, round(m, 4) mean_pct from r",
+    f"with {_PAIRS}, t as (select label, {quantile_sql('l', 0.05)} t from (select label, list_sort(list(score_pct)) l from bl group by label having count(*) >= 3)), r as (select label, count(*) total, count(*) filter (score_pct >= t) valid, any_value(t) t, avg(score_pct) m from bl join t using (label) group by label) select label, total, valid, round(valid / total, 6) valid_ratio, case when valid / total >= 0.95 then 'ok' when valid / total >= 0.85 then 'warning' else 'poor' end status, round(t, 3) threshold_pct, round(m, 4) mean_pct from r",
 )
 def token_paradigm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, top = chosen(spark, sf_dir)
