@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.functions.features import zscored
 from pagelore.functions.scores import confidence_rank, family_confidence, feature_similarity, normalized_score, positive
 from pagelore.functions.text import BEST_EXCERPT, MIN_COMPARED, normalized
 from pagelore.functions.vectors import distance
@@ -156,26 +153,6 @@ def verdicts(pages: DataFrame, doc: str, page: str, ai: str | None = None) -> Da
     return out.select(doc, F.when(F.col("hits") > 0, "detected").otherwise("not_detected").alias("status"), "pages", "hits", F.col(f"b.{page}").alias("best_page"), F.col("b.confidence").alias("best_confidence"), F.round("b.distance", 6).alias("best_distance"))
 
 
-def kmeans(pages: DataFrame, fields: tuple[str, ...], k: int, starts: int = 10, seed: int = 0) -> tuple[DataFrame, list[list[float]], float]:
-    """(pages with "family", centers, cost) of the best of ``starts`` runs over z-scored fields. Needs k rows or more."""
-    held = zscored(pages, fields).withColumn("features", array_to_vector(F.array(*[F.col(f"{f}_z") for f in fields])))
-    kept = held.select("features").persist()
-    try:
-        if kept.count() < k:
-            raise ValueError(f"fewer than {k} pages")
-        best = min((KMeans(k=k, seed=seed + i, initMode="k-means||").fit(kept) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    finally:
-        kept.unpersist()
-    out = best.transform(held).withColumnRenamed("prediction", "family").drop("features")
-    return out, [c.tolist() for c in best.clusterCenters()], best.summary.trainingCost
-
-
-def elbow(pages: DataFrame, fields: tuple[str, ...], k_min: int = 2, k_max: int = 8, starts: int = 10) -> DataFrame:
-    """(k, inertia) of the best fit for each number of families."""
-    rows = [(k, kmeans(pages, fields, k, starts)[2]) for k in range(k_min, k_max + 1)]
-    return pages.sparkSession.createDataFrame(rows, "k int, inertia double")
-
-
 def batch_summary(results: DataFrame) -> DataFrame:
     hit = F.count_if(F.col("status") == "detected")
     return results.agg(F.count("*").alias("total"), hit.alias("detected"), (F.count("*") - hit).alias("not_detected"), F.round(F.coalesce(F.try_divide(hit, F.count("*")), F.lit(0.0)), 6).alias("ratio"))

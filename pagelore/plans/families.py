@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from pagelore.functions import features, scores
 from pagelore.functions.text import tokens
-from pagelore.operators import families
+from pagelore.operators import families, kmeans
 from pagelore.operators.prototypes import jaccard
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
+from pagelore.sources.store import scratch
 
 FIELDS = features.TEXT_FIELDS
 _Z = ", ".join(f"(x.{f} - avg(x.{f}) over ()) / (case when abs(stddev_pop(x.{f}) over ()) < 1e-9 then 1 else stddev_pop(x.{f}) over () end) {f}_z" for f in FIELDS)
@@ -126,15 +127,57 @@ def reference_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.reranked(docs, refs, "doc_id", "text", "g", jaccard, lambda c: F.array_distinct(tokens(c)))
 
 
-@query("kmeans_families")
+#: Rounds of k-means that the queries take at most, as many as their SQL has.
+ROUNDS = 16
+
+
+def _lloyd_sql(k_min: int, k_max: int) -> str:
+    """z, then for each k and start the centers of every round (c0, c1, ...), the last as "best" of each k, and inertia."""
+    pick = ", ".join(f"{f}_z" for f in FIELDS)
+    mean = ", ".join(f"coalesce(avg(a.{f}_z), any_value(c.{f}_z)) {f}_z" for f in FIELDS)
+    apart = " + ".join(f"(z.{f}_z - c.{f}_z) ** 2" for f in FIELDS)
+    held = f"""{PAGES_SQL}, z as materialized (select doc_id, {_Z} from f x), st as (select unnest(range(10)) start)"""
+    for t in range(k_max):
+        u = f"(('0x' || substr(sha256('0:' || start || ':{t // 8}:' || z.doc_id), {8 * (t % 8) + 1}, 8))::bigint + 1) / 4294967296.0"
+        drawn = "z, st" if t == 0 else f"(select z.doc_id, c.start, min({apart}) d from z, ({' union all '.join(f'select * from s{i}' for i in range(t))}) c group by all) z"
+        weight = "1.0" if t == 0 else "d"
+        held += f""",
+s{t} as materialized (select start, {t} j, z.* from (select start, arg_min(doc_id, (race, doc_id)) doc_id from (select start, z.doc_id, case when {weight} > 0 then -ln({u}) / {weight} else 'infinity'::double end race from {drawn}) group by start) w join z using (doc_id))"""
+    held += f""",
+c0 as materialized (select k, start, j, {pick} from ({" union all ".join(f"select * from s{t}" for t in range(k_max))}) join (select unnest(range({k_min}, {k_max + 1})) k) on j < k)"""
+    for i in range(ROUNDS):
+        held += f""",
+a{i} as (select k, start, doc_id, arg_min(j, (d, j)) j from (select c.k, c.start, c.j, z.doc_id, {apart} d from z, c{i} c) group by all),
+c{i + 1} as materialized (select c.k, c.start, c.j, {mean} from c{i} c left join (select a{i}.*, {pick} from a{i} join z using (doc_id)) a on a.k = c.k and a.start = c.start and a.j = c.j group by all)"""
+    return held + f""",
+e as materialized (select k, start, doc_id, arg_min(j, (d, j)) j, min(d) d from (select c.k, c.start, c.j, z.doc_id, {apart} d from z, c{ROUNDS} c) group by all),
+i as (select k, start, sum(d) inertia, count(*) n from e group by all), best as (select k, arg_min(start, (round(inertia / n, 9), start)) start from i group by k)"""
+
+
+@query("kmeans_families", f"with {_lloyd_sql(4, 4)} select doc_id, e.j::int family, round(sqrt(d), 6) distance from e join best using (k, start)")
 def kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, _, _ = families.kmeans(page_rows(spark, sf_dir), FIELDS, 4, starts=10)
-    return held.select("doc_id", "family")
+    held, _, _, _ = kmeans.families(page_rows(spark, sf_dir), FIELDS, "doc_id", 4, rounds=ROUNDS)
+    return held.select("doc_id", "family", F.round("distance", 6).alias("distance"))
 
 
-@query("elbow")
+@query("elbow", f"with {_lloyd_sql(2, 8)} select k::int k, round(inertia, 4) inertia from i join best using (k, start)")
 def elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.elbow(page_rows(spark, sf_dir), FIELDS, 2, 8, starts=10)
+    return kmeans.elbow(page_rows(spark, sf_dir), FIELDS, "doc_id", 2, 8, rounds=ROUNDS).withColumn("inertia", F.round("inertia", 4))
+
+
+@query(
+    "family_catalog",
+    f"""with {_lloyd_sql(4, 4)}, m as (select doc_id, e.j family, sqrt(d) distance from e join best using (k, start)),
+x as (select family, doc_id from m qualify row_number() over (partition by family order by distance, doc_id) <= 5)
+select 0 page, family::varchar family, count(*) members, round(min(distance), 6) dist_min, round(avg(distance), 6) dist_mean, round(max(distance), 6) dist_max,
+ any_value((select string_agg(x.doc_id::varchar, ',' order by m2.distance, x.doc_id) from x join m m2 using (doc_id) where x.family = m.family)) examples from m group by family""",
+)
+def family_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family catalog of k-means as it was written and read back, with the closest examples of each family."""
+    pages = page_rows(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("page", F.lit(0))
+    held = kmeans.write_family_catalog(pages, scratch(spark, "families"), "doc_id", "page", "text", FIELDS, (0,), 4, rounds=ROUNDS)
+    told = held.select("page", F.explode("families").alias("f")).where("f.members > 0")
+    return told.select("page", "f.family", "f.members", *(F.round(f"f.{c}", 6).alias(c) for c in ("dist_min", "dist_mean", "dist_max")), F.array_join(F.transform("f.examples", lambda e: e["doc"]), ",").alias("examples"))
 
 
 _FEW = ("chars", "words")
