@@ -71,8 +71,9 @@ def preview_name(number: Column, file: Column, page: Column) -> Column:
     return F.format_string("%05d__%s__cover_p%04d.pdf", number, slug(file), page + 1)
 
 
-def utc_iso(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def utc_iso(at: Column, zoned: bool = True) -> Column:
+    """The time in UTC, whatever the session's zone; ``zoned`` is False for a column without a zone, which is UTC as it is."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()) if zoned else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def compact_time(at: Column) -> Column:

@@ -62,7 +62,8 @@ def prepare_dataset(samples: DataFrame, path: str, key: str, label: str, text: s
     parts = split(kept, key, label, **options)
     name = target_name(F.col("number"), F.concat(source, F.lit("/"), F.col(key).cast("string")), F.col(key).cast("string"))
     parts = parts.withColumns({"src_name": F.col(source), "src_abs": F.concat(source, F.lit("/"), F.col(key).cast("string")), "dst_name": name, "dst_abs": F.concat_ws("/", F.lit(path), "split", F.col(label).cast("string"), name)})
-    write_split_tree(parts.select(key, text, "split", label), label, f"{path}/tree")
+    write_split_tree(parts, label, f"{path}/tree")
+    parts = parts.sparkSession.read.schema(parts.schema).parquet(f"{path}/tree")  # the manifest and the summary are of what was written
     write_manifest(parts.withColumn("label", F.col(label).cast("string")), f"{path}/manifest")
     counts = parts.groupBy("split", label).agg(F.count("*").alias("n"))
     return counts.union(short.groupBy(F.lit("skipped").alias("split"), label).agg(F.count("*").alias("n")))
@@ -145,6 +146,6 @@ def backing_off(encode: Callable[[list, int], list], items: list, batch: int, to
 
 def payload(job: str, outcome: DataFrame, **details: str) -> DataFrame:
     """One row (job, payload): the outcome of a small report as JSON, with the details, for whoever started the job."""
-    rows = outcome.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    head = ", ".join(f'"{k}": "{v}"' for k, v in sorted(details.items()))
-    return rows.select(F.lit(job).alias("job"), F.concat(F.lit("{" + head + (", " if head else "") + '"rows": ['), F.array_join("rows", ", "), F.lit("]}")).alias("payload"))
+    rows = outcome.agg(F.array_sort(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in outcome.columns)))).alias("rows"))
+    said = F.struct(*(F.lit(v).alias(k) for k, v in sorted(details.items())), "rows")
+    return rows.select(F.lit(job).alias("job"), F.to_json(said, {"ignoreNullFields": "false"}).alias("payload"))

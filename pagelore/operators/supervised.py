@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pagelore.functions.scores import softmax
 from pagelore.functions.text import MIN_CHARS_SUPERVISED, skip_reason
 from pagelore.functions.vectors import dot, doubles
+from pagelore.sources.files import numbered
 
 
 def check_shares(train: float, val: float, test: float) -> None:
@@ -117,9 +118,9 @@ def best_epoch(history: DataFrame, epoch: str, key: str) -> DataFrame:
 
 
 def evaluation_loss(rows: DataFrame, order: str, loss: str, batch: int) -> DataFrame:
-    """Mean of batch means in order of position, and the plain mean. Batches are numbered within one ordered report."""
-    number = F.floor((F.row_number().over(Window.orderBy(order)) - 1) / batch)
-    means = rows.withColumn("b", number).groupBy("b").agg(F.avg(loss).alias("m"), F.sum(loss).alias("s"), F.count(loss).alias("n"))
+    """Mean of batch means in order of position, and the plain mean. Rows are numbered by ranges, no task sorts them all."""
+    held = numbered(rows.select(F.col(f"`{order}`").alias("at"), F.col(f"`{loss}`").alias("loss")), (), "at")
+    means = held.groupBy(F.floor((F.col("number") - 1) / batch)).agg(F.avg("loss").alias("m"), F.sum("loss").alias("s"), F.count("loss").alias("n"))
     return means.agg(F.avg("m").alias("batch_loss"), (F.sum("s") / F.sum("n")).alias("mean_loss"))
 
 

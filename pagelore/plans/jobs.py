@@ -120,7 +120,7 @@ def update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("name_forms", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') utc, strftime(ts, '%Y%m%d_%H%M%S') compact, printf('%05d__%s__cover_p%04d.pdf', event_id::int, event_type, (event_id % 50 + 1)::int) preview from events")
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "events")
-    return held.select("event_id", text.utc_iso(F.col("ts")).alias("utc"), text.compact_time(F.col("ts")).alias("compact"), text.preview_name(F.col("event_id"), F.col("event_type"), F.col("event_id") % 50).alias("preview"))
+    return held.select("event_id", text.utc_iso(F.col("ts"), zoned=False).alias("utc"), text.compact_time(F.col("ts")).alias("compact"), text.preview_name(F.col("event_id"), F.col("event_type"), F.col("event_id") % 50).alias("preview"))
 
 
 @query("feature_maps", f"with {PAGES_SQL} select doc_id, 'docs' catalog_tag, 'catalog/docs.json' catalog_path, chars, line_count, 8 fields from f where chars > 0")
@@ -130,7 +130,7 @@ def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.annotated(held.select("doc_id", F.col("m")["chars"].alias("chars"), F.col("m")["line_count"].alias("line_count"), F.size("m").alias("fields")), "docs", "catalog/docs.json")
 
 
-@query("job_payload", "with q as (select lang, count(*) n from documents group by lang) select 'count' job, '{\"source\": \"documents\", \"rows\": [' || string_agg('{\"lang\":\"' || lang || '\",\"n\":' || n || '}', ', ' order by lang) || ']}' payload from q")
+@query("job_payload", "with q as (select lang, count(*) n from documents group by lang) select 'count' job, '{\"source\":\"documents\",\"rows\":[' || string_agg('{\"lang\":\"' || lang || '\",\"n\":' || n || '}', ',' order by lang) || ']}' payload from q")
 def job_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     return jobs.payload("count", counts, source="documents")

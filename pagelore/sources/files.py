@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagelore.sources.store import stored
+
 #: Columns of a features file in their fixed order, all after the first three doubles.
 FEATURE_FILE = "source_dir string, file string, page_index int, chars double, token_count double, fill_percent double, spaces double, whitespace double, non_whitespace double, line_count double, empty_lines double, font_count double, width_mm double, height_mm double"
 SKIPS_SHOWN = 200
@@ -88,13 +90,25 @@ def skips(rows: DataFrame, key: str, most: int = SKIPS_SHOWN) -> DataFrame:
 
 
 def numbered(rows: DataFrame, groups: tuple[str, ...], order: Column | str) -> DataFrame:
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
-
-
-def resolved_path(listing: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds "resolved": the first of path, source_dir/file, file that the listing (path) has."""
-    have = listing.select(F.col("path").alias("p"))
-    out = rows
-    for i, c in enumerate((F.col("path"), F.concat_ws("/", "source_dir", "file"), F.col("file"))):
-        out = out.withColumn(f"try{i}", c).join(have.withColumnRenamed("p", f"hit{i}"), F.col(f"try{i}") == F.col(f"hit{i}"), "left")
-    return out.withColumn("resolved", F.coalesce("hit0", "hit1", "hit2")).drop(*[f"{n}{i}" for n in ("try", "hit") for i in range(3)])
+    """Adds "number": each row's place, from 1, in the order of its group.
+
+    Rows are dealt by ranges of group and order and stored; a row's number is its place within its part and the sizes of the
+    group's parts before, so no task sorts a whole group. Rows of equal order are numbered in any way, null groups are one.
+    """
+    at = F.col(order) if isinstance(order, str) else order
+    keys = [F.col(f"`{g}`") for g in groups]
+    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.struct(F.lit(0), *keys).alias("group"), at.alias("at"))
+    held = stored(held.repartitionByRange("group", "at").sortWithinPartitions("group", "at").select("row", "group"))
+    held = held.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33))
+    sizes = held.groupBy("group", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n")  # a row a part
+    out = held.join(sizes.select("group", "part", "first", before.alias("before")), ["group", "part"])
+    return out.select("row.*", (F.col("place") - F.col("first") + F.col("before") + 1).alias("number"))
+
+
+def resolved_path(listing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds "resolved" to the rows (key, path, source_dir, file): the first of path, source_dir/file, file that the listing
+    (path) has. One join for all three; ``key`` names a row."""
+    tries = F.posexplode(F.array("path", F.concat_ws("/", "source_dir", "file"), "file")).alias("rank", "p")
+    hits = rows.select(key, tries).join(listing.select(F.col("path").alias("p")).distinct(), "p")
+    return rows.join(hits.groupBy(key).agg(F.min_by("p", "rank").alias("resolved")), key, "left")
