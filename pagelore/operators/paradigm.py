@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.functions.scores import percent, status_from_ratio
-from pagelore.functions.text import MIN_CHARS, normalized, tokens
+from pagelore.functions.text import MIN_CHARS, TOKEN, normalized, tokens
 from pagelore.functions.vectors import doubles, mean_vectors, norm, unit, unit_score
 from pagelore.operators.quantiles import exact_quantiles
 from pagelore.sources.store import stored
@@ -18,13 +18,15 @@ MIN_DIM = 8
 
 def hash_encoder(df: DataFrame, doc: str, text: str, dim: int = 64) -> DataFrame:
     """(doc, any other columns, vec): the stand-in encoder, counts of hashed tokens at length 1. Replace it by any job of
-    that shape. Texts without a token are left out."""
+    that shape. Texts without a token are left out. Counts are made where a row lies."""
     ids = [c for c in df.columns if c != text]
-    place = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
-    counts = df.select(*ids, F.explode(tokens(F.col(text))).alias("t")).select(*ids, place.alias("p")).groupBy(*ids, "p").count()
-    held = counts.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("p", F.col("count").cast("double")))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0)))
-    return held.select(*ids, unit(vec).alias("vec"))
+    digits = (7, 2) if 256 % dim == 0 else (1, 8)  # of the first eight, those that the remainder depends on
+    place = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), *digits), 16, 10).cast("bigint") % dim
+    every = F.sequence(F.lit(0), F.lit(dim)).cast("array<bigint>")
+    # each place once more, so that in order the places' first positions tell their counts
+    order = F.sort_array(F.concat(F.transform(tokens(F.col(text)), place), every))
+    counts = F.transform(F.array(order), lambda o: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.array_position(o, i.cast("bigint") + 1) - F.array_position(o, i.cast("bigint")) - 1).cast("double")))[0]
+    return df.where(F.lower(F.col(text)).rlike(TOKEN)).select(*ids, unit(counts).alias("vec"))
 
 
 def embed_covers(docs: DataFrame, doc: str, text: str, encoder: Callable[[DataFrame, str, str], DataFrame] = hash_encoder, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:

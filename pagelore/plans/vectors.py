@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import doubles, mean_vectors, unit
-from pagelore.operators import paradigm, prototypes, search, supervised, training
+from pagelore.operators import encoding, paradigm, prototypes, search, supervised, training
 from pagelore.plans.registry import quantile_sql, query, table
-from pagelore.sources.store import scratch
+from pagelore.sources.store import scratch, stored
 
 TRAINED = training.Options(epochs=6, most_steps=8, rate=0.05)
 _UNITS = """v as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings),
@@ -67,10 +67,18 @@ s as (select doc_id, lang as label, greatest(-1, least(1, round(list_dot_product
 @query("text_paradigm_report", f"with {_HASHED}, {_REPORT.replace('select label, total, valid', 'select label lang, total, valid')}")
 def text_paradigm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = paradigm.embed_covers(docs, "doc_id", "text", carry=("lang",))
+    held = stored(paradigm.embed_covers(docs, "doc_id", "text", carry=("lang",)))
     return paradigm.report(paradigm.self_scores(held, "lang", "vec", ("doc_id",)), "lang")
 
 
+@query("encoded_covers", f"with {_HASHED.replace('unnest(regexp_extract_all(lower(t)', 'unnest(regexp_extract_all(lower(substr(t, 1, 3000))')} select doc_id, lang, 64 dim, round(sum(pos * x), 6) moment, round(max(x), 6) largest from w group by all")
+def encoded_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers through the model stage, with the stand-in encoder."""
+    held = encoding.encoded_covers(table(spark, sf_dir, "documents"), "doc_id", "text", carry=("lang",))
+    moment = F.aggregate(F.transform("vec", lambda x, i: x * i), F.lit(0.0), lambda t, x: t + x)
+    return held.where(F.array_max("vec") > 0).select("doc_id", "lang", F.size("vec").alias("dim"), F.round(moment, 6).alias("moment"), F.round(F.array_max("vec"), 6).alias("largest"))
+
+
 _FOUND = f"""with {_PARADIGM}, {_CUTOFF}, a as (select p.label, u.vec_id, round(list_dot_product(u, p), 12) s, t from u, p join t using (label))"""
 
 
