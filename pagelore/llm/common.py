@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -308,6 +308,13 @@ def free_name(name: str, docs: DataFrame) -> str:
     return name
 
 
+def plainly(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns called extra0, extra1, ..., and what gives a frame of these columns their names back:
+    names with dots, or those of helper columns in any case, then meet nothing."""
+    names = docs.columns
+    return docs.toDF(*(n if n in keep else f"extra{i}" for i, n in enumerate(names))), lambda out: out.toDF(*names)
+
+
 def grouped(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Splits sorted 64-bit hashes into ``parts`` ranges of hash space: (number, slice) of those that aren't empty."""
     edges = np.searchsorted(keys, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.llm.common import ALNUM, LOWER, checkpointed, free_name, numbered, same_spans, span_hashes, utf8, word_bounds, pieces
+from pagelore.llm.common import ALNUM, LOWER, checkpointed, free_name, numbered, pieces, plainly, same_spans, span_hashes, utf8, word_bounds
 
 #: Words in a window; bytes of benchmark text that one pass over the training text searches for; share of words hit;
 #: passes between which what was found is written, so that no more of them are in memory at once.
@@ -239,8 +239,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows of ``docs`` of whose words fewer than a twentieth lie in windows of benchmark items; see ``with_matches``."""
+    docs, renamed = plainly(docs)
     marked, match = with_matches(docs, benchmark, window, item_bytes)
-    return marked.where(~_bad(match)).drop(match)
+    return renamed(marked.where(~_bad(match)).drop(match))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagelore.llm.common import checkpointed, free_name, pieces, small_or_shuffled
+from pagelore.llm.common import checkpointed, free_name, pieces, plainly, small_or_shuffled
 
 #: Words in a shingle, seed of the shingle hash, bits of a fingerprint.
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -178,6 +178,7 @@ def one_of_each_group(docs: DataFrame, near: Callable[[DataFrame], DataFrame] =
     shuffled while their ids and prints are few enough to be broadcast.
     """
     prints_of = prints_of or with_prints
+    docs, renamed = plainly(docs)
     name, same = free_name("print", docs), free_name("copies", docs)
     found = near(docs).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print").alias("row")).groupBy("root", "row").count()
     found = checkpointed(found.withColumn("first", F.min("row").over(Window.partitionBy("root"))))
@@ -191,9 +192,11 @@ def one_of_each_group(docs: DataFrame, near: Callable[[DataFrame], DataFrame] =
     kept = held.join(go, alike(go), "left_anti")
     marked = kept.join(several.withColumn(same, F.lit(True)).withColumnRenamed("print", "print_of_copies").withColumnRenamed("doc_id", "id_of_copies"), held["doc_id"].cast("long").eqNullSafe(F.col("id_of_copies")) & (held[name] == F.col("print_of_copies")), "left")
     alone = marked.where(F.col(same).isNull()).select(*(kept[c] for c in docs.columns))
-    nth = F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not dict(docs.dtypes)[c].startswith("map")))))
-    repeated = kept.join(several, alike(several), "left_semi").withColumn(same, nth).where(F.col(same) == 1).select(*docs.columns)
-    return alone.union(repeated)
+    order = F.xxhash64(*(F.col(c) for c, t in docs.dtypes if not t.startswith("map")))
+    # a grouped minimum keeps one row a task, so a hot group doesn't meet
+    one = F.min_by(F.struct(*docs.columns), order).alias("row")
+    repeated = kept.join(several, alike(several), "left_semi").groupBy("doc_id", name).agg(one).select("row.*")
+    return renamed(alone.union(repeated))
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:

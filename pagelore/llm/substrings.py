@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagelore.llm.blocks import PLACES, Held, Members, Plan, in_order, runs, units_gone, windows_gone, with_blocks
-from pagelore.llm.common import NOT_SPACE, anchors, mixed, numbered, span_hashes, spans_of, starts_within, utf8, window_hashes, word_bounds
+from pagelore.llm.common import NOT_SPACE, anchors, mixed, numbered, plainly, span_hashes, spans_of, starts_within, utf8, window_hashes, word_bounds
 
 #: Words in a window, words in the grams that anchors are chosen from, suffixes in a group.
 WINDOW, GRAM, GROUP = 20, 8, 40_000
@@ -198,6 +198,7 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, block: int | None = N
 def without_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None, places: int = PLACES) -> DataFrame:
     """``docs`` with the repeated words cut out of the texts, in n_chars too where there is such a column; rows of which
     no word is left go. Texts that lose nothing stay as they are; around a cut the white space before it stays."""
+    docs, renamed = plainly(docs)
     names, types = docs.columns, dict(docs.dtypes)
 
     def finish(held: Words, gone: np.ndarray) -> pa.Table:
@@ -221,7 +222,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = N
         return pa.table(out).filter(pa.array(keep))
 
     schema = ", ".join(f"`{n}` {types[n]}" for n in names)
-    return _finished(docs, finish, schema, window, block, places)
+    return renamed(_finished(docs, finish, schema, window, block, places))
 
 
 def op2_substrings(docs: DataFrame) -> DataFrame:
