@@ -12,7 +12,7 @@ from pagelore.operators.catalog import Catalog
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
 from pagelore.plans.vectors import _CUTOFF, _LINEAR, _PARADIGM, _REPORT
-from pagelore.sources import files
+from pagelore.sources import files, pages
 from pagelore.sources.store import scratch
 
 
@@ -134,3 +134,18 @@ def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     return jobs.payload("count", counts, source="documents")
+
+
+@query(
+    "document_pages",
+    """with n as (select count(*) // 1000 + 16 n from conversations), p as (select conv_id % n g, conv_id, turn, text, row_number() over (partition by conv_id % n order by conv_id, turn, text) - 1 page_index from conversations, n)
+select g::int document, page_index::int page_index, 'ok' status, coalesce(length(text), 0)::int chars from p""",
+)
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns written as pages of document files, and read back through the data source."""
+    held = table(spark, sf_dir, "conversations")
+    count = held.count() // 1000 + 16
+    path = scratch(spark, "pages")
+    pages.write_page_files(held.withColumn("g", F.pmod("conv_id", F.lit(count))), path, "g", ["conv_id", "turn", "text"], "text", min(count, 200))
+    back = pages.pages(spark, path, recursive=True, pattern="*.txt")
+    return back.select(F.regexp_extract("path", "of=([0-9]+)", 1).cast("int").alias("document"), "page_index", "status", F.length("text").alias("chars"))
