@@ -8,11 +8,11 @@ from pyspark.sql.window import Window
 
 from pagelore.functions import features, scores
 from pagelore.functions.text import tokens
-from pagelore.operators import families, kmeans
+from pagelore.operators import documents, families, kmeans
 from pagelore.operators.prototypes import jaccard
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
-from pagelore.sources.store import scratch
+from pagelore.sources.store import scratch, stored
 
 FIELDS = features.TEXT_FIELDS
 _Z = ", ".join(f"(x.{f} - avg(x.{f}) over ()) / (case when abs(stddev_pop(x.{f}) over ()) < 1e-9 then 1 else stddev_pop(x.{f}) over () end) {f}_z" for f in FIELDS)
@@ -228,3 +228,50 @@ def example_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = docs.select("lang", F.col("doc_id").cast("string").alias("d"), rank.alias("r")).where("r <= 8").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "d"))).alias("l"))
     names = F.transform("l", lambda x: x["d"])
     return few.select("lang", F.array_join(families.merged_examples(F.slice(names, 3, 6), F.slice(names, 1, 4)), ",").alias("examples"))
+
+
+_LOW = "regexp_extract_all(lower({0}), '[0-9A-Za-zÀ-ÿ]+')"
+_SEARCH = f"""{_CHATS.replace("select conv_id, turn, role,", "select conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[[:space:]]+', ' ', 'g')) t, text,")},
+st as (select {", ".join(f"avg({f}) m_{f}, case when stddev_pop({f}) < 1e-9 then 1 else stddev_pop({f}) end s_{f}" for f in _FEW)} from c where turn < 3),
+z as (select c.*, {_ZOF} from c, st), ce as (select role family, {", ".join(f"avg(z_{f}) c_{f}" for f in _FEW)} from z where turn < 3 group by role),
+dd as (select conv_id, turn, role, family, t, text, sqrt({" + ".join(f"(z_{f} - c_{f}) ** 2" for f in _FEW)}) distance from z, ce),
+ap as (select family, avg(distance) dist_mean, max(distance) dist_max from dd where turn < 3 and role = family group by family),
+ex as (select family, conv_id * 1000 + turn ref, substr(t, 1, 1800) x, row_number() over (partition by family order by distance, conv_id * 1000 + turn) r from dd where turn < 3 and role = family qualify r <= 5),
+tx as (select dd.conv_id, dd.turn, dd.family, arg_max(ref, (s, -r)) ref, max(s) s from (select q.*, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) s from (select dd.conv_id, dd.turn, dd.family, ex.ref, ex.r, list_distinct({_LOW.format("dd.text")}) a, list_distinct({_LOW.format("ex.x")}) b from dd join ex using (family) where length(dd.t) >= 20 and length(ex.x) >= 20) q) dd group by all),
+k as (select dd.*, s, ref, row_number() over (partition by conv_id, turn order by coalesce(s, -1) desc, distance, dd.family) n from dd left join tx using (conv_id, turn, family)),
+sp as (select k.conv_id, k.turn, k.family, distance, case when distance <= dist_mean then 'high' when distance <= dist_max then 'medium' else 'low_out_of_family' end confidence, s, ref, case when s is null then 'distance_only' else 'text_rerank_then_distance' end strategy,
+ case when length(t) < 20 then 'unavailable_short_text' when s is null then 'unavailable_no_reference' else 'ok' end text_status from k join ap using (family) where n = 1)"""
+_JUDGED = f"""{_SEARCH}, h as (select *, confidence in ('high', 'medium') good from sp),
+en as (select conv_id, turn from (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) p from h where good) where p is null or p <> turn - 1),
+j as (select h.*, case when en.turn is null then 0 else 1 end entry from h left join en using (conv_id, turn)),
+w as (select *, row_number() over (partition by conv_id order by entry desc, case when s is null then 0 else 1 end desc, s desc, case confidence when 'high' then 3 when 'medium' then 2 else 0 end desc, distance, turn) n from j),
+v as (select conv_id, case when bool_or(good) then 'detected' else 'not_detected' end status, count(*) pages_total, count(*) filter (good) hit_pages, sum(entry)::bigint entry_pages, any_value(turn) filter (n = 1) best_page, any_value(family) filter (n = 1) best_family, any_value(confidence) filter (n = 1) best_confidence,
+ round(any_value(s) filter (n = 1), 6) best_text_score, any_value(strategy) filter (n = 1) strategy from w group by conv_id)"""
+
+
+def searched_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = chat_pages(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    few = stored(held.where("turn < 3").withColumn("page", F.lit(0)).withColumn("ref", F.col("conv_id") * 1000 + F.col("turn")))
+    catalog = families.page_catalog(few, "page", "role", _FEW)
+    own = families.page_scores(few, catalog, "page", _FEW).select("page", "role", "ref", "text", F.filter("scores", lambda s: s["family"] == F.col("role"))[0]["distance"].alias("distance"))
+    catalog = stored(documents.with_examples(catalog, own, "page", "role", "ref", "text"))
+    return documents.searched(held, catalog, "page", "text", _FEW, jaccard, lambda c: F.array_distinct(tokens(c)))
+
+
+@query("document_pages_searched", f"with {_SEARCH} select conv_id, turn, family, round(distance, 6) distance, confidence, round(s, 6) text_score, ref::varchar text_ref, strategy, text_status from sp")
+def document_pages_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of every document: family by text and distance, confidence, and the reference text that is most like it."""
+    held = searched_chats(spark, sf_dir)
+    return held.select("conv_id", "turn", "family", F.round("distance", 6).alias("distance"), "confidence", F.round("text_score", 6).alias("text_score"), "text_ref", "strategy", "text_status")
+
+
+@query("document_search", f"with {_JUDGED} select * from v")
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document, as it was written and read back."""
+    _, told, _ = documents.write_search(searched_chats(spark, sf_dir), "conv_id", "turn", scratch(spark, "search"))
+    return told.select("conv_id", "status", "pages_total", "hit_pages", "entry_pages", "best_page", "best_family", "best_confidence", F.round("best_text_score", 6).alias("best_text_score"), "strategy")
+
+
+@query("document_search_summary", f"with {_JUDGED} select count(*) total, count(*) filter (status = 'detected') detected, count(*) filter (status <> 'detected') not_detected, round(count(*) filter (status = 'detected') / count(*), 6) ratio from v")
+def document_search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.write_search(searched_chats(spark, sf_dir), "conv_id", "turn", scratch(spark, "search"))[2]
