@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.functions.scores import confidence_rank, family_confidence, feature_similarity, normalized_score, positive
+from pagelore.functions.scores import confidence_rank, family_confidence, feature_similarity, positive
 from pagelore.functions.text import BEST_EXCERPT, MIN_COMPARED, normalized
 from pagelore.functions.vectors import distance
+from pagelore.operators.block_scores import BlockScorer, between
 
 
 def fitted(pages: DataFrame, family: str, fields: tuple[str, ...]) -> DataFrame:
@@ -114,22 +115,26 @@ def examples(members: DataFrame, doc: str, family: str, most: int = 5) -> DataFr
     return members.withColumn("rank", rank).where(F.col("rank") <= most).select(family, "rank", doc, "distance")
 
 
-def reranked(pages: DataFrame, refs: DataFrame, doc: str, text: str, family: str, scorer: Callable[[Column, Column], Column], encode: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """(doc, status, best, mean, best_ref, candidates): scores of a page's text against its family's reference texts.
+def reranked(pages: DataFrame, refs: DataFrame, doc: str, text: str, family: str, scorer: BlockScorer, encode: Callable[[Column], Column] = lambda c: c, compare: bool = True) -> DataFrame:
+    """(doc, status, best, mean, best_ref, best_excerpt, candidates): a page's text against its family's reference texts.
 
     Texts of fewer than MIN_COMPARED characters aren't compared; scores that aren't finite are dropped. ``encode`` is what
-    the scorer needs of a text, made once for each text.
+    the scorer needs of a text, made once for each text. Pages and references meet in blocks, so no pair is a row. Status is
+    ok, disabled (not ``compare``), unavailable_short_text, unavailable_no_reference, or error where no score is finite.
     """
     size = F.length(normalized(F.col(text)))
-    few = refs.where(F.length(normalized(F.col("ref_text"))) >= MIN_COMPARED)
-    known = few.select(family, "ref_id", normalized(F.col("ref_text")).alias("ref"), encode(F.col("ref_text")).alias("b"))
-    pairs = pages.where(size >= MIN_COMPARED).select(doc, family, encode(F.col(text)).alias("a")).join(known, family)
-    scores = pairs.select(doc, "ref_id", "ref", normalized_score(scorer(F.col("a"), F.col("b"))).alias("s")).where("s is not null")
-    best = F.max_by(F.struct("ref_id", "ref"), F.struct("s", -F.col("ref_id")))
-    agg = scores.groupBy(doc).agg(F.max("s").alias("best"), F.avg("s").alias("mean"), best.alias("b"), F.count("*").alias("candidates"))
-    status = F.when(size < MIN_COMPARED, "unavailable_short_text").when(F.col("candidates").isNull(), "unavailable_no_reference").otherwise("ok")
-    out = pages.join(agg, doc, "left")
-    return out.select(doc, status.alias("status"), F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), F.col("b.ref_id").alias("best_ref"), F.substring("b.ref", 1, BEST_EXCERPT).alias("best_excerpt"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    short = F.coalesce(size, F.lit(0)) < MIN_COMPARED
+    if not compare:
+        none = (F.lit(None).cast(t).alias(n) for n, t in (("best", "double"), ("mean", "double"), ("best_ref", "long"), ("best_excerpt", "string")))
+        return pages.select(doc, F.lit("disabled").alias("status"), *none, F.lit(0).cast("long").alias("candidates"))
+    known = refs.where(F.length(normalized(F.col("ref_text"))) >= MIN_COMPARED)
+    asked = pages.where(~short).select(doc, family, encode(F.col(text)).alias("a"))
+    totals = between(asked, known.select(family, "ref_id", encode(F.col("ref_text")).alias("b")), family, doc, "a", "ref_id", "b", scorer)
+    texts = known.select(F.col(family).alias("of"), F.col("ref_id").alias("ref"), F.substring(normalized(F.col("ref_text")), 1, BEST_EXCERPT).alias("best_excerpt"))
+    agg = totals.join(texts, (F.col(family) == F.col("of")) & (F.col("best_item") == F.col("ref")), "left").select(family, F.col("i").alias(doc), "n", "sum", "best", "best_item", "best_excerpt")
+    status = F.when(short, "unavailable_short_text").when(F.col("n").isNull(), "unavailable_no_reference").when(F.col("n") == 0, "error").otherwise("ok")
+    mean = F.try_divide("sum", "n")
+    return pages.join(agg, [doc, family], "left").select(doc, status.alias("status"), F.round("best", 6).alias("best"), F.round(mean, 6).alias("mean"), F.col("best_item").alias("best_ref"), "best_excerpt", F.coalesce("n", F.lit(0)).alias("candidates"))
 
 
 def entries(hits: DataFrame, doc: str, page: str) -> DataFrame:

@@ -17,8 +17,9 @@ Scorer = Callable[[Column, Column], Column]
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Of unit vectors, held within [-1, 1]: a product just above 1 would fall to the logistic branch."""
-    return normalized_score(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+    """Of unit vectors, held within [-1, 1]: a product just above 1 would fall to the logistic branch. Null of a null."""
+    product = dot(a, b)
+    return normalized_score(F.when(product.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -27,7 +28,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def pair_scores(items: DataFrame, others: DataFrame, key: str, doc: str, feature: str, scorer: Scorer) -> DataFrame:
     """(key, i, j, score) of every ordered pair within a key, its own included; a null score counts as 0. For any scorer,
-    so it is quadratic in a class if both sides are whole; ``mean_scores`` is the linear way for dot products."""
+    so it is quadratic in a class if both sides are whole: for that see ``block_scores``, where no pair is a row, and
+    ``mean_scores``, the linear way for dot products."""
     a = items.select(key, F.col(doc).alias("i"), F.col(feature).alias("a"))
     b = others.select(key, F.col(doc).alias("j"), F.col(feature).alias("b"))
     return a.join(b, key).select(key, "i", "j", F.coalesce(scorer(F.col("a"), F.col("b")), F.lit(0.0)).alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagelore.functions import features, scores
 from pagelore.functions.text import tokens
 from pagelore.operators import documents, families, kmeans
+from pagelore.operators.block_scores import jaccard_block
 from pagelore.operators.prototypes import jaccard
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
@@ -124,7 +125,7 @@ select q.doc_id, case when n < 20 then 'unavailable_short_text' when candidates
 def reference_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("g"))
     refs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("g"), F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
-    return families.reranked(docs, refs, "doc_id", "text", "g", jaccard, lambda c: F.array_distinct(tokens(c)))
+    return families.reranked(docs, refs, "doc_id", "text", "g", jaccard_block, lambda c: F.array_distinct(tokens(c)))
 
 
 #: Rounds of k-means that the queries take at most, as many as their SQL has.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.functions.vectors import doubles, mean_vectors, unit
-from pagelore.operators import encoding, paradigm, prototypes, search, supervised, training
+from pagelore.operators import block_scores, encoding, paradigm, prototypes, search, supervised, training
 from pagelore.plans.registry import quantile_sql, query, table
 from pagelore.sources.store import scratch, stored
 
@@ -114,19 +114,18 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("u"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = units(spark, sf_dir)
-    return prototypes.pair_scores(held, held, "label", "vec_id", "u", prototypes.cosine)
+def pairs(spark: SparkSession, sf_dir: str, all_pairs: bool = False) -> DataFrame:
+    return block_scores.within(units(spark, sf_dir), "label", "vec_id", "u", block_scores.cosine_block, all_pairs)
 
 
 @query("pairwise_scores", f"with {_PAIRS} select label, i, count(*) n, round(avg(s), 6) mean, round(max(s), 6) best from pr group by all")
 def pairwise_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).groupBy("label", "i").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("best"))
+    return pairs(spark, sf_dir, True).select("label", "i", "n", F.round(F.col("sum") / F.col("n"), 6).alias("mean"), F.round("best", 6).alias("best"))
 
 
 @query("medoid", f"with {_PAIRS} select label, medoid, round(medoid_mean, 6) medoid_mean from md")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prototypes.medoid(prototypes.mean_from_pairs(pairs(spark, sf_dir), "label"), "label").withColumn("medoid_mean", F.round("medoid_mean", 6))
+    return prototypes.medoid(block_scores.means(pairs(spark, sf_dir), "label"), "label").withColumn("medoid_mean", F.round("medoid_mean", 6))
 
 
 @query("medoid_by_sums", f"with {_UNITS}, mm as (select a.label, a.vec_id i, avg(list_dot_product(a.u, b.u)) m from u a join u b on a.label = b.label and a.vec_id <> b.vec_id group by all) select label, arg_max(i, (m, -i)) medoid, round(max(m), 6) medoid_mean from mm group by label")
@@ -137,7 +136,7 @@ def medoid_by_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     held = units(spark, sf_dir)
-    medoids = prototypes.medoid(prototypes.mean_from_pairs(pairs(spark, sf_dir), "label"), "label")
+    medoids = prototypes.medoid(block_scores.means(pairs(spark, sf_dir), "label"), "label")
     return held, prototypes.top_prototypes(held, medoids, "label", "vec_id", "u", prototypes.cosine)
 
 
