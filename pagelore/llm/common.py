@@ -136,16 +136,17 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, the same for the same bytes anywhere.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans, the same for the same bytes and key anywhere.
 
     Eight bytes at a time are mixed into the hash, not summed, so there are no families of spans of one hash; spans of one
-    length of 8 bytes or less never share a hash. Longer ones may by chance: see ``numbered`` for an exact answer.
+    length of 8 bytes or less never share a hash. Longer ones may by chance: see ``numbered`` for an exact answer. The steps
+    can be inverted, so who knows the key can make spans of one hash; with a secret one that is left to chance.
     """
     size = ends - starts
-    out, held = mixed(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(_ODD)), lanes(data)
+    out, held = mixed(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64((_ODD + key) % (1 << 64))), lanes(data)
     for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(size[i]) & 0xFFFF)
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), (int(size[i]) & 0xFFFF) ^ key)
     live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
     while len(live):
         left = size[live] - at

@@ -1,14 +1,15 @@
 """LM scoring: smoothed n-grams as a weighted automaton with failure arcs, walked once over each text.
 
 The states are the empty history and every history of one word or two that the training texts have, however rare. An arc
-of a state carries the probability of a token seen after it; where a token has no arc, the failure arc leads to the history
-without its first word at a weight. Counts of all training texts are gathered by chunks of documents: a chunk gives its
+of a state carries the probability of a token seen after it and leads to the longest history that is a state; where a token
+has no arc, the failure arc leads to the history without its first word at a weight. Counts of all training texts are gathered by chunks of documents: a chunk gives its
 distinct n-grams of each order with their counts to the parts of an exchange and is told the corpus-wide counts of just
 those, in the order it gave them, so no table of the corpus is sent everywhere and no key goes back.
 """
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ WEIGHT, FOLDS = 500.0, 10
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes in a chunk; distinct n-grams of one order for each byte of text, at most about; n-grams that one task sums.
 BLOCK, NGRAMS_PER_BYTE, KEYS = 16 << 20, 1 / 7, 2 << 20
+#: Tokens of a long text that one walker reads.
+STRETCH = 2048
 #: What a row is: a chunk's documents, n-grams of an order (its number is their kind), or sums over a part's words.
 LOCAL, TOKENS, DISTINCT, ONCE = 0, -1, -2, -3
 ROWS = "part long, chunk long, kind int, body binary"
@@ -37,12 +40,12 @@ ROWS = "part long, chunk long, kind int, body binary"
 class Tokens:
     """A chunk's tokens in order, an end after each text, with flags of those that teach."""
 
-    def __init__(self, table: pa.Table, folds: int = FOLDS) -> None:
+    def __init__(self, table: pa.Table, folds: int = FOLDS, key: int = 0) -> None:
         self.table = table
         data, offsets = utf8(self.table.column("text"))
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
-        self.tokens = np.insert(span_hashes(data, starts, ends), first[1:], END)
+        self.tokens = np.insert(span_hashes(data, starts, ends, key), first[1:], END)
         self.first = first + np.arange(len(first))
         names = self.table.column("doc_id").to_pylist()
         self.held_out = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % folds == 0 for d in names], dtype=bool)
@@ -98,9 +101,9 @@ def chunks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int,
         yield whole_chunk(held)
 
 
-def given(table: pa.Table, chunk: int, parts: int, folds: int, order: int) -> pa.Table:
+def given(table: pa.Table, chunk: int, parts: int, folds: int, order: int, key: int) -> pa.Table:
     """A chunk's distinct n-grams with how often each is taught, for the parts; hashes as differences."""
-    held, rows = Tokens(table, folds), []
+    held, rows = Tokens(table, folds, key), []
     for n, (keys, valid) in enumerate(held.ngrams(order), 1):
         known, which = np.unique(keys[valid], return_inverse=True)
         counts = np.bincount(which, weights=held.teaches[valid], minlength=len(known))
@@ -124,43 +127,117 @@ def summed(rows: pa.Table, order: int) -> pa.Table:
     return rows_of(out)
 
 
-def told(rows: pa.Table, held: Tokens, order: int) -> list[np.ndarray]:
-    """For each order the corpus-wide count of the n-gram that ends at each token, 0 where there is none."""
+def told(rows: pa.Table, held: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the number of the n-gram that ends at each token (-1: none), a place of each number, and its
+    corpus-wide count."""
     bodies = dict(zip(zip(rows.column("kind").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("body").to_pylist(), strict=True))
     out = []
     for n, (keys, valid) in enumerate(held.ngrams(order), 1):
-        known, which = np.unique(keys[valid], return_inverse=True)
-        counts = np.concatenate([np.zeros(0, np.uint64), *(whole(unpack(bodies[at])[0]) for at in sorted(bodies) if at[0] == n)])
+        at = np.flatnonzero(valid)
+        known, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
+        counts = np.concatenate([np.zeros(0, np.uint64), *(whole(unpack(bodies[b])[0]) for b in sorted(bodies) if b[0] == n)])
         if len(counts) != len(known):
             raise RuntimeError("the documents were not the same when they were read again")
-        out.append(np.zeros(len(keys), np.int64))
-        out[-1][valid] = counts.astype(np.int64)[which]
+        numbers = np.full(len(keys), -1, np.int32)
+        numbers[at] = which
+        out.append((numbers, at[first], counts.astype(np.int64)))
     return out
 
 
 class Automaton:
-    """The automaton that texts walk through: ``total`` training tokens, ``once`` of them seen once."""
-
-    def __init__(self, total: int, once: int, history: float = HISTORY, weight: float = WEIGHT) -> None:
-        self.total, self.once, self.least, self.weight = total, once, max(1.0, history * total), weight
+    """The states and arcs that a chunk's texts can come to; ``total`` training tokens, ``once`` of them seen once.
 
-    def walk(self, held: Tokens, counts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each token in the longest state that the tokens before lead to.
+    In the empty history a token has its share of the training tokens, all unseen ones together that of those seen once. In
+    a history h it has (count after h + weight times that of h without its first word) / (count of h + weight): an arc if
+    the count is not 0, else the failure arc of weight / (count of h + weight) and what follows.
+    """
 
-        In the empty history a token has its share of the training tokens, all unseen ones together that of those seen
-        once. In a history h it has (count after h + weight times that of h without its first word) / (count of h +
-        weight): an arc if the count is not 0, else the failure arc of weight / (count of h + weight) and what follows.
+    def __init__(self, ngrams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, total: int, once: int, history: float = HISTORY, weight: float = WEIGHT) -> None:
+        least, (words, _, count) = max(1.0, history * total), ngrams[0]
+        chance = np.where(count > 0, count, once) / max(1, total + once) if total else np.ones(len(count))
+        chance = np.maximum(chance, 0.5 / max(1, total))
+        self.words, self.symbols, self.end = words, len(count), end
+        #: of the empty state, whose number is 0, the arcs of all words; of the others the failure arcs
+        self.weight_of_word, self.to_of_word = np.log10(chance), np.zeros(len(count), np.int64)
+        fail_weight, fail_to = [np.zeros(1)], [np.zeros(1, np.int64)]
+        keys, weights, to = [], [], []
+        states = self.to_of_word  # of each n-gram of the order: its own, or that of the longest of its ends that has one
+        for n in range(1, len(ngrams) + 1):
+            numbers, place, count = ngrams[n - 1]
+            if n > 1:
+                before, last = ngrams[n - 2][0][place - 1], ngrams[n - 2][0][place]
+                of_history = ngrams[n - 2][2][before]
+                inside = of_history >= least
+                chance = np.where(inside, (count + weight * chance[last]) / (of_history + weight), chance[last])
+                states_of_history, states = states[before], states[last]
+            if n < len(ngrams):
+                own = count >= least
+                if n > 1:  # no text goes on after its end
+                    own &= words[place] != self.end
+                made = sum(len(x) for x in fail_to) + np.arange(own.sum())
+                fail_weight.append(np.log10(weight / (count[own] + weight)))
+                fail_to.append(states[own])
+                states = states.copy()
+                states[own] = made
+            if n == 1:
+                self.to_of_word = states
+            else:
+                arc = inside & (count > 0)
+                keys.append(states_of_history[arc] * self.symbols + words[place[arc]])
+                weights.append(np.log10(chance[arc]))
+                to.append(states[arc])
+        self.fail_weight, self.fail_to = np.concatenate(fail_weight), np.concatenate(fail_to)
+        keys = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weights, self.to = (np.concatenate([np.zeros(0, kind), *x])[order] for x, kind in ((weights, np.float64), (to, np.int64)))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, log10 probability) after each walker reads its word: along failure arcs to the first state with an arc."""
+        chance, after, live = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(live):
+            at_root = state[live] == 0
+            root = live[at_root]
+            chance[root] += self.weight_of_word[word[root]]
+            after[root] = self.to_of_word[word[root]]
+            live = live[~at_root]
+            if not len(live) or not len(self.keys):
+                hit, at = np.zeros(len(live), dtype=bool), np.zeros(len(live), np.int64)
+            else:
+                key = state[live] * self.symbols + word[live]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+            chance[live[hit]] += self.weights[at[hit]]
+            after[live[hit]] = self.to[at[hit]]
+            live = live[~hit]
+            chance[live] += self.fail_weight[state[live]]
+            state[live] = self.fail_to[state[live]]
+        return after, chance
+
+    def walk(self, held: Tokens, order: int, stretch: int = STRETCH) -> np.ndarray:
+        """log10 probability of each text, from left to right, in the state that an end leads to.
+
+        All texts are walked at once, long ones in stretches. A state depends on the last words only, so the walker of a
+        stretch sets out ``order`` - 1 words before it, from the empty state, without counting those.
         """
-        count = counts[0]
-        chance = np.where(count > 0, count, self.once) / max(1, self.total + self.once)
-        if not self.total:
-            chance = np.ones(len(count))
-        chance = np.maximum(chance, 0.5 / max(1, self.total))
-        for n in range(2, len(counts) + 1):
-            of_state = np.where(held.before >= n - 2, np.roll(counts[n - 2], 1), 0)
-            inside = of_state >= self.least
-            chance = np.where(inside, (counts[n - 1] + self.weight * chance) / (of_state + self.weight), chance)
-        return np.log10(chance)
+        sizes, stretch = np.diff(held.first), max(stretch, order - 1)
+        pieces_of = (sizes + stretch - 1) // stretch
+        text = np.repeat(np.arange(len(sizes)), pieces_of)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+        lead = np.where(number > 0, order - 1, 0)
+        begin = held.first[text] + number * stretch - lead
+        length = np.minimum((number + 1) * stretch, sizes[text]) - number * stretch + lead
+        longest_first = np.argsort(-length, kind="stable")
+        begin, length, lead = begin[longest_first], length[longest_first], lead[longest_first]
+        state = np.where(lead > 0, 0, self.to_of_word[self.end])
+        chance, live = np.zeros(len(begin)), len(begin)
+        for at in range(int(length.max(initial=0))):
+            live = np.searchsorted(-length[:live], -at, side="left")
+            state[:live], gained = self.step(state[:live].copy(), self.words[begin[:live] + at])
+            chance[:live] += np.where(at >= lead[:live], gained, 0.0)
+        of_walker = np.empty(len(chance))
+        of_walker[longest_first] = chance
+        return np.bincount(text, weights=of_walker, minlength=len(sizes))
 
 
 def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: float = HISTORY, order: int = 2) -> DataFrame:
@@ -172,11 +249,12 @@ def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: flo
     their ids; ``docs`` is read twice and must give the same rows in the same order, as files do, or an error is raised.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    key = secrets.randbits(64)  # of the hashes, so that no words can be made to share one
     parts = int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * NGRAMS_PER_BYTE) // KEYS + 1
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, table in chunks(batches, block):
-            yield from given(table, chunk, parts, folds, order).to_batches()
+            yield from given(table, chunk, parts, folds, order, key).to_batches()
             give_back()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +275,14 @@ def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: flo
         bodies, known = table.filter(pa.array(local)).column("body").to_pylist(), table.filter(pa.array(~local))
         if not bodies:
             raise RuntimeError("the documents were not the same when they were read again")
-        held = Tokens(pa.ipc.open_stream(bodies[0]).read_all().combine_chunks(), folds)
-        counts = told(known, held, order)
-        chance, count = Automaton(total, once, history).walk(held, counts), counts[0]
+        held = Tokens(pa.ipc.open_stream(bodies[0]).read_all().combine_chunks(), folds, key)
+        ngrams = told(known, held, order)
+        chance, count = Automaton(ngrams, ngrams[0][0][held.first[1] - 1], total, once, history).walk(held, order), ngrams[0][2][ngrams[0][0]]
         base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
         at = held.first[:-1]
         add = lambda x: np.add.reduceat(x, at)
         n = np.diff(held.first)
-        out = pa.table({"doc_id": held.table.column("doc_id"), "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(add(chance))})
+        out = pa.table({"doc_id": held.table.column("doc_id"), "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(chance)})
         give_back()
         return pa.concat_tables([out] * len(bodies))
 

@@ -3,8 +3,12 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from pagelore.llm import language_model
+from pagelore.llm.common import span_hashes
 from pagelore.llm.language_model import op4_language_model, scored
 from tests.llm.fixtures import frame, odd_rows, row
 
@@ -98,3 +102,47 @@ def test_chunks_of_the_same_documents(spark):
     alone = {(r[0], r[6]) for r in scored(frame(spark, docs).coalesce(1), order=3).collect()}
     got = [(r[0], r[6]) for r in scored(frame(spark, docs).coalesce(1), block=14, order=3).collect()]
     assert len(got) == 8 and {(d, round(s, 9)) for d, s in got} == {(d, round(s, 9)) for d, s in alone}
+
+
+def test_words_made_to_share_a_hash_are_told_apart(spark):
+    one, other = b"a9cn3k6c!(!@@'!!", b"hye9ofrx9[<ta@[w"
+    hashes = lambda key: [span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), key)[0] for w in (one, other)]
+    assert len(set(hashes(0))) == 1 and all(len(set(hashes(k))) == 2 for k in range(1, 200))
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][:1]
+    docs = [row(i, one.decode()) for i in range(20) if i not in out] + [row(out[0], other.decode())]
+    got = {r.doc_id: r for r in scored(frame(spark, docs), order=3).collect()}
+    assert got[out[0]].n_known == 1 and {r.n_known for i, r in got.items() if i not in out} == {2}
+
+
+def walked(docs, stretch, order=3):
+    """Scores of ``docs`` as one chunk that is the whole corpus, and the automaton."""
+    held = language_model.Tokens(pa.table({"doc_id": [r[0] for r in docs], "text": pa.array([r[1] for r in docs], pa.string())}), key=5)
+    ngrams = []
+    for keys, valid in held.ngrams(order):
+        at = np.flatnonzero(valid)
+        known, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
+        numbers = np.full(len(keys), -1, np.int32)
+        numbers[at] = which
+        ngrams.append((numbers, at[first], np.bincount(which, weights=held.teaches[at], minlength=len(known)).astype(np.int64)))
+    count = ngrams[0][2]
+    automaton = language_model.Automaton(ngrams, ngrams[0][0][held.first[1] - 1], int(count.sum()), int((count == 1).sum()))
+    return automaton.walk(held, order, stretch), automaton
+
+
+def test_a_stretch_comes_to_the_same_states():
+    rng = random.Random(8)
+    docs = rows() + [row(9000 + i, " ".join(f"w{rng.randint(0, 50)}" for _ in range(500))) for i in range(3)]
+    whole, _ = walked(docs, 1 << 20)
+    for stretch in (1, 2, 7, 64):
+        assert np.allclose(walked(docs, stretch)[0], whole, atol=1e-9)
+
+
+def test_chances_of_a_state_sum_to_one():
+    docs = [row(i, t) for i, t in enumerate(["a b a c", "b a", "c c b a", "a b b", "d a"] * 4)]
+    _, automaton = walked(docs, 100)
+    words, states = np.arange(automaton.symbols), len(automaton.fail_to)
+    assert states > 10  # empty, words, pairs
+    chances = [10 ** automaton.step(np.full(len(words), s), words)[1] for s in range(states)]
+    held = 10 ** automaton.weight_of_word
+    for c in chances:
+        assert c.sum() == pytest.approx(held.sum())
