@@ -52,7 +52,7 @@ class Tokens:
         sizes = np.diff(self.first)
         self.teaches = np.repeat(~self.held_out, sizes)
         #: tokens of the same text before each one
-        self.before = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], sizes)
+        self.before = (np.arange(len(self.tokens)) - np.repeat(self.first[:-1], sizes)).astype(np.int32)
 
     def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order: hashes of the n-grams that end at each token, and the places that have one. A text's first
@@ -127,21 +127,28 @@ def summed(rows: pa.Table, order: int) -> pa.Table:
     return rows_of(out)
 
 
-def told(rows: pa.Table, held: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: the number of the n-gram that ends at each token (-1: none), a place of each number, and its
-    corpus-wide count."""
+#: Of an order: the number of the n-gram that ends at each token (-1: none), a place of each number, and its count.
+Order = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def numbered_ngrams(held: Tokens, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the number of the n-gram that ends at each token (-1: none), and a place of each number."""
+    for keys, valid in held.ngrams(order):
+        at = np.flatnonzero(valid).astype(np.int32)
+        _, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
+        numbers = np.full(len(keys), -1, np.int32)
+        numbers[at] = which
+        yield numbers, at[first]
+
+
+def told(rows: pa.Table, held: Tokens, order: int) -> Iterator[Order]:
+    """The n-grams of each order with their corpus-wide counts, one order at a time."""
     bodies = dict(zip(zip(rows.column("kind").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("body").to_pylist(), strict=True))
-    out = []
-    for n, (keys, valid) in enumerate(held.ngrams(order), 1):
-        at = np.flatnonzero(valid)
-        known, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
+    for n, (numbers, place) in enumerate(numbered_ngrams(held, order), 1):
         counts = np.concatenate([np.zeros(0, np.uint64), *(whole(unpack(bodies[b])[0]) for b in sorted(bodies) if b[0] == n)])
-        if len(counts) != len(known):
+        if len(counts) != len(place):
             raise RuntimeError("the documents were not the same when they were read again")
-        numbers = np.full(len(keys), -1, np.int32)
-        numbers[at] = which
-        out.append((numbers, at[first], counts.astype(np.int64)))
-    return out
+        yield numbers, place, counts.astype(np.int64)
 
 
 class Automaton:
@@ -149,69 +156,66 @@ class Automaton:
 
     In the empty history a token has its share of the training tokens, all unseen ones together that of those seen once. In
     a history h it has (count after h + weight times that of h without its first word) / (count of h + weight): an arc if
-    the count is not 0, else the failure arc of weight / (count of h + weight) and what follows.
+    the count is not 0, else the failure arc of weight / (count of h + weight) and what follows. States are numbered from
+    the empty one, 0, by the length of their histories; the arcs of each length are a table of their own, in order. ``end``
+    is a place of an end; n-grams are taken one order at a time, so that two orders are held at most.
     """
 
-    def __init__(self, ngrams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, total: int, once: int, history: float = HISTORY, weight: float = WEIGHT) -> None:
-        least, (words, _, count) = max(1.0, history * total), ngrams[0]
+    def __init__(self, ngrams: Iterator[Order], order: int, end: int, total: int, once: int, history: float = HISTORY, weight: float = WEIGHT) -> None:
+        least = max(1.0, history * total)
+        self.words, _, count = next(ngrams)
+        self.end, self.symbols, self.count_of_word = self.words[end], len(count), count
         chance = np.where(count > 0, count, once) / max(1, total + once) if total else np.ones(len(count))
         chance = np.maximum(chance, 0.5 / max(1, total))
-        self.words, self.symbols, self.end = words, len(count), end
-        #: of the empty state, whose number is 0, the arcs of all words; of the others the failure arcs
-        self.weight_of_word, self.to_of_word = np.log10(chance), np.zeros(len(count), np.int64)
-        fail_weight, fail_to = [np.zeros(1)], [np.zeros(1, np.int64)]
-        keys, weights, to = [], [], []
-        states = self.to_of_word  # of each n-gram of the order: its own, or that of the longest of its ends that has one
-        for n in range(1, len(ngrams) + 1):
-            numbers, place, count = ngrams[n - 1]
+        self.weight_of_word, states = np.log10(chance), np.zeros(len(count), np.int32)
+        #: the first state of each length, and one after the last; arcs are (state and word, weight, next state) by length
+        self.levels, self.arcs = [0, 1], [None]
+        fail_weight, fail_to = [np.zeros(1)], [np.zeros(1, np.int32)]
+        numbers, own = self.words, count >= least
+        for n in range(1, order + 1):
             if n > 1:
-                before, last = ngrams[n - 2][0][place - 1], ngrams[n - 2][0][place]
-                of_history = ngrams[n - 2][2][before]
+                shorter, of_shorter = numbers, count
+                numbers, place, count = next(ngrams)
+                before, last = shorter[place - 1], shorter[place]
+                of_history, history_state, states = of_shorter[before], states[before], states[last]
                 inside = of_history >= least
                 chance = np.where(inside, (count + weight * chance[last]) / (of_history + weight), chance[last])
-                states_of_history, states = states[before], states[last]
-            if n < len(ngrams):
-                own = count >= least
-                if n > 1:  # no text goes on after its end
-                    own &= words[place] != self.end
-                made = sum(len(x) for x in fail_to) + np.arange(own.sum())
+                word = self.words[place]
+                own = (count >= least) & (word != self.end)  # no text goes on after its end
+                del place, before, last, shorter, of_shorter, of_history
+            if n < order:
                 fail_weight.append(np.log10(weight / (count[own] + weight)))
                 fail_to.append(states[own])
-                states = states.copy()
-                states[own] = made
+                states[own] = self.levels[-1] + np.arange(own.sum(), dtype=np.int32)
+                self.levels.append(self.levels[-1] + int(own.sum()))
             if n == 1:
                 self.to_of_word = states
             else:
-                arc = inside & (count > 0)
-                keys.append(states_of_history[arc] * self.symbols + words[place[arc]])
-                weights.append(np.log10(chance[arc]))
-                to.append(states[arc])
+                arc = np.flatnonzero(inside & (count > 0))
+                keys = history_state[arc].astype(np.int64) * self.symbols + word[arc]
+                arc, keys = arc[np.argsort(keys)], np.sort(keys)
+                self.arcs.append((keys, np.log10(chance[arc]), states[arc]))
         self.fail_weight, self.fail_to = np.concatenate(fail_weight), np.concatenate(fail_to)
-        keys = np.concatenate([np.zeros(0, np.int64), *keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.weights, self.to = (np.concatenate([np.zeros(0, kind), *x])[order] for x, kind in ((weights, np.float64), (to, np.int64)))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state, log10 probability) after each walker reads its word: along failure arcs to the first state with an arc."""
-        chance, after, live = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
-        while len(live):
-            at_root = state[live] == 0
-            root = live[at_root]
-            chance[root] += self.weight_of_word[word[root]]
-            after[root] = self.to_of_word[word[root]]
-            live = live[~at_root]
-            if not len(live) or not len(self.keys):
-                hit, at = np.zeros(len(live), dtype=bool), np.zeros(len(live), np.int64)
-            else:
-                key = state[live] * self.symbols + word[live]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-            chance[live[hit]] += self.weights[at[hit]]
-            after[live[hit]] = self.to[at[hit]]
-            live = live[~hit]
-            chance[live] += self.fail_weight[state[live]]
-            state[live] = self.fail_to[state[live]]
+        chance, after, state = np.zeros(len(state)), np.zeros(len(state), np.int32), state.copy()
+        live = np.ones(len(state), dtype=bool)
+        for level in range(len(self.arcs) - 1, 0, -1):
+            keys, weights, to = self.arcs[level]
+            here = np.flatnonzero(live & (state >= self.levels[level]))
+            hit = np.zeros(len(here), dtype=bool)
+            if len(keys) and len(here):
+                key = state[here].astype(np.int64) * self.symbols + word[here]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                chance[here[hit]] += weights[at[hit]]
+                after[here[hit]], live[here[hit]] = to[at[hit]], False
+            here = here[~hit]
+            chance[here] += self.fail_weight[state[here]]
+            state[here] = self.fail_to[state[here]]
+        chance[live] += self.weight_of_word[word[live]]
+        after[live] = self.to_of_word[word[live]]
         return after, chance
 
     def walk(self, held: Tokens, order: int, stretch: int = STRETCH) -> np.ndarray:
@@ -233,7 +237,7 @@ class Automaton:
         chance, live = np.zeros(len(begin)), len(begin)
         for at in range(int(length.max(initial=0))):
             live = np.searchsorted(-length[:live], -at, side="left")
-            state[:live], gained = self.step(state[:live].copy(), self.words[begin[:live] + at])
+            state[:live], gained = self.step(state[:live], self.words[begin[:live] + at])
             chance[:live] += np.where(at >= lead[:live], gained, 0.0)
         of_walker = np.empty(len(chance))
         of_walker[longest_first] = chance
@@ -276,8 +280,8 @@ def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: flo
         if not bodies:
             raise RuntimeError("the documents were not the same when they were read again")
         held = Tokens(pa.ipc.open_stream(bodies[0]).read_all().combine_chunks(), folds, key)
-        ngrams = told(known, held, order)
-        chance, count = Automaton(ngrams, ngrams[0][0][held.first[1] - 1], total, once, history).walk(held, order), ngrams[0][2][ngrams[0][0]]
+        automaton = Automaton(told(known, held, order), order, held.first[1] - 1, total, once, history)
+        chance, count = automaton.walk(held, order), automaton.count_of_word[automaton.words]
         base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
         at = held.first[:-1]
         add = lambda x: np.add.reduceat(x, at)

@@ -117,15 +117,9 @@ def test_words_made_to_share_a_hash_are_told_apart(spark):
 def walked(docs, stretch, order=3):
     """Scores of ``docs`` as one chunk that is the whole corpus, and the automaton."""
     held = language_model.Tokens(pa.table({"doc_id": [r[0] for r in docs], "text": pa.array([r[1] for r in docs], pa.string())}), key=5)
-    ngrams = []
-    for keys, valid in held.ngrams(order):
-        at = np.flatnonzero(valid)
-        known, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
-        numbers = np.full(len(keys), -1, np.int32)
-        numbers[at] = which
-        ngrams.append((numbers, at[first], np.bincount(which, weights=held.teaches[at], minlength=len(known)).astype(np.int64)))
+    ngrams = [(numbers, place, np.bincount(numbers[numbers >= 0], weights=held.teaches[numbers >= 0], minlength=len(place)).astype(np.int64)) for numbers, place in language_model.numbered_ngrams(held, order)]
     count = ngrams[0][2]
-    automaton = language_model.Automaton(ngrams, ngrams[0][0][held.first[1] - 1], int(count.sum()), int((count == 1).sum()))
+    automaton = language_model.Automaton(iter(ngrams), order, held.first[1] - 1, int(count.sum()), int((count == 1).sum()))
     return automaton.walk(held, order, stretch), automaton
 
 
