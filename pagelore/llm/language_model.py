@@ -41,13 +41,13 @@ class Tokens:
     """A chunk's tokens in order, an end after each text, with flags of those that teach."""
 
     def __init__(self, table: pa.Table, folds: int = FOLDS, key: int = 0) -> None:
-        self.table = table
-        data, offsets = utf8(self.table.column("text"))
+        self.ids = table.column("doc_id")
+        data, offsets = utf8(table.column("text"))
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
         self.tokens = np.insert(span_hashes(data, starts, ends, key), first[1:], END)
         self.first = first + np.arange(len(first))
-        names = self.table.column("doc_id").to_pylist()
+        names = self.ids.to_pylist()
         self.held_out = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % folds == 0 for d in names], dtype=bool)
         sizes = np.diff(self.first)
         self.teaches = np.repeat(~self.held_out, sizes)
@@ -138,7 +138,9 @@ def numbered_ngrams(held: Tokens, order: int) -> Iterator[tuple[np.ndarray, np.n
         _, first, which = np.unique(keys[at], return_index=True, return_inverse=True)
         numbers = np.full(len(keys), -1, np.int32)
         numbers[at] = which
-        yield numbers, at[first]
+        place = at[first]
+        del at, _, first, which
+        yield numbers, place
 
 
 def told(rows: pa.Table, held: Tokens, order: int) -> Iterator[Order]:
@@ -280,13 +282,16 @@ def scored(docs: DataFrame, folds: int = FOLDS, block: int = BLOCK, history: flo
         if not bodies:
             raise RuntimeError("the documents were not the same when they were read again")
         held = Tokens(pa.ipc.open_stream(bodies[0]).read_all().combine_chunks(), folds, key)
-        automaton = Automaton(told(known, held, order), order, held.first[1] - 1, total, once, history)
+        ngrams = told(known, held, order)
+        automaton = Automaton(ngrams, order, held.first[1] - 1, total, once, history)
+        ngrams.close()
+        del held.tokens
         chance, count = automaton.walk(held, order), automaton.count_of_word[automaton.words]
         base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
         at = held.first[:-1]
         add = lambda x: np.add.reduceat(x, at)
         n = np.diff(held.first)
-        out = pa.table({"doc_id": held.table.column("doc_id"), "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(chance)})
+        out = pa.table({"doc_id": held.ids, "held_out": pa.array(held.held_out), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(chance)})
         give_back()
         return pa.concat_tables([out] * len(bodies))
 
