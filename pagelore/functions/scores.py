@@ -64,9 +64,9 @@ def softmax(logits: Column) -> Column:
     return F.transform(sums, lambda s: F.transform(s["v"], lambda x: x / s["t"]))[0]
 
 
-def defaulted(value: Column, default: Column) -> Column:
-    """The default for null, zero and empty values."""
-    return F.when(value.isNull() | (value.cast("string").isin("", "0", "0.0")), default).otherwise(value)
+def defaulted(value: Column, default: Column, empty: object = 0) -> Column:
+    """The default for null and ``empty`` values: 0 of numbers, which -0.0 equals, "" of texts, for which "0" is a value."""
+    return F.coalesce(F.nullif(value, F.lit(empty)), default)
 
 
 def encoder_hash64(token: Column) -> Column:

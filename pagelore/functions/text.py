@@ -80,6 +80,16 @@ def compact_time(at: Column) -> Column:
     return F.date_format(at, "yyyyMMdd_HHmmss")
 
 
+def compact_utc(at: Column, zoned: bool = True) -> Column:
+    """As ``utc_iso``, without marks between the digits."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()) if zoned else at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def human_time(at: Column) -> Column:
+    """The session's local time, for people."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
 def canonical_digest(value: Column) -> Column:
     """SHA-256 of the value's JSON, null fields included; give struct fields in key order."""
     return F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)

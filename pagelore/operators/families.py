@@ -50,10 +50,12 @@ def scores_by_family(near: Column) -> Column:
     return F.array_sort(F.transform(near, lambda c: F.struct(c["family"].alias("family"), c["distance"].alias("distance"))))
 
 
-def ranked(dist: DataFrame, doc: str, family: str, ai: str | None = None) -> DataFrame:
-    """Adds the rank of each family for its document: by text score (missing last) and distance, or distance alone."""
-    keys = [F.coalesce(F.col(ai), F.lit(-1.0)).desc()] if ai else []
-    return dist.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(*keys, F.col("distance").asc(), F.col(family).asc())))
+def ranked(near: Column, text_scores: Column | None = None) -> Column:
+    """Of measured pages: (rank, family, distance, text_score) of every family in the order that counts: by text score from
+    the map ``text_scores`` (missing ones last) and distance, or by distance alone. Made where the page lies."""
+    score = (lambda c: F.lit(None).cast("double")) if text_scores is None else (lambda c: F.element_at(text_scores, c["family"]).cast("double"))
+    each = F.transform(near, lambda c: F.struct((-F.coalesce(score(c), F.lit(-1.0))).alias("down"), c["distance"].alias("distance"), c["family"].alias("family"), score(c).alias("text_score")))
+    return F.transform(F.array_sort(each), lambda c, i: F.struct((i + 1).alias("rank"), c["family"].alias("family"), c["distance"].alias("distance"), c["text_score"].alias("text_score")))
 
 
 def family_stats(members: DataFrame, family: str) -> DataFrame:
