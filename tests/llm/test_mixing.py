@@ -14,14 +14,41 @@ def test_like_sql(spark):
     assert key(got) == key(want)
 
 
-def test_margins_meet_their_targets(spark):
+def cells(spark):
     rows = [(a, b, c, 7 * i * i % 90 + 10) for i, (a, b, c) in enumerate((a, b, c) for a in "stu" for b in "xy" for c in "pq")]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    out = mixing.raked(cells, sweeps=12).toPandas()
-    out["share"] = out.tokens * out.rate / out.tokens.sum()
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
+def gaps(out):
+    share = out.tokens * out.rate / out.tokens.sum()
     for margin, power in mixing.TARGETS.items():
         had = (out.groupby(margin).tokens.sum() / out.tokens.sum()) ** power
-        assert (out.groupby(margin).share.sum() - had / had.sum()).abs().max() < 1e-6
+        yield (share.groupby(out[margin]).sum() - had / had.sum()).abs().max()
+
+
+def test_margins_meet_their_targets_and_sweeps_end(spark):
+    out = mixing.raked(cells(spark)).toPandas()
+    assert max(gaps(out)) < 1e-8 and out.sweeps.max() < mixing.MOST
+
+
+def test_what_a_full_cell_cannot_give_others_do(spark):
+    free = mixing.raked(cells(spark), keep=1e-6).toPandas()
+    keep = 1 / (free.rate.max() * 0.9)  # the cell wanted most is over its bound
+    assert (free.rate * keep).max() > 1
+    out = mixing.raked(cells(spark), keep=keep).toPandas()
+    assert (out.rate * keep).max() <= 1 + 1e-12 and max(gaps(out)) < 1e-7
+
+
+def test_margins_of_the_drawn_sample(spark):
+    rows = [row(i, " ".join(["w"] * (5 + i % 11)) + (" | x" if i % 5 == 0 else ""), "de" if i % 4 == 0 else "en", "hot" if i % 3 else f"s{i % 2}") for i in range(12000)]
+    out = mixing.op7_mixing(frame(spark, rows)).toPandas()
+    kept = out[out.kept]
+    for margin, power in mixing.TARGETS.items():
+        had = out.groupby(margin).n_tokens.sum() / out.n_tokens.sum()
+        want = had**power / (had**power).sum()
+        got = kept.groupby(margin).n_tokens.sum() / kept.n_tokens.sum()
+        assert (got - want).abs().max() < 0.02 and (had - want).abs().max() > 0.02
+    assert abs(kept.n_tokens.sum() / out.n_tokens.sum() - mixing.KEEP) < 0.02
 
 
 def test_kept_rows_and_empty_table(spark):
