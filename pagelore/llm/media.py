@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm import baseline
 from pagelore.llm.common import pieces
 
 #: Bytes of a picture row (64 pixels of three 8-bit samples), rows in a whole frame, frames in a second.
 ROW, FRAME_ROWS, RATE = 192, 32, 25
 #: Histogram bins of a component; frames on each side that the adaptive threshold looks at; its share of deviation; floor.
 BINS, AROUND, DEVIATIONS, LEAST_CHANGE = 16, 4, 1.5, 0.12
+#: Pictures of a file that are decoded at once.
+PICTURES = 32
 
 #: Code lengths of the difference categories 0 to 8 in the written Huffman table: 4 bits for all but the commonest.
 LENGTHS = {0: 3, 5: 3, 6: 3, 1: 4, 2: 4, 3: 4, 4: 4, 7: 4, 8: 4}
@@ -89,12 +93,12 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
-def movie_said(frames: list[bytes], rate: int = RATE) -> bytes:
-    """An AVI file of these pictures: header list, movie list, and the index of its chunks."""
+def movie_said(frames: list[bytes], rate: int = RATE, height: int = FRAME_ROWS, width: int = ROW // 3) -> bytes:
+    """An AVI file of these pictures: header list, movie list, and the index of its chunks. ``height`` is the tallest one's."""
     largest = max(map(len, frames), default=0)
-    main = struct.pack("<14I", 1_000_000 // rate, largest * rate, 0, 0x10, len(frames), 0, 1, largest, ROW // 3, FRAME_ROWS, 0, 0, 0, 0)
-    stream = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, rate, 0, len(frames), largest, 0xFFFFFFFF, 0, 0, 0, ROW // 3, FRAME_ROWS)
-    picture = struct.pack("<IiiHH4sIiiII", 40, ROW // 3, FRAME_ROWS, 1, 24, b"MJPG", ROW * FRAME_ROWS, 0, 0, 0, 0)
+    main = struct.pack("<14I", 1_000_000 // rate, largest * rate, 0, 0x10, len(frames), 0, 1, largest, width, height, 0, 0, 0, 0)
+    stream = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, rate, 0, len(frames), largest, 0xFFFFFFFF, 0, 0, 0, width, height)
+    picture = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", 3 * width * height, 0, 0, 0, 0)
     header = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", main) + _chunk(b"LIST", b"strl" + _chunk(b"strh", stream) + _chunk(b"strf", picture)))
     at, index, body = 4, [], []
     for f in frames:
@@ -208,56 +212,97 @@ def histograms(frame: np.ndarray) -> np.ndarray:
     return np.bincount(bins.ravel(), minlength=3 * BINS) / max(1, len(bins))
 
 
-def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(first frame, frame after the last) of each shot: a cut is where the histogram difference to the frame before is
-    the greatest near it and above mean plus DEVIATIONS deviations of those near it, and above LEAST_CHANGE."""
-    if not frames:
+def shots_of(h: np.ndarray) -> list[tuple[int, int]]:
+    """(first frame, frame after the last) of each shot, by the frames' histograms: a cut is where the difference to the frame
+    before is the greatest near it and above mean plus DEVIATIONS deviations of those near it, and above LEAST_CHANGE."""
+    if not len(h):
         return []
-    h = np.array([histograms(f) for f in frames])
     change = np.abs(np.diff(h, axis=0)).sum(axis=1) / 6
     cuts = [0]
     for i, d in enumerate(change):
         near = change[max(0, i - AROUND) : i + AROUND + 1]
         if d >= LEAST_CHANGE and d >= near.max() and d >= near.mean() + DEVIATIONS * near.std() and (len(near) > 1 or d >= 2 * LEAST_CHANGE):
             cuts.append(i + 1)
-    return list(zip(cuts, [*cuts[1:], len(frames)], strict=True))
+    return list(zip(cuts, [*cuts[1:], len(h)], strict=True))
 
 
-def decoded(movie: bytes) -> tuple[float, list[np.ndarray]]:
-    """(microseconds a frame, pictures as (rows, samples)); rows of all frames with one table are decoded together."""
-    micro, frames = movie_read(movie)
-    parts = [picture_parts(f) for f in frames]
-    out: list[np.ndarray | None] = [None] * len(parts)
-    for kind in {(p[1], p[2], p[3]) for p in parts}:
-        which = [i for i, p in enumerate(parts) if (p[1], p[2], p[3]) == kind]
-        rows = rows_read([r for i in which for r in parts[i][4]], kind[0] * kind[1], kind[2], kind[1])
+def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
+    return shots_of(np.array([histograms(f) for f in frames]))
+
+
+def lossless(data: bytes) -> bool:
+    """Whether a picture is of the lossless process, by the first frame header that it has."""
+    at = 2
+    while at + 4 <= len(data) and not 0xC0 <= data[at + 1] <= 0xC3:
+        if data[at + 1] == 0xDA:
+            return False
+        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+    return at + 4 <= len(data) and data[at + 1] == 0xC3
+
+
+def pictures_read(frames: list[bytes]) -> list[np.ndarray]:
+    """Pictures as (rows, samples), lossless or baseline; rows of all lossless ones with one table are decoded together."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(frames)
+    exact = {i: picture_parts(f) for i, f in enumerate(frames) if lossless(f)}
+    for kind in {(p[1], p[2], p[3]) for p in exact.values()}:
+        which = [i for i, p in exact.items() if (p[1], p[2], p[3]) == kind]
+        rows = rows_read([r for i in which for r in exact[i][4]], kind[0] * kind[1], kind[2], kind[1])
         at = 0
         for i in which:
-            out[i] = rows[at : at + parts[i][0]]
-            at += parts[i][0]
-    return micro, out  # type: ignore[return-value]
+            out[i] = rows[at : at + exact[i][0]]
+            at += exact[i][0]
+    others = [i for i in range(len(frames)) if i not in exact]
+    for i, picture in zip(others, baseline.painted([baseline.parsed(frames[i]) for i in others]), strict=True):
+        out[i] = picture
+    return out
+
+
+def decoded(movie: bytes) -> tuple[float, list[np.ndarray]]:
+    """(microseconds a frame, pictures as (rows, samples))."""
+    micro, frames = movie_read(movie)
+    return micro, pictures_read(frames)
+
+
+def described(movie: bytes) -> tuple[float, np.ndarray]:
+    """(microseconds a frame, a histogram a frame). PICTURES pictures are decoded at once and only their histograms stay, so
+    a long film takes no more memory than its file; an empty chunk shows the picture before once more."""
+    micro, frames = movie_read(movie)
+    out: list[np.ndarray] = []
+    for lo in range(0, len(frames), PICTURES):
+        some = frames[lo : lo + PICTURES]
+        shown = iter(pictures_read([f for f in some if f]))
+        for f in some:
+            if not f and not out:
+                raise ValueError("the first frame is empty")
+            out.append(histograms(next(shown)) if f else out[-1])
+    return micro, np.array(out)
 
 
 def clips(media: DataFrame, column: str = "content") -> DataFrame:
-    """(id, clip, first_frame, n_frames, start_s, end_s) of the shots of each AVI file in ``media`` (id, column).
+    """(id, clip, first_frame, n_frames, start_s, end_s, error) of the shots of each AVI file in ``media`` (id, column).
 
-    A null or unreadable file has no clips.
+    Pictures are lossless (predictor 1, a restart a row) or baseline JPEG with their tables. A null or unreadable file is one
+    row with the reason in ``error`` and nulls else; a film without frames has no row. Equal ids are separate files, other
+    columns are left out, an empty table gives an empty one. A task holds one file and PICTURES of its pictures.
     """
+    names = ("id", "clip", "first_frame", "n_frames", "start_s", "end_s", "error")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows: list[tuple] = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    micro, frames = decoded(bytes(data or b""))
-                except (ValueError, struct.error, IndexError, KeyError):
+                    if not data.is_valid:
+                        raise ValueError("no content")
+                    micro, seen = described(data.as_py())
+                except (ValueError, struct.error, IndexError, KeyError) as e:
+                    rows.append((name, None, None, None, None, None, str(e) or type(e).__name__))
                     continue
-                rows += [(name, k, a, b - a, a * micro / 1e6, b * micro / 1e6) for k, (a, b) in enumerate(shots(frames))]
-            names = ("id", "clip", "first_frame", "n_frames", "start_s", "end_s")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                rows += [(name, k, a, b - a, a * micro / 1e6, b * micro / 1e6, None) for k, (a, b) in enumerate(shots_of(seen))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], list(names))
 
-    return media.select(F.col("id").cast("long").alias("id"), F.col(column).alias("content")).mapInArrow(run, "id long, clip long, first_frame long, n_frames long, start_s double, end_s double")
+    return media.select(F.col("id").cast("long").alias("id"), F.col(f"`{column}`").alias("content")).mapInArrow(run, "id long, clip long, first_frame long, n_frames long, start_s double, end_s double, error string")
 
 
 def _movies(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -268,7 +313,7 @@ def _movies(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     samples = np.full(first[-1] * ROW, 32, dtype=np.uint8)
     samples[np.arange(len(data)) + np.repeat(first[:-1] * ROW - offsets[:-1], size)] = data
     coded = rows_said(samples.reshape(-1, ROW))
-    return [movie_said([frame_said(coded[k : min(k + FRAME_ROWS, first[i + 1])]) for k in range(first[i], first[i + 1], FRAME_ROWS)]) for i in range(len(size))]
+    return [movie_said([frame_said(coded[k : min(k + FRAME_ROWS, first[i + 1])]) for k in range(first[i], first[i + 1], FRAME_ROWS)], height=min(FRAME_ROWS, int(count[i]))) for i in range(len(size))]
 
 
 def _all_decoded(movies: list[bytes]) -> list[list[np.ndarray]]:
@@ -284,13 +329,18 @@ def _all_decoded(movies: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
+def _timed(cuts: list[tuple[int, int]]) -> str:
+    return json.dumps([{"clip": k, "first_frame": a, "n_frames": b - a, "start_s": a / RATE, "end_s": b / RATE} for k, (a, b) in enumerate(cuts)])
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each row.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips) of each row.
 
     Every text becomes an AVI file of lossless pictures whose samples are its bytes, is read back from it, and its shots
-    are described. Null and empty texts are one row of spaces. Equal texts have equal values.
+    are described: ``clips`` is JSON, a list of its timed clips. Null and empty texts are one row of spaces. Equal texts have
+    equal values; long ones are films of as many pictures as they need, other columns are left out.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,14 +353,15 @@ def stored(docs: DataFrame) -> DataFrame:
                     cuts = shots(frames)
                     mean = np.frombuffer(payload, np.uint8).mean()
                     said = f"frames={len(frames)};shots={len(cuts)};cuts={','.join(str(a) for a, _ in cuts[1:])};seconds={len(frames) / RATE:.2f};mean={mean:.3f}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(movie), hashlib.sha256(movie).hexdigest(), said))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(movie), hashlib.sha256(movie).hexdigest(), said, _timed(cuts)))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(offsets)), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string"
     )
 
 
 def op5_media(docs: DataFrame) -> DataFrame:
+    """Every text as a film, read back, with its features and timed clips; see ``stored``."""
     return stored(docs)

@@ -13,7 +13,7 @@ TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Probability at which documents of a cell that needs no correction are kept; seed of the draw.
 KEEP, SEED = 0.5, "mix"
 #: Raking ends when four sweeps' last one moved no rate by this or more, or after so many sweeps; sweeps between two tests.
-TOLERANCE, MOST, STEP = 1e-9, 400, 4
+TOLERANCE, MOST, STEP = 1e-6, 400, 4
 
 #: Words whose notices make a document a "notice"; a fixed list.
 NOTICE = ("copyright", "licen", "all rights reserved")
