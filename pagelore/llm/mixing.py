@@ -14,6 +14,8 @@ TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEEP, SEED = 0.5, "mix"
 #: Raking ends when four sweeps' last one moved no rate by this or more, or after so many sweeps; sweeps between two tests.
 TOLERANCE, MOST, STEP = 1e-6, 400, 4
+#: Cells, by their count, up to which the sweeps of one test are one task without an exchange; more are spread by margin.
+ONE_TASK = 100_000
 
 #: Words whose notices make a document a "notice"; a fixed list.
 NOTICE = ("copyright", "licen", "all rights reserved")
@@ -54,7 +56,8 @@ def raked(cells: DataFrame, keep: float = KEEP, targets: dict[str, float] | None
     """
     targets = targets or TARGETS
     cells = checkpointed(cells.where("tokens > 0"))
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    total, count = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total, near = total or 1, (lambda df: df.coalesce(1)) if count <= ONE_TASK else (lambda df: df)
     cells = cells.withColumn("start", F.col("tokens") / F.lit(float(total))).withColumn("share", F.col("start"))
     wanted = {}
     for margin, power in targets.items():
@@ -63,8 +66,9 @@ def raked(cells: DataFrame, keep: float = KEEP, targets: dict[str, float] | None
         wanted[margin] = sums.select(margin, (F.col("raised") / F.lit(whole)).alias(f"target_{margin}"))
     for margin, target in wanted.items():
         cells = cells.join(target, margin)
-    done = 0
+    cells, done = checkpointed(cells), 0
     while done < most:
+        cells = near(cells)
         for _ in range(STEP):
             cells = cells.withColumn("old", F.col("share"))
             for margin in targets:
