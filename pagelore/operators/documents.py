@@ -46,12 +46,22 @@ def searched(pages: DataFrame, catalog: DataFrame, page: str, text: str, fields:
     features is "no_features" and has no family. text_status is ok, disabled, unavailable_short_text, unavailable_no_reference
     or error, where no score is a finite number. An empty catalog leaves all pages "uncatalogued".
     """
-    registry = ["registry"] if "registry" in catalog.columns else []
-    one = catalog.where(F.col(page) == catalog_page).select(F.struct("mean", "std", "families", *registry).alias("model_of_page")).limit(1)
+    listed = F.col("registry") if "registry" in catalog.columns else None
+
+    def known(c: Column) -> Column:
+        """The family's examples that can be compared, encoded here once and not for every page."""
+        long = F.filter(F.coalesce(metadata("examples", c, listed), F.array().cast(REFERENCES)), lambda e: F.length(normalized(e["excerpt"])) >= MIN_COMPARED)
+        return F.transform(long, lambda e: F.struct((-e["rank"]).alias("order"), e["doc"].alias("doc"), encode(e["excerpt"]).alias("b")))
+
+    def facts(c: Column) -> Column:
+        own = [c["family"].alias("family"), c["centroid"].alias("centroid"), *(metadata(f, c, listed).alias(f) for f in ("dist_mean", "dist_max"))]
+        return F.struct(*own, *([known(c).alias("known")] if compare else []))
+
+    one = catalog.where(F.col(page) == catalog_page).select(F.struct("mean", "std", F.transform("families", facts).alias("families")).alias("model_of_page")).limit(1)
     names = pages.columns
     held = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).join(F.broadcast(one), F.lit(True), "left")
     value = lambda f: F.col("row").getField(f).cast("double")
-    model, listed = F.col("model_of_page"), (F.col("model_of_page.registry") if registry else None)
+    model = F.col("model_of_page")
     missing = F.exists(F.array(*(value(f) for f in fields)), lambda x: x.isNull())
     status = F.when(model.isNull(), "uncatalogued").when(missing, "no_features").otherwise("ok")
     z = F.array(*((value(f) - model["mean"][i]) / model["std"][i] for i, f in enumerate(fields)))
@@ -59,16 +69,21 @@ def searched(pages: DataFrame, catalog: DataFrame, page: str, text: str, fields:
     long = F.length(normalized(body)) >= MIN_COMPARED
     held = held.select("row", "model_of_page", status.alias("status"), z.alias("z"), long.alias("long"), F.when(long & F.lit(compare), encode(body)).alias("a"))
 
-    def example_scores(c: Column) -> Column:
-        known = F.filter(F.coalesce(metadata("examples", c, listed), F.array().cast(REFERENCES)), lambda e: F.length(normalized(e["excerpt"])) >= MIN_COMPARED)
-        return F.transform(known, lambda e: F.struct(normalized_score(scorer(F.col("a"), encode(e["excerpt"]))).alias("score"), (-e["rank"]).alias("order"), e["doc"].alias("doc")))
-
-    def told(c: Column) -> Column:
-        scores = F.when(F.lit(compare) & F.col("long"), example_scores(c))
-        best = F.array_max(F.filter(scores, lambda s: s["score"].isNotNull()))
-        return F.struct(distance(F.col("z"), c["centroid"]).alias("distance"), c["family"].alias("family"), metadata("dist_mean", c, listed).alias("dist_mean"), metadata("dist_max", c, listed).alias("dist_max"), best["score"].alias("text"), best["doc"].alias("ref"), F.coalesce(F.size(scores), F.lit(0)).alias("compared"))
-
-    held = held.withColumn("each", F.when(F.col("status") == "ok", F.transform(model["families"], told)))
+    # inside a lambda Spark works an expression out at each place that names it, so what is named twice is bound to a lambda
+    def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), of)[0]
+
+    def told(c: Column, p: Column) -> Column:
+        own = [distance(p["z"], c["centroid"]).alias("distance"), *(c[f].alias(f) for f in ("family", "dist_mean", "dist_max"))]
+        if not compare:
+            return F.struct(*own, F.lit(None).cast("double").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).alias("compared"))
+        raw = F.transform(c["known"], lambda e: F.struct(scorer(p["a"], e["b"]).alias("raw"), e["order"].alias("order"), e["doc"].alias("doc")))
+        scores = F.when(p["long"], F.transform(raw, lambda s: F.struct(normalized_score(s["raw"]).alias("score"), s["order"].alias("order"), s["doc"].alias("doc"))))
+        best = lambda s: F.struct(F.array_max(F.filter(s, lambda x: x["score"].isNotNull())).alias("best"), F.coalesce(F.size(s), F.lit(0)).alias("compared"))
+        return bound(bound(scores, best), lambda s: F.struct(*own, s["best"]["score"].alias("text"), s["best"]["doc"].alias("ref"), s["compared"].alias("compared")))
+
+    each = bound(F.struct("z", "a", "long"), lambda p: F.transform(model["families"], lambda c: told(c, p)))
+    held = held.withColumn("each", F.when(F.col("status") == "ok", each))
     by_text = F.exists("each", lambda c: c["text"].isNotNull())
     order = F.transform("each", lambda c: F.struct((-F.when(by_text, F.coalesce(c["text"], F.lit(-1.0))).otherwise(0.0)).alias("key"), c["distance"].alias("distance"), c["family"].alias("family"), c.alias("c")))
     held = held.withColumn("best", F.get(F.array_sort(order), 0)).withColumn("by_text", by_text)

@@ -191,9 +191,9 @@ _PAGE_SCORES = f"""{_CATALOG}, d as (select conv_id, z.turn, family, sqrt({" + "
 n as (select conv_id, turn, arg_min(family, (distance, family)) family, min(distance) distance, string_agg(family || '=' || printf('%.4f', distance), ';' order by family) scores from d group by all)"""
 
 
-def chat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chat_pages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     held = table(spark, sf_dir, "conversations")
-    return held.select("conv_id", "turn", "role", F.length("text").cast("double").alias("chars"), F.size(tokens(F.col("text"))).cast("double").alias("words"))
+    return held.select("conv_id", "turn", "role", *more, F.length("text").cast("double").alias("chars"), F.size(tokens(F.col("text"))).cast("double").alias("words"))
 
 
 @query("page_catalog", f"with {_CATALOG} select turn, family, members, round(c_chars, 6) c_chars, round(c_words, 6) c_words, round(dist_mean, 6) dist_mean, round(dist_max, 6) dist_max from ap join ce using (turn, family)")
@@ -251,7 +251,7 @@ v as (select conv_id, case when bool_or(good) then 'detected' else 'not_detected
 
 
 def searched_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = chat_pages(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    held = chat_pages(spark, sf_dir, "text")
     few = stored(held.where("turn < 3").withColumn("page", F.lit(0)).withColumn("ref", F.col("conv_id") * 1000 + F.col("turn")))
     catalog = families.page_catalog(few, "page", "role", _FEW)
     own = families.page_scores(few, catalog, "page", _FEW).select("page", "role", "ref", "text", F.filter("scores", lambda s: s["family"] == F.col("role"))[0]["distance"].alias("distance"))

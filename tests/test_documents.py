@@ -67,3 +67,11 @@ def test_examples_are_the_closest(spark):
     members = spark.createDataFrame([(0, "a", i, f"text {i}", float(i % 4)) for i in range(12)], "page int, family string, doc int, text string, distance double")
     held = documents.with_examples(base, members, "page", "family", "doc", "text", most=4).first()
     assert [[e.doc for e in f.examples] for f in held.families] == [["0", "4", "8", "1"], []]
+
+
+def test_references_are_encoded_once_and_not_for_each_page(spark):
+    pages = spark.createDataFrame([(1, 0, 1.0, LONG)], "doc long, page int, x double, text string")
+    held = documents.searched(pages, catalog(spark), "page", "text", ("x",), jaccard, lambda c: F.array_distinct(F.split(c, "q@q")))
+    pages_side, _, catalog_side = held._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
+    assert pages_side.count("q@q") == 1 and catalog_side.count("q@q") == 1
+    assert pages_side.count("array_intersect") == 1  # the score is worked out once, however often it is looked at
