@@ -17,7 +17,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (0.8 of their five-word shingles) the document of the least id."""
+    """Keeps of each group of near copies the document of the least id: SimHash fingerprints link texts, exact sets confirm
+    the links (0.8 of their five-word shingles), and a prefix filter finds the near copies that fingerprints miss."""
     return simhash.one_of_each_group(docs, near_copies.near_copies, near_copies.with_prints)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagelore.llm.common import LOWER, NOT_SPACE, checkpointed, pieces, small_or_shuffled, span_hashes, window_hashes, word_bounds
+from pagelore.llm import simhash
 from pagelore.llm.simhash import components, named
 
 #: Words in a shingle, and the Jaccard similarity from which two texts are near copies.
@@ -26,6 +27,8 @@ SHINGLE, ALIKE = 5, 0.8
 SAMPLE, COMMON, TOLD = 20_000, 3, 1 << 16
 #: Cells of the parities that rule pairs out; a power of two.
 BITS = 1024
+#: Texts that share a shingle of their prefixes beyond which they are compared in blocks, rows of a block, rows of a task.
+CROWDED, BLOCK, ROWS = 8, 1024, 1 << 16
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,7 +55,8 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["shingle"])
 
     step = max(1, docs.count() // SAMPLE)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("near copies")), F.lit(step)) == 0).select("text")
+    # drawn by text, each text once: copies would make all that they say common
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit("near copies")), F.lit(step)) == 0).select("text").distinct()
     counts = drawn.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
     rows = counts.orderBy(F.desc("count"), "shingle").limit(TOLD).collect()
     held = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
@@ -115,6 +119,28 @@ def differing(n: Column, m: Column, alike: float) -> Column:
     return F.floor((1 - alike) / (1 + alike) * (n + m) + 1e-9)
 
 
+def needed(pairs: DataFrame) -> DataFrame:
+    return small_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
+
+
+def of_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    first, second = (held.select(F.col("print").alias(c), F.col(column).alias(f"{column}_{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b")
+
+
+def judged(pairs: DataFrame, docs: DataFrame, size: int, alike: float) -> DataFrame:
+    """Those of the stored pairs (a, b) of prints whose texts have a similarity of ``alike`` or more, by whole sets."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size), strict=True)
+            keep = [(both := len(np.intersect1d(x, y, True))) >= alike * (len(x) + len(y) - both) - 1e-9 for (_, x), (_, y) in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = with_prints(docs.select("text"), size=size).join(needed(pairs), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    return checkpointed(of_both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, alike: float) -> DataFrame:
     """Those of the pairs (a, b, n_a, n_b) of prints whose texts have a similarity of ``alike`` or more.
 
@@ -127,36 +153,81 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, alike: float) -> Data
             keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) <= batch.column("may").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size), strict=True)
-            keep = [(both := len(np.intersect1d(x, y, True))) >= alike * (len(x) + len(y) - both) - 1e-9 for (_, x), (_, y) in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def of_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
-        first, second = (held.select(F.col("print").alias(c), F.col(column).alias(f"{column}_{c}")) for c in "ab")
-        return pairs.join(first, "a").join(second, "b")
-
-    def needed(pairs: DataFrame) -> DataFrame:
-        return small_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
-
     pairs = checkpointed(pairs.select("a", "b", differing(F.col("n_a"), F.col("n_b"), alike).alias("may")))
     bits = parities(docs, size).join(needed(pairs), "print", "left_semi").dropDuplicates(["print"])
     pairs = checkpointed(of_both(pairs, bits, "bits").select("a", "b", "may", "bits_a", "bits_b").mapInArrow(close, "a long, b long"))
-    texts = with_prints(docs.select("text"), size=size).join(needed(pairs), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
-    return checkpointed(of_both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long"))
+    return judged(pairs, docs, size, alike)
+
+
+def fingerprint_links(docs: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
+    """Edges (a, b) between prints whose SimHash fingerprints link (see ``simhash.links``) and whose sets confirm it.
+
+    Texts of one fingerprint are compared with the one of the least print, which stands for them in the links between
+    fingerprints. Texts without words are no nodes, as they have no shingles.
+    """
+    held = with_prints(simhash.with_prints(docs.select("text"), "fingerprint"), size=size).where(F.length(F.trim("text")) > 0)
+    held = checkpointed(held.select("fingerprint", "print").distinct())
+    first = held.groupBy("fingerprint").agg(F.min("print").alias("first"))
+    same = held.join(first, "fingerprint").select(F.col("first").alias("a"), F.col("print").alias("b"))
+    names = [first.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    near = simhash.links(held.select(F.col("fingerprint").alias("print"))).join(names[0], "a").join(names[1], "b")
+    near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return judged(checkpointed(same.union(near).where("a <> b").distinct()), docs, size, alike)
+
+
+def met_in_blocks(held: DataFrame, docs: DataFrame, size: int, alike: float) -> DataFrame:
+    """Pairs (a, b) of prints that share a shingle, not yet a root, and may be alike by sizes, places and parities, from
+    rows (shingle, print, n, at, root, blocks).
+
+    The texts of a shingle are dealt to blocks of about BLOCK rows, and pairs of blocks to tasks; what is compared there
+    is no row. All pairs are compared, so nothing is lost in however large a group.
+    """
+    bits = parities(docs, size).join(small_or_shuffled(held.select("print").distinct()), "print", "left_semi").dropDuplicates(["print"])
+    mine = held.withColumn("mine", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("shingle", "print", "n", "at", "root", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    parts = met.count() // ROWS + 1
+
+    def meet(table: pa.Table) -> pa.Table:
+        shingle, print_, n, at, root, mine, low, high = (table.column(c).to_numpy() for c in ("shingle", "print", "n", "at", "root", "mine", "low", "high"))
+        words = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(print_), -1)
+        order = np.lexsort((high, low, shingle))
+        key = np.stack([shingle[order], low[order], high[order]], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(order)]
+        out = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = order[lo:hi]
+            left, right = rows[mine[rows] == low[rows[0]]], rows[mine[rows] == high[rows[0]]]
+            for k in range(0, len(left), 64):
+                a, b = left[k : k + 64, None], right[None, :]
+                less, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                may = np.floor((1 - alike) / (1 + alike) * (n[a] + n[b]) + 1e-9)
+                fit = (root[a] != root[b]) & (less >= alike * most - 1e-9) & (n[a] + n[b] - 2 * np.minimum(n[a] - at[a], n[b] - at[b]) <= may)
+                x, y = np.nonzero(fit)
+                i, j = left[k + x], right[y]
+                near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= may[x, y]
+                i, j = print_[i[near]], print_[j[near]]
+                out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0))
+        both = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    dealt = met.join(bits, "print").withColumn("part", F.pmod(F.xxhash64("shingle", "low", "high"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
     """Edges (a, b) between prints of distinct texts that connect all whose similarity is ``alike`` or more.
 
-    Of the texts that share a shingle of their prefixes, each is first compared with the one of the least print, which
-    links a large group of near copies in a star; then all that are not yet linked are compared with each other. Pairs
-    whose sizes, or the places at which they share the shingle, leave too little in common are not compared at all.
+    Fingerprints link some first. Of the texts that share a shingle of their prefixes, each is then compared with the one
+    that has it at the first place, so which says least else: the original, of copies that were each changed elsewhere.
+    That links a large group of near copies in a star; then all that are not yet linked are compared with each other, in
+    blocks where a shingle has many. Pairs whose sizes, or the places at which they share the shingle, leave too little in
+    common are not compared at all.
     """
+    found = fingerprint_links(docs, size, alike)
     rows = prefixes(docs, common_shingles(docs, size), size, alike).repartition("shingle").distinct()
     same = Window.partitionBy("shingle")
-    rows = rows.withColumn("least", F.min(F.struct("print", "held")).over(same)).withColumn("many", F.count("*").over(same)).where("many > 1").drop("many")
+    rows = rows.withColumn("least", F.min(F.struct(F.col("held").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "print", "held")).over(same)).withColumn("many", F.count("*").over(same)).where("many > 1").drop("many")
     n, at = (lambda held: F.shiftright(held, 32)), (lambda held: held.bitwiseAND(F.lit((1 << 32) - 1)))
     shared = checkpointed(rows.select("shingle", "print", n(F.col("held")).alias("n"), at(F.col("held")).alias("at"), F.col("least.print").alias("least"), n(F.col("least.held")).alias("least_n"), at(F.col("least.held")).alias("least_at")))
 
@@ -167,12 +238,18 @@ def links(docs: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFra
 
     # the first shared place of a pair bounds what it shares, so later ones may pass where that one doesn't: keep all that pass
     star = shared.where("print <> least").where(may("n", "at", "least_n", "least_at"))
-    edges = verified(star.select(F.col("least").alias("a"), F.col("print").alias("b"), F.col("least_n").alias("n_a"), F.col("n").alias("n_b")).distinct(), docs, size, alike)
+    edges = found.union(verified(star.select(F.col("least").alias("a"), F.col("print").alias("b"), F.col("least_n").alias("n_a"), F.col("n").alias("n_b")).distinct(), docs, size, alike))
     roots = components(edges)
     held = checkpointed(shared.join(roots, shared["print"] == roots["node"], "left").select("shingle", "print", "n", "at", F.coalesce("root", "print").alias("root")))
-    one, two = (held.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("print", "n", "at", "root"))) for k in "ab")
+    many = F.count("*").alias("many")
+    open_ = held.groupBy("shingle").agg(many, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle", "many")
+    held = checkpointed(held.join(open_, "shingle"))
+    calm, crowded = held.where(F.col("many") <= CROWDED), held.where(F.col("many") > CROWDED)
+    one, two = (calm.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("print", "n", "at", "root"))) for k in "ab")
     rest = one.join(two, "shingle").where("print_a < print_b and root_a <> root_b").where(may("n_a", "at_a", "n_b", "at_b"))
-    return edges.union(verified(rest.select(F.col("print_a").alias("a"), F.col("print_b").alias("b"), "n_a", "n_b").distinct(), docs, size, alike))
+    edges = edges.union(verified(rest.select(F.col("print_a").alias("a"), F.col("print_b").alias("b"), "n_a", "n_b").distinct(), docs, size, alike))
+    met = met_in_blocks(crowded.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")), docs, size, alike)
+    return edges.union(judged(checkpointed(met), docs, size, alike))
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
