@@ -165,8 +165,16 @@ def fingerprint_links(docs: DataFrame, size: int = SHINGLE, alike: float = ALIKE
     Texts of one fingerprint are compared with the one of the least print, which stands for them in the links between
     fingerprints. Texts without words are no nodes, as they have no shingles.
     """
-    held = with_prints(simhash.with_prints(docs.select("text"), "fingerprint"), size=size).where(F.length(F.trim("text")) > 0)
-    held = checkpointed(held.select("fingerprint", "print").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(w, len(held) > 0) for w, held in shingle_sets(batch.column("text"), size)]
+            wholes, any_ = np.array([w for w, _ in sets], np.uint64), np.array([n for _, n in sets], bool)
+            prints = simhash.prints_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(x[any_].view(np.int64)) for x in (prints, wholes)], ["fingerprint", "print"])
+
+    # both in one pass, by one Python worker a task
+    held = checkpointed(docs.select("text").mapInArrow(run, "fingerprint long, print long").distinct())
     first = held.groupBy("fingerprint").agg(F.min("print").alias("first"))
     same = held.join(first, "fingerprint").select(F.col("first").alias("a"), F.col("print").alias("b"))
     names = [first.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]

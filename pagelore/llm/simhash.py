@@ -42,22 +42,27 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return with_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "print", size).drop("text")
 
 
+def prints_of(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text."""
+    prints = np.zeros(len(column), dtype=np.uint64)
+    for lo, hi, data, offsets in pieces(column):
+        whole = data.tobytes()
+        for row in range(lo, hi):
+            hashes = np.array(_shingle_hashes(whole[offsets[row - lo] : offsets[row - lo + 1]], size), dtype="<u8")
+            if len(hashes):
+                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                most = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+                prints[row] = np.packbits(most, bitorder="little").view("<u8")[0]
+    return prints
+
+
 def with_prints(docs: DataFrame, name: str, size: int = SHINGLE) -> DataFrame:
     """``docs`` with its fingerprints in the column ``name``."""
     at_text, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.zeros(batch.num_rows, dtype=np.uint64)
-            for lo, hi, data, offsets in pieces(batch.column(at_text)):
-                whole = data.tobytes()
-                for row in range(lo, hi):
-                    hashes = np.array(_shingle_hashes(whole[offsets[row - lo] : offsets[row - lo + 1]], size), dtype="<u8")
-                    if len(hashes):
-                        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        most = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-                        prints[row] = np.packbits(most, bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints_of(batch.column(at_text), size).view(np.int64))], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
