@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, crc32_of_id, mixed, pieces, plainly, utf8
+from pagelore.llm.common import LOWER, crc32_of_id, give_back, mixed, pieces, plainly, utf8
 
 #: Units in each direction, bytes in a stretch that the network reads at once.
 UNITS, STRETCH = 8, 64
@@ -237,6 +237,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = LEAST) -> DataFr
         for batch in batches:
             names, scores = _each(batch, "text", sent.value)
             yield batch.filter(pa.array((np.array(names, dtype=object) != UNKNOWN) & (scores >= least)))
+        give_back()
 
     held, renamed = plainly(docs)
     return renamed(held.mapInArrow(run, held.schema))

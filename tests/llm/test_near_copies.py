@@ -89,3 +89,17 @@ def test_fingerprints_link_what_sets_confirm(spark, tmp_path, monkeypatch):
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame(spark, docs), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
     assert seen[0].count() == 1  # 3 and 4 share a fingerprint, not a shingle of five words
+
+
+def test_facts_of_texts_come_from_one_pass(spark, monkeypatch):
+    """Fingerprints, sizes and parities are worked out once; what is read again are the texts of pairs."""
+    made, told = [], near_copies_module.facts
+    monkeypatch.setattr(near_copies_module, "facts", lambda docs, size: made.append(1) or told(docs, size))
+    docs = rows()
+    assert sorted(((r.doc_id, r.component_id) for r in near_copies(frame(spark, docs)).collect()), key=str) == brute(docs)
+    assert len(made) == 1
+    by_text = {}
+    for r, f in zip(docs, told(frame(spark, docs).coalesce(1), 5).collect(), strict=True):
+        words = (r[1] or "").encode().lower().split()
+        assert f.doc_id == r[0] and f.n == (len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else 0)
+        assert by_text.setdefault(tuple(words), (f.print, bytes(f.bits))) == (f.print, bytes(f.bits))
