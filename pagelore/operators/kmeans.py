@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,7 +35,8 @@ class Run(NamedTuple):
 def standard(pages: DataFrame, fields: tuple[str, ...], key: str) -> tuple[DataFrame, list[float], list[float]]:
     """((key, z), means, deviations), stored: fields less their mean over the population deviation, which is taken as 1 where
     it is below 1e-9. Rows with a null field are left out, as they have no place."""
-    held = stored(pages.select(F.col(f"`{key}`").alias("key"), F.array(*(F.col(f"`{f}`").cast("double") for f in fields)).alias("v")).where(~F.exists("v", lambda x: x.isNull())))
+    # stored before the filter, which Spark would else move below the fields and work them out twice
+    held = stored(pages.select(F.col(f"`{key}`").alias("key"), F.array(*(F.col(f"`{f}`").cast("double") for f in fields)).alias("v"))).where(~F.exists("v", lambda x: x.isNull()))
     stats = held.agg(*(f(F.col("v")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(fields)))).first()
     means, raw = (list(stats)[: len(fields)], list(stats)[len(fields) :])
     if means[0] is None:
@@ -53,27 +55,26 @@ def seeds(rows: DataFrame, most: int, starts: int, seed: int) -> list[np.ndarray
     """
     chosen: list[list[list[float]]] = [[] for _ in range(starts)]
     for t in range(most):
-        name = lambda s: F.concat_ws(":", F.lit(str(seed)), s.cast("string"), F.lit(str(t // 8)), F.col("key").cast("string"))  # noqa: B023, E731
-        drawn = F.transform(F.sequence(F.lit(0), F.lit(starts - 1)), lambda s: (F.conv(F.substring(F.sha2(name(s), 256), 8 * (t % 8) + 1, 8), 16, 10).cast("double") + 1) / F.lit(2.0**32))
         sent = rows.sparkSession.sparkContext.broadcast([np.array(c) for c in chosen])
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, t=t) -> Iterator[pa.RecordBatch]:
             best: list[tuple | None] = [None] * starts
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, u = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (1, 2))
+                x = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                names, fields = [b"" if k is None else f":{k}".encode() for k in batch.column(2).to_pylist()], np.ascontiguousarray(x.T)
                 for s in range(starts):
                     there = sent.value[s]
-                    apart = assigned(x, there)[1] if len(there) else np.ones(len(x))
+                    apart = assigned(fields, there)[1] if len(there) else np.ones(len(x))
                     with np.errstate(divide="ignore"):
-                        race = np.where(apart > 0, -np.log(u[:, s]) / np.where(apart > 0, apart, 1), np.inf)
+                        race = np.where(apart > 0, -np.log(_drawn(f"{seed}:{s}:{t // 8}", names, t % 8)) / np.where(apart > 0, apart, 1), np.inf)
                     first = np.flatnonzero(race == race.min())
                     won = min(first.tolist(), key=lambda i: batch.column(0)[i].as_py()) if len(first) > 1 else int(first[0])
                     best[s] = _first(best[s], (float(race[won]), batch.column(0)[won].as_py(), x[won].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(best)], pa.binary())], ["best"])
 
-        parts = rows.select("key", "z", drawn.alias("u")).mapInArrow(run, "best binary")
+        parts = rows.select("key", "z", F.col("key").cast("string").alias("name")).mapInArrow(run, "best binary")
         both = lambda a, b: [_first(p, q) for p, q in zip(a, b, strict=True)]
         found = parts.rdd.treeAggregate([None] * starts, lambda held, row: both(held, pickle.loads(row[0])), both, depth=2)
         if found[0] is None:
@@ -87,13 +88,30 @@ def _first(a: tuple | None, b: tuple | None) -> tuple | None:
     return a if b is None else b if a is None else min(a, b, key=lambda w: w[:2])
 
 
-def assigned(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest center, the first of equals; squared distance) of each row, terms added in order of the fields."""
-    d = np.zeros((len(x), len(centers)))
-    for i in range(x.shape[1]):
-        d += (x[:, i, None] - centers[None, :, i]) ** 2
-    best = d.argmin(1)
-    return best, d[np.arange(len(x)), best]
+def _drawn(of: str, names: list[bytes], place: int) -> np.ndarray:
+    """A number above 0 and up to 1 for each name: the 32 bits at ``place`` of the SHA-256 of ``of`` and the name."""
+    first, digests = hashlib.sha256(of.encode()), []
+    for name in names:
+        held = first.copy()
+        held.update(name)
+        digests.append(held.digest())
+    return (np.frombuffer(b"".join(digests), ">u4").reshape(-1, 8)[:, place].astype(float) + 1) / 2.0**32
+
+
+def assigned(fields: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest center, the first of equals; squared distance) of each row, terms added in order of the fields. ``fields``
+    has a line for each field, so that each step runs over numbers that lie side by side."""
+    best = np.zeros(fields.shape[1], np.intp)
+    least = np.full(fields.shape[1], np.inf)
+    for j, center in enumerate(centers):
+        d = np.zeros(fields.shape[1])
+        for values, at in zip(fields, center, strict=True):
+            apart = values - at
+            apart *= apart
+            d += apart
+        np.copyto(best, j, where=d < least)
+        np.minimum(least, d, out=least)
+    return best, least
 
 
 def _added(a: list | None, b: list | None) -> list | None:
@@ -111,10 +129,10 @@ def _round(rows: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
                 continue
             whole = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for lo in range(0, len(whole), ROWS):
-                x, each = whole[lo : lo + ROWS], []
+                x, each = np.ascontiguousarray(whole[lo : lo + ROWS].T), []
                 for c in sent.value:
                     best, d = assigned(x, c)
-                    each.append((np.stack([np.bincount(best, x[:, i], len(c)) for i in range(x.shape[1])], 1), np.bincount(best, minlength=len(c)), float(d.sum())))
+                    each.append((np.stack([np.bincount(best, values, len(c)) for values in x], 1), np.bincount(best, minlength=len(c)), float(d.sum())))
                 total = _added(total, each)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["total"])
@@ -126,19 +144,23 @@ def _round(rows: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
 def lloyd(rows: DataFrame, ks: tuple[int, ...], starts: int = 10, rounds: int = 100, seed: int = 0) -> list[Run]:
     """The best run for each k over (key, z) rows: least mean squared distance to PLACES places, first start of equals.
 
-    All k and starts move together, so a round reads the rows once; it ends when no center moves any more, or after
-    ``rounds``. A center that loses all its members stays where it is. Fewer rows than the largest k are an error.
+    All k and starts move together, so a round reads the rows once; a run whose centers no longer move is at its end and
+    left out of further rounds, of which there are ``rounds`` at most. A center that loses all its members stays where it is.
+    Fewer rows than the largest k are an error.
     """
     if len(rows.limit(max(ks)).collect()) < max(ks):
         raise ValueError(f"fewer than {max(ks)} rows")
     first = seeds(rows, max(ks), starts, seed)
     runs = [(k, s) for k in ks for s in range(starts)]
     centers = [first[s][:k] for k, s in runs]
+    going = list(range(len(runs)))
     for _ in range(rounds):
-        moved = [np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c) for (sums, n, _), c in zip(_round(rows, centers), centers, strict=True)]
-        still = all(np.abs(m - c).max() <= 1e-12 for m, c in zip(moved, centers, strict=True))
-        centers = moved
-        if still:
+        for i, (sums, n, _) in zip(list(going), _round(rows, [centers[i] for i in going]), strict=True):
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers[i])
+            if np.abs(moved - centers[i]).max() <= 1e-12:
+                going.remove(i)
+            centers[i] = moved
+        if not going:
             break
     ended = [Run(k, s, c, n, d) for (k, s), c, (_, n, d) in zip(runs, centers, _round(rows, centers), strict=True)]
     return [min((r for r in ended if r.k == k), key=lambda r: (round(r.inertia / r.members.sum(), PLACES), r.start)) for k in ks]

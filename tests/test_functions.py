@@ -50,3 +50,13 @@ def test_vectors(spark):
     assert column_of(spark, "array<double>", norm, [[3.0, 4.0]]) == [5.0]
     assert column_of(spark, "array<double>", unit, [[3.0, 4.0], [0.0, 0.0]]) == [[0.6, 0.8], [0.0, 0.0]]
     assert one(spark, distance, [0.0, 0.0], [3.0, 4.0]) == 5.0
+
+
+def test_page_features_of_odd_characters(spark):
+    texts = ["a\x1cb\x1d\x1e\n", " x 　\n\r\n", "İ K Ÿ\x85ß\x1f \xa0", "\x0b\x0c", "a​b᠎ c", "𝒳 é́", ""]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", *[c.alias(n) for n, c in features.page_features(F.col("t")).items()])
+    want = held.sparkSession.createDataFrame([(i, t or "") for i, t in enumerate([*texts, None])], "i int, t string").select(
+        "i", F.length("t"), F.size(text.tokens(F.col("t"))), F.regexp_count("t", F.lit(text.WHITESPACE)), F.size(F.filter(F.split("t", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), lambda x: F.regexp_replace(x, text.WHITESPACE, "") == ""))
+    )
+    got = [(r.i, r.chars, r.token_count, r.whitespace, r.empty_lines + (r.line_count == 0 or not t or t[-1:].splitlines() == [""])) for r, t in zip(held.orderBy("i").collect(), [*texts, None], strict=True)]
+    assert got == [tuple(r) for r in want.orderBy("i").collect()]

@@ -81,3 +81,24 @@ def test_the_stored_catalog_scores_pages(spark, pages, tmp_path):
         assert scored[r.id].confidence in ("high", "medium")
     with pytest.raises(ValueError, match="features"):
         kmeans.read_family_catalog(spark, path, ("b", "a"))
+
+
+def test_fields_are_worked_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def field(i):
+        made.add(1)
+        return float(i) if i != 5 else None
+
+    rows, _, _ = kmeans.standard(spark.range(0, 40, 1, 4).select("id", field("id").alias("a")), ("a",), "id")
+    assert rows.count() == 39 and made.value == 40  # with the filter on null fields below them they were made twice
+
+
+def test_runs_at_rest_are_left_out_of_rounds(spark, pages, monkeypatch):
+    rows, _, _ = kmeans.standard(pages[1].where("page = 0"), FIELDS, "id")
+    want, sent, plain = {r.k: r for r in kmeans.lloyd(rows, (2, 3, 8), starts=4)}, [], kmeans._round
+    monkeypatch.setattr(kmeans, "_round", lambda df, centers: sent.append(len(centers)) or plain(df, centers))
+    got = kmeans.lloyd(rows, (2, 3, 8), starts=4)
+    assert all(r.start == want[r.k].start and r.inertia == pytest.approx(want[r.k].inertia) for r in got)
+    assert sent[0] == sent[-1] == 12 and sent[:-1] == sorted(sent[:-1], reverse=True) and sent[-2] < 12  # all in the last one, for its sums
