@@ -87,9 +87,10 @@ def page_scores(pages: DataFrame, catalog: DataFrame, page: str, fields: tuple[s
     """``pages`` with status, family, distance, confidence and scores by the model of their page number.
 
     ``catalog`` has a row a page number (page, mean, std, families with centroid, dist_mean and dist_max); of pages that it
-    doesn't have the status is "uncatalogued" and the rest null; a page without its features is "no_features".
+    doesn't have the status is "uncatalogued" and the rest null; a page without its features is "no_features". The catalog
+    is sent to the pages: page numbers are few and common, so a shuffle by them would put most pages in one task.
     """
-    held = pages.join(catalog.select(page, F.struct("mean", "std", "families").alias("model")), page, "left")
+    held = pages.join(F.broadcast(catalog.select(page, F.struct("mean", "std", "families").alias("model"))), page, "left")
     z = F.array(*((F.col(f) - F.col("model.mean")[i]) / F.col("model.std")[i] for i, f in enumerate(fields)))
     each = F.transform("model.families", lambda c: F.struct(distance(F.col("z"), c["centroid"]).alias("distance"), c["family"].alias("family"), c["dist_mean"].alias("dist_mean"), c["dist_max"].alias("dist_max")))
     missing = F.exists(F.array(*fields), lambda x: x.isNull())
@@ -102,11 +103,11 @@ def page_scores(pages: DataFrame, catalog: DataFrame, page: str, fields: tuple[s
 
 def page_catalog(pages: DataFrame, page: str, family: str, fields: tuple[str, ...]) -> DataFrame:
     """The catalog that ``page_scores`` reads: for each page number the statistics of its fields, and each family's
-    centroid with the least, mean and greatest distance of its members."""
+    centroid with the least, mean and greatest distance of its members. What a row of it is made of is sent to the pages."""
     stats = pages.groupBy(page).agg(F.array(*(F.avg(f) for f in fields)).alias("mean"), F.array(*(F.when(F.stddev_pop(f) < 1e-9, 1.0).otherwise(F.stddev_pop(f)) for f in fields)).alias("std"))
-    z = pages.join(stats, page).withColumn("z", F.array(*((F.col(f) - F.col("mean")[i]) / F.col("std")[i] for i, f in enumerate(fields))))
+    z = pages.join(F.broadcast(stats), page).withColumn("z", F.array(*((F.col(f) - F.col("mean")[i]) / F.col("std")[i] for i, f in enumerate(fields))))
     cents = z.groupBy(page, family).agg(F.array(*(F.avg(F.col("z")[i]) for i in range(len(fields)))).alias("centroid"))
-    apart = z.join(cents, [page, family]).groupBy(page, family).agg(F.first("centroid").alias("centroid"), F.count("*").alias("members"), *(f(distance(F.col("z"), F.col("centroid"))).alias(n) for f, n in ((F.min, "dist_min"), (F.avg, "dist_mean"), (F.max, "dist_max"))))
+    apart = z.join(F.broadcast(cents), [page, family]).groupBy(page, family).agg(F.first("centroid").alias("centroid"), F.count("*").alias("members"), *(f(distance(F.col("z"), F.col("centroid"))).alias(n) for f, n in ((F.min, "dist_min"), (F.avg, "dist_mean"), (F.max, "dist_max"))))
     families = apart.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col(family).alias("family"), "centroid", "members", "dist_min", "dist_mean", "dist_max"))).alias("families"))
     return stats.join(families, page)
 

@@ -26,6 +26,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays without repeats and nulls: the size of the union follows from that of the intersection, which is
+    bound to a name, as in a lambda Spark works out each place that names it."""
+    ratio = F.transform(F.array(F.size(F.array_intersect(b, a))), lambda n: F.try_divide(n, F.size(a) + F.size(b) - n))
+    return F.coalesce(F.get(ratio, 0), F.lit(0.0))
+
+
 def pair_scores(items: DataFrame, others: DataFrame, key: str, doc: str, feature: str, scorer: Scorer) -> DataFrame:
     """(key, i, j, score) of every ordered pair within a key, its own included; a null score counts as 0. For any scorer,
     so it is quadratic in a class if both sides are whole: for that see ``block_scores``, where no pair is a row, and

@@ -10,10 +10,10 @@ from pagelore.functions import features, scores
 from pagelore.functions.text import tokens
 from pagelore.operators import documents, families, kmeans
 from pagelore.operators.block_scores import jaccard_block
-from pagelore.operators.prototypes import jaccard
+from pagelore.operators.prototypes import jaccard_of_sets
 from pagelore.plans.pages import PAGES_SQL, page_rows
 from pagelore.plans.registry import query, table
-from pagelore.sources.store import scratch, stored
+from pagelore.sources.store import dealt, scratch, stored
 
 FIELDS = features.TEXT_FIELDS
 _Z = ", ".join(f"(x.{f} - avg(x.{f}) over ()) / (case when abs(stddev_pop(x.{f}) over ()) < 1e-9 then 1 else stddev_pop(x.{f}) over () end) {f}_z" for f in FIELDS)
@@ -192,7 +192,7 @@ n as (select conv_id, turn, arg_min(family, (distance, family)) family, min(dist
 
 
 def chat_pages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    held = table(spark, sf_dir, "conversations")
+    held = dealt(table(spark, sf_dir, "conversations"))
     return held.select("conv_id", "turn", "role", *more, F.length("text").cast("double").alias("chars"), F.size(tokens(F.col("text"))).cast("double").alias("words"))
 
 
@@ -253,10 +253,10 @@ v as (select conv_id, case when bool_or(good) then 'detected' else 'not_detected
 def searched_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = chat_pages(spark, sf_dir, "text")
     few = stored(held.where("turn < 3").withColumn("page", F.lit(0)).withColumn("ref", F.col("conv_id") * 1000 + F.col("turn")))
-    catalog = families.page_catalog(few, "page", "role", _FEW)
+    catalog = stored(families.page_catalog(few, "page", "role", _FEW))
     own = families.page_scores(few, catalog, "page", _FEW).select("page", "role", "ref", "text", F.filter("scores", lambda s: s["family"] == F.col("role"))[0]["distance"].alias("distance"))
     catalog = stored(documents.with_examples(catalog, own, "page", "role", "ref", "text"))
-    return documents.searched(held, catalog, "page", "text", _FEW, jaccard, lambda c: F.array_distinct(tokens(c)))
+    return documents.searched(held, catalog, "page", "text", _FEW, jaccard_of_sets, lambda c: F.array_distinct(tokens(c)))
 
 
 @query("document_pages_searched", f"with {_SEARCH} select conv_id, turn, family, round(distance, 6) distance, confidence, round(s, 6) text_score, ref::varchar text_ref, strategy, text_status from sp")

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """The rows of a table, dealt over all cores if it has fewer files than there are cores: a file that was written as one
+    group of rows is read by one task, however many there are. For work that takes far longer than moving the rows."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df``, worked out once and read back from the shared folder."""
     shared_folder(df.sparkSession)

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.functions.text import tokens
-from pagelore.operators import documents
-from pagelore.operators.prototypes import jaccard
+from pagelore.operators import documents, families
+from pagelore.operators.prototypes import jaccard, jaccard_of_sets
+from pagelore.plans.families import chat_pages
+from pagelore.sources.store import stored
 
 CATALOG = "page int, mean array<double>, std array<double>, families array<struct<family:string,centroid:array<double>,dist_mean:double,dist_max:double,examples:array<struct<rank:int,doc:string,distance:double,excerpt:string>>>>, registry array<struct<family:string,dist_mean:double,dist_max:double,examples:array<struct<rank:int,doc:string,distance:double,excerpt:string>>>>"
 LONG = "the quick brown fox jumps over the lazy dog"
@@ -75,3 +77,32 @@ def test_references_are_encoded_once_and_not_for_each_page(spark):
     pages_side, _, catalog_side = held._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
     assert pages_side.count("q@q") == 1 and catalog_side.count("q@q") == 1
     assert pages_side.count("array_intersect") == 1  # the score is worked out once, however often it is looked at
+
+
+def test_scores_of_sets_are_those_of_arrays_and_look_at_a_pair_once(spark):
+    pairs = [([], []), ([], ["a"]), (["a"], []), (["a", "b"], ["b", "c", "d"]), (["a", "b"], ["b", "a"]), (["a"], ["b"])]
+    held = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    assert held.where(~jaccard(F.col("a"), F.col("b")).eqNullSafe(jaccard_of_sets(F.col("a"), F.col("b")))).count() == 0
+    plan = held.select(F.transform(F.array("b"), lambda b: jaccard_of_sets(F.col("a"), b)).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_intersect") == 1 and "array_union" not in plan
+
+
+def test_a_table_of_one_file_is_scored_by_more_than_one_task(spark, tmp_path):
+    rows = [(i, t, "user", f"text {i} {t}") for i in range(50) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    held = chat_pages(spark, str(tmp_path), "text")
+    assert held.count() == 200 and held.select("conv_id", "turn").distinct().count() == 200
+    each = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == spark.sparkContext.defaultParallelism and max(each) < 100
+
+
+def test_pages_are_not_shuffled_by_their_number(spark):
+    pages = stored(spark.range(400).select((F.col("id") % 2).alias("page"), F.concat(F.lit("f"), F.col("id") % 3).alias("family"), F.col("id").cast("double").alias("x")))
+    catalog = stored(families.page_catalog(pages, "page", "family", ("x",)))
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the pages were many
+    try:
+        assert joins(families.page_scores(pages, catalog, "page", ("x",))) == 0
+        assert joins(families.page_catalog(pages, "page", "family", ("x",))) == 1  # of the catalog's own rows, one a page number
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
